@@ -67,7 +67,7 @@ DATE_LAYOUTS = [
 def normalize_date(c) -> Column:
     """Date text to ISO ``yyyy-MM-dd`` using the first layout that parses."""
     s = strip_text(c)
-    parsed = F.coalesce(*[F.try_to_date(s, F.lit(fmt)) for fmt in DATE_LAYOUTS])
+    parsed = F.coalesce(*[F.try_to_date(s, fmt) for fmt in DATE_LAYOUTS])
     return F.date_format(parsed, "yyyy-MM-dd")
 
 

@@ -16,6 +16,7 @@ table of queries x vectors is ever materialised. Final ranks come from a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,26 +55,36 @@ def token_buckets(text, dim: int = DEFAULT_DIM) -> Column:
         F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def bucket_counts(text, dim: int = DEFAULT_DIM) -> Column:
-    """MAP<bucket INT, count INT> of the token buckets of one text.
+def _histogram_udf(dim: int):
+    """Arrow-batched: bucket arrays -> unit-length count vectors (float32).
 
-    Sorting puts equal buckets side by side; a bucket's count is the distance
-    from its first position to the next distinct bucket's first position.
-    All in codegen'd array expressions, one row at a time.
+    One ``np.bincount`` over the whole batch (row offset x dim + bucket), so
+    the Python side does no per-token work.
     """
-    s = F.array_sort(token_buckets(text, dim))
-    d = F.array_distinct(s)
-    nxt = lambda i: F.coalesce(F.array_position(s, F.try_element_at(d, i + 2)), F.size(s) + 1)
-    counts = F.transform(d, lambda v, i: (nxt(i) - F.array_position(s, v)).cast("int"))
-    return F.map_from_arrays(d, counts)
+    @F.pandas_udf("array<float>")
+    def histogram(buckets: pd.Series) -> pd.Series:
+        n = len(buckets)
+        lens = np.fromiter((0 if b is None else len(b) for b in buckets), dtype=np.int64, count=n)
+        flat = (np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)])
+                if lens.sum() else np.empty(0, dtype=np.int64))
+        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+        counts = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(axis=1))
+        w = np.divide(counts, norm[:, None], out=np.zeros_like(counts), where=norm[:, None] > 0)
+        w32 = w.astype(np.float32)
+        return pd.Series(list(w32))
+
+    return histogram
 
 
 def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
-    """Unit-length ``array<float>`` of token counts per bucket (zeros for no tokens)."""
-    m = bucket_counts(text, dim)
-    norm = F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, c: a + c * c))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
-        norm > 0, F.coalesce(F.element_at(m, i), F.lit(0)) / norm).otherwise(F.lit(0.0)).cast("float"))
+    """Unit-length ``array<float>`` of token counts per md5 bucket.
+
+    Tokenising and hashing are JVM expressions (one pass over the tokens);
+    counting and normalising run per Arrow batch in numpy. No shuffle.
+    Text without tokens gives the zero vector.
+    """
+    return _histogram_udf(dim)(token_buckets(text, dim))
 
 
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding", embedder=None,

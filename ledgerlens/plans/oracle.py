@@ -429,7 +429,8 @@ FROM (SELECT id, {doc_text} AS matched_text FROM invoices WHERE {valid_sql(True)
                                    "AS sq_norm FROM embeddings")
     q["write_json_roundtrip"] = q["report_projection"]
     q["write_csv_roundtrip"] = with_views(
-        "SELECT id, invoice_number, seller_name, buyer_name, total_amount, currency, "
+        "SELECT id, NULLIF(invoice_number, '') AS invoice_number, NULLIF(seller_name, '') AS seller_name, "
+        "NULLIF(buyer_name, '') AS buyer_name, total_amount, NULLIF(currency, '') AS currency, "
         "file_name AS file_name, page_count AS file_pages FROM invoices", *INV)
     q["file_name_from_path"] = ("SELECT page_id, string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] "
                                 "AS file_name FROM pages")
