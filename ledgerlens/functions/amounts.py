@@ -30,7 +30,7 @@ def python_float(s: Column) -> Column:
     table, and Spark orders NaN above every number.
     """
     v = F.when(s.rlike(FLOAT_PATTERN), s.try_cast("double"))
-    return F.when(~F.isnan(v), v)
+    return F.nanvl(v, F.lit(None).cast("double"))
 
 
 def parse_amount(c) -> Column:

@@ -15,14 +15,17 @@ table of queries x vectors is ever materialised. Final ranks come from a
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.text import document_text, tokens
+from ledgerlens.functions.text import TOKEN_SPLIT, document_text, tokens
 from ledgerlens.operators.predicates import search_filter
 from ledgerlens.operators.records import is_valid_record
 
@@ -55,24 +58,38 @@ def token_buckets(text, dim: int = DEFAULT_DIM) -> Column:
         F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
+def _bucket_of(token: str, dim: int) -> int:
+    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
+
+
 def _histogram_udf(dim: int):
-    """Arrow-batched: bucket arrays -> unit-length count vectors (float32).
+    """Arrow-batched: token arrays -> unit-length count vectors (float32).
 
-    One ``np.bincount`` over the whole batch (row offset x dim + bucket), so
-    the Python side does no per-token work.
+    The flat token array of the batch is dictionary-encoded in Arrow; each
+    distinct token is hashed once, then one ``np.bincount`` over
+    (row x dim + bucket) counts the whole batch. No Python object per token.
+    Bucket = first 8 hex digits of the token's md5 (UTF-8), modulo ``dim``:
+    the number Spark's ``pmod(conv(substr(md5(t), 1, 8), 16, 10), dim)`` gives.
     """
-    @F.pandas_udf("array<float>")
-    def histogram(buckets: pd.Series) -> pd.Series:
-        n = len(buckets)
-        lens = np.fromiter((0 if b is None else len(b) for b in buckets), dtype=np.int64, count=n)
-        flat = (np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)])
-                if lens.sum() else np.empty(0, dtype=np.int64))
+    @F.arrow_udf("array<float>")
+    def histogram(toks: pa.Array) -> pa.Array:
+        if isinstance(toks, pa.ChunkedArray):
+            toks = toks.combine_chunks()
+        n = len(toks)
+        lens = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.list_flatten(toks)
         rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        counts = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+        enc = pc.dictionary_encode(flat)
+        words = enc.dictionary.to_pylist()
+        ub = np.fromiter((_bucket_of(w, dim) if w else -1 for w in words), dtype=np.int64, count=len(words))
+        b = ub[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(flat) else \
+            np.empty(0, dtype=np.int64)
+        keep = b >= 0
+        counts = np.bincount(rows[keep] * dim + b[keep], minlength=n * dim).reshape(n, dim).astype(np.float64)
         norm = np.sqrt((counts * counts).sum(axis=1))
         w = np.divide(counts, norm[:, None], out=np.zeros_like(counts), where=norm[:, None] > 0)
-        w32 = w.astype(np.float32)
-        return pd.Series(list(w32))
+        offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(w.astype(np.float32).ravel()))
 
     return histogram
 
@@ -80,11 +97,11 @@ def _histogram_udf(dim: int):
 def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
     """Unit-length ``array<float>`` of token counts per md5 bucket.
 
-    Tokenising and hashing are JVM expressions (one pass over the tokens);
-    counting and normalising run per Arrow batch in numpy. No shuffle.
-    Text without tokens gives the zero vector.
+    Tokenising (lower-case, split on non letters/digits) is a JVM
+    expression; hashing distinct tokens, counting and normalising run per
+    Arrow batch in numpy. No shuffle. Text without tokens gives zeros.
     """
-    return _histogram_udf(dim)(token_buckets(text, dim))
+    return _histogram_udf(dim)(F.split(F.lower(_col(text)), TOKEN_SPLIT))
 
 
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding", embedder=None,

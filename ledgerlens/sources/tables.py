@@ -3,11 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.session import table_path
 
+# The key of each table, used to spread small scans.
+TABLE_KEYS = {
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey",
+    "supplier": "s_suppkey", "part": "p_partkey", "documents": "doc_id",
+    "embeddings": "vec_id", "events": "event_id", "pages": "page_id",
+    "labels": "doc_id", "conversations": "conv_id", "benchmark": "item_id",
+}
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Read one table; ``cols`` prunes the parquet scan to those columns."""
+
+def target_partitions(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str,
+               spread: bool = True) -> DataFrame:
+    """Read one table; ``cols`` prunes the parquet scan to those columns.
+
+    A scan with fewer splits than the session's parallelism (a small file
+    with one row group) is hash-spread on the table key, so per-row work
+    uses every core. Large scans already have enough splits and are left
+    as they are: no shuffle is added at scale.
+    """
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*cols) if cols else df
+    if cols:
+        df = df.select(*cols)
+    if spread:
+        want = target_partitions(spark)
+        if df.rdd.getNumPartitions() < want:
+            key = TABLE_KEYS.get(name)
+            df = df.repartition(want, F.col(key)) if key and key in df.columns else df.repartition(want)
+    return df
