@@ -204,6 +204,23 @@ def _collect_query_batch(queries: DataFrame, qid_col: str, vec_col: str):
     return qids, qmat, dim
 
 
+def materialize_queries(queries: DataFrame) -> DataFrame:
+    """Evaluate a query batch once.
+
+    A batch within the broadcast bound becomes a local relation (it is
+    re-read for the candidate search and the filter join without
+    recomputing its plan); a larger one is checkpointed to the shared
+    checkpoint folder.
+    """
+    from ledgerlens.session import checkpoint_dir
+
+    rows = queries.limit(MAX_QUERY_BATCH + 1).collect()
+    if len(rows) <= MAX_QUERY_BATCH:
+        return queries.sparkSession.createDataFrame(rows, queries.schema)
+    checkpoint_dir(queries.sparkSession)
+    return queries.checkpoint(eager=True)
+
+
 def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                    vec_col: str = "embedding", qid_col: str = "qid",
                    qvec_col: str = "embedding") -> DataFrame:
@@ -213,6 +230,9 @@ def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     than the broadcast bound are cut into hash chunks, each checked again.
     """
     spark = vectors.sparkSession
+    queries = queries.select(qid_col, qvec_col)
+    if not _is_local(queries):
+        queries = materialize_queries(queries)
     n_q = queries.count()
     n_chunks = max(1, -(-n_q * 2 // MAX_QUERY_BATCH))
     parts = []
@@ -238,6 +258,13 @@ def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     return ranked.filter(F.col("rank") <= k)
 
 
+def _is_local(df: DataFrame) -> bool:
+    try:
+        return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LocalRelation"
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def check_top_k(top_k: int) -> int:
     lo, hi = TOP_K_RANGE
     if not lo <= int(top_k) <= hi:
@@ -267,6 +294,7 @@ def semantic_search(index: DataFrame, records: DataFrame, queries: DataFrame, to
     """
     top_k = check_top_k(top_k)
     fcols = [c for c in FILTER_COLUMNS if c in queries.columns]
+    queries = materialize_queries(queries.select(qid_col, "embedding", *fcols))
     qf = queries.select(F.col(qid_col).alias("qid"), *[F.col(c).alias(f"f_{c}") for c in fcols])
     rec = records.select(F.col(id_col).alias("id"), *[c for c in records.columns if c != id_col])
     rec = rec.filter(is_valid_record(rec))

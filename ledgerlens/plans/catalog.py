@@ -390,6 +390,34 @@ def q_semantic_search(spark, d):
                        _r("score").alias("score"), "invoice_number", "total_amount", "currency")
 
 
+def seller_requests(spark, d):
+    """Plain-English requests about the ten busiest sellers (a top-k report).
+
+    ``(qid, text, ui_seller)``; the request text carries amount and currency
+    wording, the form names the seller for every other request.
+    """
+    top = analytics.top_sellers(fx.invoices(spark, d))
+    qid = F.regexp_extract("seller_name", r"(\d+)$", 1).cast("long")
+    m = qid % 3
+    text = F.concat(F.lit("invoices from "), F.col("seller_name"),
+                    F.when(m == 0, F.lit(" above 100000"))
+                     .when(m == 1, F.lit(" not in usd"))
+                     .otherwise(F.lit(" in eur under 300000")))
+    return top.select(qid.alias("qid"), text.alias("text"),
+                      F.when(qid % 2 == 0, F.col("seller_name")).alias("ui_seller"))
+
+
+def q_semantic_search_text(spark, d):
+    """Request text -> filters -> embedded with the index's model -> search."""
+    req = nl.resolve_filters(seller_requests(spark, d), "text", ui_seller="ui_seller")
+    req = vectors.embed(req, "text")
+    inv = fx.invoices(spark, d)
+    index = vectors.build_vectors(inv)
+    hits = vectors.semantic_search(index, inv, req, top_k=TOP_K)
+    return hits.select("qid", "rank", "position", "id", _r("distance").alias("distance"),
+                       _r("score").alias("score"))
+
+
 def q_rebuild_vectors(spark, d):
     v = vectors.build_vectors(fx.invoices(spark, d))
     return v.select("id", "matched_text",

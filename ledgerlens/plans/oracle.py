@@ -422,6 +422,39 @@ WHERE position <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS, RA
 FROM (SELECT id, {doc_text} AS matched_text FROM invoices WHERE {valid_sql(True)})""", *INV)
     q["add_documents"] = with_views(f"""SELECT id, CASE WHEN currency = 'EUR' THEN 1 ELSE 0 END AS seq,
   length({doc_text}) AS text_length FROM invoices WHERE {valid_sql(True)}""", *INV)
+    min_re = r'(?:above|over|more than|greater than|>|>=)\s*\$?(\d+(?:\.\d+)?)'
+    max_re = r'(?:below|under|less than|<|<=)\s*\$?(\d+(?:\.\d+)?)'
+    q["semantic_search_text"] = with_views(f""", busiest AS (
+  SELECT seller_name, count(*) AS n FROM invoices WHERE seller_name IS NOT NULL
+  GROUP BY seller_name ORDER BY n DESC, seller_name LIMIT 10),
+req AS (
+  SELECT qid, text, {bound('text', min_re)} AS f_min, {bound('text', max_re)} AS f_max,
+    {TEXT_CUR} AS f_cur, {EXCL} AS f_excl, CASE WHEN qid % 2 = 0 THEN seller_name END AS f_seller
+  FROM (SELECT CAST(regexp_extract(seller_name, '(\d+)$', 1) AS BIGINT) AS qid, seller_name,
+    'invoices from ' || seller_name || CASE CAST(regexp_extract(seller_name, '(\d+)$', 1) AS BIGINT) % 3
+      WHEN 0 THEN ' above 100000' WHEN 1 THEN ' not in usd' ELSE ' in eur under 300000' END AS text FROM busiest)),
+docs AS (SELECT id, {doc_text} AS matched_text FROM invoices WHERE {valid_sql(True)}),
+dtok AS (SELECT id, unnest({tokens_sql('matched_text')}) AS tok FROM docs),
+dcnt AS (SELECT id, {bucket_sql('tok')} AS b, count(*) AS c FROM dtok WHERE tok <> '' GROUP BY ALL),
+dw AS (SELECT id, b, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS w FROM dcnt),
+qtok AS (SELECT qid, unnest({tokens_sql('text')}) AS tok FROM req),
+qcnt AS (SELECT qid, {bucket_sql('tok')} AS b, count(*) AS c FROM qtok WHERE tok <> '' GROUP BY ALL),
+qw AS (SELECT qid, b, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY qid)) AS FLOAT) AS DOUBLE) AS w FROM qcnt),
+dims AS (SELECT range AS b FROM range(64)),
+vd AS (SELECT d.id, dims.b, coalesce(dw.w, 0.0) AS w FROM docs d CROSS JOIN dims LEFT JOIN dw ON dw.id = d.id AND dw.b = dims.b),
+qd AS (SELECT r.qid, dims.b, coalesce(qw.w, 0.0) AS w FROM req r CROSS JOIN dims LEFT JOIN qw ON qw.qid = r.qid AND qw.b = dims.b),
+pairs AS (SELECT qd.qid, vd.id, sum((vd.w - qd.w) * (vd.w - qd.w)) AS distance FROM vd JOIN qd ON vd.b = qd.b GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM pairs)
+SELECT qid, rank, position, id, round(distance, 6) AS distance, round(1.0 / (1.0 + distance), 6) AS score FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS position
+  FROM ranked r JOIN invoices i ON r.id = i.id JOIN req ON req.qid = r.qid
+  WHERE r.rank <= {5 * cat.TOP_K}
+    AND (f_min IS NULL OR coalesce(i.total_amount >= f_min, false))
+    AND (f_max IS NULL OR coalesce(i.total_amount <= f_max, false))
+    AND (f_cur IS NULL OR coalesce(i.currency = f_cur, false))
+    AND (f_excl IS NULL OR i.currency IS DISTINCT FROM f_excl)
+    AND (f_seller IS NULL OR coalesce(instr(lower(i.seller_name), lower(f_seller)) > 0, false)))
+WHERE position <= {cat.TOP_K}""", *INV)
     q["vector_stats"] = ("SELECT count(*) AS n_vectors, coalesce(max(len(embedding)), 0) AS dimension, "
                          "'hashed-bow-md5' AS model_name FROM embeddings")
     q["vector_table_roundtrip"] = ("SELECT vec_id AS id, label, len(embedding) AS dims, "

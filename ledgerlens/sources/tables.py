@@ -21,8 +21,12 @@ def target_partitions(spark: SparkSession) -> int:
                int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
+# Dimension tables are joined, usually broadcast: never spread.
+DIMENSIONS = {"region", "nation", "customer", "supplier", "part"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str,
-               spread: bool = True) -> DataFrame:
+               spread: bool | None = None) -> DataFrame:
     """Read one table; ``cols`` prunes the parquet scan to those columns.
 
     A scan with fewer splits than the session's parallelism (a small file
@@ -33,6 +37,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str,
     df = spark.read.parquet(table_path(sf_dir, name))
     if cols:
         df = df.select(*cols)
+    if spread is None:
+        spread = name not in DIMENSIONS
     if spread:
         want = target_partitions(spark)
         if df.rdd.getNumPartitions() < want:

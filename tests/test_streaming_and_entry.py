@@ -37,3 +37,4 @@ def test_entry_and_registry(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"ingest_batch"}
+    assert "semantic_search_text" in o
