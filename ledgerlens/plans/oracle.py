@@ -430,8 +430,8 @@ FROM (SELECT id, {doc_text} AS matched_text FROM invoices WHERE {valid_sql(True)
 req AS (
   SELECT qid, text, {bound('text', min_re)} AS f_min, {bound('text', max_re)} AS f_max,
     {TEXT_CUR} AS f_cur, {EXCL} AS f_excl, CASE WHEN qid % 2 = 0 THEN seller_name END AS f_seller
-  FROM (SELECT CAST(regexp_extract(seller_name, '(\d+)$', 1) AS BIGINT) AS qid, seller_name,
-    'invoices from ' || seller_name || CASE CAST(regexp_extract(seller_name, '(\d+)$', 1) AS BIGINT) % 3
+  FROM (SELECT CAST(regexp_extract(seller_name, '(\\d+)$', 1) AS BIGINT) AS qid, seller_name,
+    'invoices from ' || seller_name || CASE CAST(regexp_extract(seller_name, '(\\d+)$', 1) AS BIGINT) % 3
       WHEN 0 THEN ' above 100000' WHEN 1 THEN ' not in usd' ELSE ' in eur under 300000' END AS text FROM busiest)),
 docs AS (SELECT id, {doc_text} AS matched_text FROM invoices WHERE {valid_sql(True)}),
 dtok AS (SELECT id, unnest({tokens_sql('matched_text')}) AS tok FROM docs),

@@ -83,3 +83,20 @@ def test_scan_directory_glob(spark, tmpdir_path):
 def test_file_name_from_path(spark):
     df = spark.createDataFrame([("https://x.org/a/b/page.html?q=1",), ("/tmp/f.pdf",)], "p string")
     assert [r[0] for r in df.select(file_name_from_path("p")).collect()] == ["page.html", "f.pdf"]
+
+
+def test_bucketed_upsert_touches_only_its_buckets(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "b")
+    rows = [(i, f"INV-{i}", "f.pdf", float(i), i) for i in range(40)] + [(100, None, "f.pdf", 1.0, 100)]
+    df = spark.createDataFrame(rows, "id long, invoice_number string, file_name string, amount double, seq long")
+    key = ["invoice_number", "file_name"]
+    t1 = store.upsert_bucketed(df, root, dml.upsert_into, key, n_buckets=8)
+    assert len(t1) == 8
+    stamp = {d: os.path.getmtime(os.path.join(root, d)) for d in os.listdir(root) if d.startswith("_bucket=")}
+    upd = spark.createDataFrame([(900, "INV-3", "f.pdf", -3.0, 1000)], df.schema)
+    t2 = store.upsert_bucketed(upd, root, dml.upsert_into, key, n_buckets=8)
+    assert len(t2) == 1
+    got = {r.id: r.amount for r in store.read_bucketed(spark, root).collect()}
+    assert len(got) == 41 and got[3] == -3.0 and 900 not in got
+    changed = [d for d, t in stamp.items() if os.path.getmtime(os.path.join(root, d)) != t]
+    assert changed == [f"_bucket={t2[0]}"]
