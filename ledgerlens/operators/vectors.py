@@ -192,7 +192,7 @@ def _local_topk_fn(bq, k: int, dim: int):
 def _collect_query_batch(queries: DataFrame, qid_col: str, vec_col: str):
     rows = queries.select(qid_col, vec_col).limit(MAX_QUERY_BATCH + 1).collect()
     if len(rows) > MAX_QUERY_BATCH:
-        raise ValueError("query batch over the broadcast bound")
+        return None
     qids = np.array([r[0] for r in rows], dtype=np.int64)
     dims = {len(r[1]) for r in rows}
     if len(dims) > 1:
@@ -200,7 +200,9 @@ def _collect_query_batch(queries: DataFrame, qid_col: str, vec_col: str):
     dim = dims.pop() if dims else 0
     qmat = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
     if qmat.nbytes > MAX_QUERY_BYTES:
-        raise ValueError("query batch over the broadcast byte bound")
+        if len(rows) == 1:
+            raise ValueError("one query vector is over the broadcast byte bound")
+        return None
     return qids, qmat, dim
 
 
@@ -235,11 +237,23 @@ def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
         queries = materialize_queries(queries)
     n_q = queries.count()
     n_chunks = max(1, -(-n_q * 2 // MAX_QUERY_BATCH))
+    # work list of query chunks; a chunk over the bound is split again with
+    # a fresh hash seed, so every broadcast batch is checked before it ships
+    work = [queries] if n_chunks == 1 else [
+        queries.filter(F.pmod(F.xxhash64(qid_col), F.lit(n_chunks)) == c) for c in range(n_chunks)]
     parts = []
-    for c in range(n_chunks):
-        chunk = queries if n_chunks == 1 else queries.filter(
-            F.pmod(F.xxhash64(qid_col), F.lit(n_chunks)) == c)
-        qids, qmat, dim = _collect_query_batch(chunk, qid_col, qvec_col)
+    seed = 1
+    while work:
+        chunk = work.pop()
+        batch = _collect_query_batch(chunk, qid_col, qvec_col)
+        if batch is None:
+            seed += 1
+            if seed > 64:
+                raise ValueError("query ids repeat too often to split the batch under the bound")
+            h = F.pmod(F.xxhash64(F.col(qid_col), F.lit(seed)), F.lit(2))
+            work += [chunk.filter(h == 0), chunk.filter(h == 1)]
+            continue
+        qids, qmat, dim = batch
         if len(qids) == 0:
             continue
         bq = spark.sparkContext.broadcast((qids, qmat))

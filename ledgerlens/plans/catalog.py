@@ -165,6 +165,11 @@ def q_top_sellers(spark, d):
     return analytics.top_sellers(fx.invoices(spark, d))
 
 
+def q_per_currency_totals(spark, d):
+    t = analytics.per_currency_totals(fx.invoices(spark, d))
+    return t.select("currency", "n_records", _r("total_value", 2).alias("total_value"))
+
+
 def q_skipped_counts(spark, d):
     return vectors.skipped_counts(fx.invoices(spark, d))
 

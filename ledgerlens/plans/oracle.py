@@ -311,6 +311,9 @@ WHERE rn = 1""", *INV)
     q["top_sellers"] = with_views(
         f"SELECT seller_name, count(*) AS count FROM invoices WHERE seller_name IS NOT NULL "
         f"GROUP BY seller_name ORDER BY count DESC, seller_name LIMIT 10", *INV)
+    q["per_currency_totals"] = with_views(
+        "SELECT currency, count(*) AS n_records, round(coalesce(sum(total_amount), 0.0), 2) AS total_value "
+        "FROM invoices GROUP BY currency", *INV)
     q["skipped_counts"] = with_views(
         f"SELECT count(*) AS n_input, count_if({valid_sql(True)}) AS n_valid, "
         f"count_if(NOT {valid_sql(True)}) AS n_skipped FROM invoices", *INV)

@@ -127,6 +127,15 @@ def write_table_version(df: DataFrame, root: str) -> int:
     return v
 
 
+def stamp_ingestion(df: DataFrame, col: str = "extracted_at") -> DataFrame:
+    """Fill the ingestion time as ISO text: one ``current_timestamp`` value
+    for the whole batch (Spark evaluates it once per query)."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    if col in df.columns:
+        return df.withColumn(col, F.coalesce(F.col(col), now))
+    return df.withColumn(col, now)
+
+
 def load_newest_first(df: DataFrame) -> DataFrame:
     """The whole table, newest ingestion first (ties: higher id first)."""
     return df.orderBy(F.col("extracted_at").desc_nulls_last(), F.col("id").desc())

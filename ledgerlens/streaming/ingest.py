@@ -34,13 +34,13 @@ def upsert_batch_writer(table_root: str, schema: T.StructType, key: list[str] =
 
 def start_incremental_upsert(spark: SparkSession, landing: str, table_root: str, checkpoint: str,
                              schema: T.StructType, files_per_batch: int | None = None,
-                             fmt: str = "parquet"):
+                             fmt: str = "parquet", n_buckets: int = DEFAULT_BUCKETS):
     """Start the stream (``availableNow``): all new files, then stop."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (reader.load(landing).writeStream
-            .foreachBatch(upsert_batch_writer(table_root, schema))
+            .foreachBatch(upsert_batch_writer(table_root, schema, n_buckets=n_buckets))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
@@ -49,6 +49,7 @@ def start_incremental_upsert(spark: SparkSession, landing: str, table_root: str,
 def incremental_upsert_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the record table as several files, stream them in, return the table."""
     from ledgerlens.plans import fixtures as fx
+    from ledgerlens.sources.tables import target_partitions
 
     rec = fx.invoices(spark, sf_dir).drop("raw_text").withColumn("seq", F.col("id"))
     landing = scratch_path(spark, "landing")
@@ -56,7 +57,7 @@ def incremental_upsert_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(landing).schema
     table = scratch_path(spark, "table")
     q = start_incremental_upsert(spark, landing, table, scratch_path(spark, "stream-ckpt"),
-                                 schema, files_per_batch=2)
+                                 schema, files_per_batch=2, n_buckets=target_partitions(spark))
     q.awaitTermination()
     out = read_bucketed(spark, table)
     return out.select("id", "invoice_number", "file_name", "total_amount", "buyer_name", "extracted_at")

@@ -100,3 +100,17 @@ def test_bucketed_upsert_touches_only_its_buckets(spark, tmpdir_path):
     assert len(got) == 41 and got[3] == -3.0 and 900 not in got
     changed = [d for d, t in stamp.items() if os.path.getmtime(os.path.join(root, d)) != t]
     assert changed == [f"_bucket={t2[0]}"]
+
+
+def test_stamp_ingestion_one_value_per_batch(spark):
+    df = spark.range(50).withColumn("extracted_at", F.when(F.col("id") == 0, F.lit("2020-01-01T00")))
+    out = store.stamp_ingestion(df)
+    vals = {r.extracted_at for r in out.collect()}
+    assert "2020-01-01T00" in vals and len(vals) == 2
+    assert store.stamp_ingestion(spark.range(3)).select("extracted_at").distinct().count() == 1
+
+
+def test_single_file_export(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "x")
+    store.write_csv(spark.range(100).repartition(4), p, append=False, single_file=True)
+    assert len([f for f in os.listdir(p) if f.endswith(".csv")]) == 1

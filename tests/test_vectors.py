@@ -106,3 +106,18 @@ def test_centroids_and_distance(spark):
     assert c == {0: [2.0, 1.0], 1: [5.0, 5.0]}
     d = spark.createDataFrame([([1.0, 2.0], [4.0, 6.0])], "a array<float>, b array<float>")
     assert d.select(V.l2_distance("a", "b")).first()[0] == 25.0
+
+
+def test_knn_splits_oversize_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 4)).astype(np.float32)
+    q = rng.normal(size=(40, 4))
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, embedding array<double>")
+    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 3)
+    got = V.knn_candidates(vec, qdf, 2).collect()
+    want = brute_knn(list(range(50)), x, list(range(40)), q, 2)
+    res = {}
+    for r in sorted(got, key=lambda r: (r.qid, r.rank)):
+        res.setdefault(r.qid, []).append((r.id, round(r.distance, 6)))
+    assert res == want
