@@ -312,7 +312,7 @@ def q_normalize_fields(spark, d):
 def q_json_salvage(spark, d):
     r = fx.model_replies(spark, d).withColumn("s", salvage("reply"))
     return r.select("event_id", F.col("s.source").alias("source"),
-                    field(F.col("s.value"), "k", "bigint").alias("k"),
+                    field(F.col("s.value"), "k", "double").alias("k"),
                     F.col("s.error").alias("error"))
 
 

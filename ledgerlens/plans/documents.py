@@ -29,7 +29,8 @@ def process_documents(candidates: DataFrame, id_col: str, candidate_cols: list[s
     df = short_text_gate(df, "text")
     fields = (extractor_fields or extract_fields)("text")
     df = df.withColumns({k: F.when(F.col("passed"), v) for k, v in fields.items()})
-    df = df.withColumn("validation", F.when(F.col("passed"), validation(df)))
+    # a failed document has no fields: validation reports all of them missing
+    df = df.withColumn("validation", validation(df))
     sep = page_separator.replace("\\", "\\\\")
     return df.select(
         id_col,

@@ -315,8 +315,8 @@ WHERE rn = 1""", *INV)
         "SELECT currency, count(*) AS n_records, round(coalesce(sum(total_amount), 0.0), 2) AS total_value "
         "FROM invoices GROUP BY currency", *INV)
     q["skipped_counts"] = with_views(
-        f"SELECT count(*) AS n_input, count_if({valid_sql(True)}) AS n_valid, "
-        f"count_if(NOT {valid_sql(True)}) AS n_skipped FROM invoices", *INV)
+        f"SELECT count(*) AS n_input, CAST(count_if({valid_sql(True)}) AS BIGINT) AS n_valid, "
+        f"CAST(count_if(NOT {valid_sql(True)}) AS BIGINT) AS n_skipped FROM invoices", *INV)
     q["delete_by_id"] = with_views(
         "SELECT id, invoice_number FROM invoices WHERE id NOT IN "
         "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey IS NOT NULL)", *INV)
@@ -372,7 +372,7 @@ FROM (SELECT *,
         INVOICES_RAW)
     q["json_salvage"] = with_views("""SELECT event_id,
   CASE WHEN json_valid(reply) THEN 'direct' WHEN json_valid(span) THEN 'span' END AS source,
-  CAST(json_extract(CASE WHEN json_valid(reply) THEN reply WHEN json_valid(span) THEN span END, '$.k') AS BIGINT) AS k,
+  CAST(json_extract(CASE WHEN json_valid(reply) THEN reply WHEN json_valid(span) THEN span END, '$.k') AS DOUBLE) AS k,
   CASE WHEN NOT json_valid(reply) AND NOT coalesce(json_valid(span), false)
     THEN 'no valid JSON in reply: ' || substr(reply, 1, 200) END AS error
 FROM (SELECT *, NULLIF(regexp_extract(reply, '\\{.*\\}', 0, 's'), '') AS span FROM model_replies)""", MODEL_REPLIES)
@@ -392,11 +392,12 @@ FROM (SELECT *, NULLIF(regexp_extract(reply, '\\{.*\\}', 0, 's'), '') AS span FR
   CASE WHEN success THEN '' ELSE {sql_str(ex.SHORT_TEXT_ERROR)} END AS error,
   length(text) AS text_length, extraction_method,
   len(string_split(coalesce(text, ''), chr(10))) AS page_count,
-  CASE WHEN success THEN ({_validation_cols()}) = 0 END AS is_valid,
-  CASE WHEN success THEN ({_validation_cols()}) END AS n_missing
+  success AND ({_validation_cols()}) = 0 AS is_valid,
+  CASE WHEN success THEN ({_validation_cols()}) ELSE 6 END AS n_missing
 FROM processed""", DOC_CANDIDATES, CASCADE, PROCESSED)
     q["batch_tally"] = with_views(
-        "SELECT count(*) AS total, count_if(success) AS successful, count_if(NOT success) AS failed FROM processed",
+        "SELECT count(*) AS total, CAST(count_if(success) AS BIGINT) AS successful, "
+        "CAST(count_if(NOT success) AS BIGINT) AS failed FROM processed",
         DOC_CANDIDATES, CASCADE, PROCESSED)
     q["embed_documents"] = f"""WITH t AS (SELECT doc_id, unnest({tokens_sql('text')}) AS tok FROM documents),
 b AS (SELECT doc_id, {bucket_sql('tok')} AS bucket, count(*) AS c FROM t WHERE tok <> '' GROUP BY ALL)
