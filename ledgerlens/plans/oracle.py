@@ -395,6 +395,9 @@ FROM (SELECT *, NULLIF(regexp_extract(reply, '\\{.*\\}', 0, 's'), '') AS span FR
   success AND ({_validation_cols()}) = 0 AS is_valid,
   CASE WHEN success THEN ({_validation_cols()}) ELSE 6 END AS n_missing
 FROM processed""", DOC_CANDIDATES, CASCADE, PROCESSED)
+    q["ingest_batch"] = with_views(
+        "SELECT doc_id AS id, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name, extraction_method, "
+        "length(text) AS text_length FROM processed WHERE success", DOC_CANDIDATES, CASCADE, PROCESSED)
     q["batch_tally"] = with_views(
         "SELECT count(*) AS total, CAST(count_if(success) AS BIGINT) AS successful, "
         "CAST(count_if(NOT success) AS BIGINT) AS failed FROM processed",

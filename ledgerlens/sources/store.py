@@ -100,8 +100,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 # ---------------------------------------------------------------- versioned table
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    vs = [int(m.group(1)) for n in list_dir(spark, root) if (m := _VERSION.match(n))]
-    return max(vs) if vs else None
+    """Newest committed version: a folder left by a job that died before its
+    commit (no ``_SUCCESS`` marker) is ignored and later overwritten."""
+    vs = sorted((int(m.group(1)) for n in list_dir(spark, root) if (m := _VERSION.match(n))), reverse=True)
+    for v in vs:
+        if path_exists(spark, f"{root.rstrip('/')}/v{v:08d}/_SUCCESS"):
+            return v
+    return None
 
 
 def read_table_version(spark: SparkSession, root: str, schema: T.StructType | None = None,
@@ -123,7 +128,8 @@ def write_table_version(df: DataFrame, root: str) -> int:
     """
     spark = df.sparkSession
     v = (latest_version(spark, root) or 0) + 1
-    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v{v:08d}")
+    # overwrite: a folder of this number can only be an uncommitted leftover
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v{v:08d}")
     return v
 
 

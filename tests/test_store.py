@@ -114,3 +114,12 @@ def test_single_file_export(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "x")
     store.write_csv(spark.range(100).repartition(4), p, append=False, single_file=True)
     assert len([f for f in os.listdir(p) if f.endswith(".csv")]) == 1
+
+
+def test_uncommitted_version_is_ignored(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "v")
+    assert store.write_table_version(records(spark), root) == 1
+    os.makedirs(os.path.join(root, "v00000002", "_temporary"))      # a job died here
+    assert store.latest_version(spark, root) == 1
+    assert store.write_table_version(records(spark, 5), root) == 2
+    assert store.read_table_version(spark, root).count() == 5
