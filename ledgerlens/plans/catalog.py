@@ -395,6 +395,15 @@ def q_semantic_search(spark, d):
                        _r("score").alias("score"), "invoice_number", "total_amount", "currency")
 
 
+def q_semantic_search_prefilter(spark, d):
+    """Filter first (EUR records only), then the k nearest: no shortfall."""
+    idx = _embeddings(spark, d).select(F.col("vec_id").alias("id"), "embedding")
+    q = _label_queries(spark, d).select("qid", "embedding")
+    eur = fx.invoices(spark, d).filter(F.col("currency") == "EUR")
+    hits = vectors.semantic_search(idx, eur, q, top_k=TOP_K, prefilter=True)
+    return hits.select("qid", "rank", "position", "id", _r("distance").alias("distance"))
+
+
 def seller_requests(spark, d):
     """Plain-English requests about the ten busiest sellers (a top-k report).
 

@@ -422,6 +422,12 @@ JOIN centroid_dims c ON v.label = c.label AND v.i = c.i GROUP BY v.vec_id, v.lab
     AND (r.qid % 4 <> 1 OR coalesce(i.currency = 'EUR', false))
     AND (r.qid % 5 <> 2 OR i.currency IS DISTINCT FROM 'USD'))
 WHERE position <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS, RANKED)
+    q["semantic_search_prefilter"] = with_views(f"""SELECT qid, rank, rank AS position, id,
+  round(distance, 6) AS distance FROM (
+  SELECT p.qid, p.id, p.distance,
+    row_number() OVER (PARTITION BY p.qid ORDER BY round(p.distance, 9), p.id) AS rank
+  FROM pairs p JOIN invoices i ON p.id = i.id WHERE i.currency = 'EUR' AND {valid_sql(True)})
+WHERE rank <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
     doc_text = document_text_sql()
     toks = f"list_filter({tokens_sql('matched_text')}, lambda t: t <> '')"
     q["rebuild_vectors"] = with_views(f"""SELECT id, matched_text,

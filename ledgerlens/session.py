@@ -19,6 +19,22 @@ SCALE_CONF = {
 }
 
 
+# Suggested settings for a large cluster reading ~100 TB (spark-submit --conf):
+# start shuffles wide and let AQE merge partitions to ~256 MB, split skewed
+# ones, read ~256 MB file splits, and broadcast only sides AQE measures small.
+CLUSTER_CONF = {
+    **SCALE_CONF,
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's settings.
