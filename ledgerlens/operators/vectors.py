@@ -91,7 +91,9 @@ def _histogram_udf(dim: int):
         offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(w.astype(np.float32).ravel()))
 
-    return histogram
+    # Marked nondeterministic only so that Catalyst never copies the call into
+    # a pushed-down filter (which would run the Python side twice).
+    return histogram.asNondeterministic()
 
 
 def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
@@ -113,8 +115,14 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding", embedder=Non
 
 
 def sparse_weights(df: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
-    """``(id, bucket, weight)`` for the non-zero entries of a vector column."""
-    return (df.select(id_col, F.posexplode(vec_col).alias("bucket", "weight"))
+    """``(id, bucket, weight)`` for the non-zero entries of a vector column.
+
+    ``posexplode_outer``: the plain generator makes Catalyst infer a
+    ``size(vec) > 0`` filter and push it below the scan's exchange, which
+    would evaluate a UDF-made vector twice. The outer form's null rows are
+    dropped by the weight filter.
+    """
+    return (df.select(id_col, F.posexplode_outer(vec_col).alias("bucket", "weight"))
               .filter(F.col("weight") != 0))
 
 
