@@ -152,24 +152,34 @@ def extract_with_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns(extract_fields(text_col))
 
 
-def extract_with(df: DataFrame, extractor, text_col: str = "text", fields: list[str] | None = None,
-                 schema: str | None = None) -> DataFrame:
+def extract_with(df: DataFrame, extractor=None, text_col: str = "text", fields: list[str] | None = None,
+                 schema: str | None = None, make_extractor=None) -> DataFrame:
     """Run a user extractor over a text column with ``mapInPandas``.
 
-    ``extractor(texts: pandas.Series) -> pandas.DataFrame`` with one column
-    per field; it is created once per partition by the caller's closure and
-    called once per Arrow batch.
+    ``extractor(texts: pandas.Series) -> pandas.DataFrame`` has one column per
+    field. Give ``make_extractor()`` instead when the extractor holds a client
+    or model: it is called once per partition, and the extractor it returns
+    is called once per Arrow batch. An exception for a batch is not raised:
+    its rows get null fields and the message in ``extract_error``.
     """
+    if (extractor is None) == (make_extractor is None):
+        raise ValueError("give exactly one of extractor / make_extractor")
     flds = fields or EXTRACTION_FIELDS
     out_schema = schema or ", ".join(f"{f} string" for f in flds)
-    keep = [c for c in df.columns]
-    full_schema = df.select(*keep).schema.simpleString()[len("struct<"):-1] + ", " + out_schema
+    base = df.schema.simpleString()[len("struct<"):-1]
+    full_schema = f"{base}, {out_schema}, extract_error string"
 
     def run(batches):
+        fn = extractor if extractor is not None else make_extractor()
         for pdf in batches:
-            got = extractor(pdf[text_col])
+            try:
+                got = fn(pdf[text_col])
+                err = None
+            except Exception as e:  # noqa: BLE001 - a bad batch must not stop the job
+                got, err = None, f"{type(e).__name__}: {e}"[:200]
             for f in flds:
-                pdf[f] = got[f].values if f in got else None
+                pdf[f] = got[f].values if got is not None and f in got else None
+            pdf["extract_error"] = err
             yield pdf
 
     return df.mapInPandas(run, full_schema)

@@ -106,6 +106,27 @@ def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
     return _histogram_udf(dim)(F.split(F.lower(_col(text)), TOKEN_SPLIT))
 
 
+_MODELS: dict = {}
+
+
+def model_embedder(load_model, dim: int, name: str = "user-model"):
+    """Column function for a user embedding model, Arrow-batched.
+
+    ``load_model()`` returns an object with ``encode(list[str]) -> array
+    (n x dim)``; it runs once per Python worker process and is reused by
+    every later batch. Use as ``embed(df, "text", embedder=model_embedder(...))``.
+    """
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        model = _MODELS.get(name)
+        if model is None:
+            model = _MODELS[name] = load_model()
+        vecs = np.asarray(model.encode(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
+        return pd.Series(list(vecs))
+
+    return lambda c: run(c)
+
+
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding", embedder=None,
           dim: int = DEFAULT_DIM) -> DataFrame:
     """Add an embedding column. ``embedder`` is ``None`` (hashed words) or a
@@ -369,6 +390,16 @@ def add_documents(existing: DataFrame, new_vectors: DataFrame, seq_col: str = "s
     return merged.select("id", *[F.col(f"_p.{c}").alias(c) for c in cols], seq_col)
 
 
+def read_vectors(spark, path: str) -> DataFrame:
+    """The saved vector table; a missing or unreadable store gives an empty table."""
+    from ledgerlens.schema import VECTOR_SCHEMA
+
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - unreadable store: start empty, as the index does
+        return spark.createDataFrame([], VECTOR_SCHEMA)
+
+
 def vector_stats(vectors: DataFrame, model_name: str = DEFAULT_MODEL) -> DataFrame:
     return vectors.agg(F.count(F.lit(1)).alias("n_vectors"),
                        F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"),

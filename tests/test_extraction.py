@@ -95,3 +95,19 @@ def test_user_extractor(spark):
     df = spark.createDataFrame([(1, "inv-9")], "id int, text string")
     r = ex.extract_with(df, extractor, fields=["invoice_number"]).first()
     assert r.invoice_number == "INV-9" and r.id == 1
+
+
+def test_extractor_built_once_per_partition_and_bad_batch(spark):
+    import pandas as pd
+
+    def make():
+        def fn(texts):
+            if (texts == "boom").any():
+                raise RuntimeError("bad input")
+            return pd.DataFrame({"invoice_number": texts.str.upper()})
+        return fn
+
+    df = spark.createDataFrame([(1, "a"), (2, "boom")], "id int, text string").repartition(2, "id")
+    rows = {r.id: r for r in ex.extract_with(df, make_extractor=make, fields=["invoice_number"]).collect()}
+    assert rows[1].invoice_number == "A" and rows[1].extract_error is None
+    assert rows[2].invoice_number is None and "bad input" in rows[2].extract_error

@@ -121,3 +121,15 @@ def test_knn_splits_oversize_chunks(spark, monkeypatch):
     for r in sorted(got, key=lambda r: (r.qid, r.rank)):
         res.setdefault(r.qid, []).append((r.id, round(r.distance, 6)))
     assert res == want
+
+
+def test_user_model_embedder_and_read_vectors(spark, tmpdir_path):
+    class _ToyModel:   # defined here so it is pickled by value to the workers
+        def encode(self, texts):
+            import numpy
+            return numpy.array([[len(t), t.count("a")] for t in texts], dtype=numpy.float32)
+
+    df = spark.createDataFrame([("aa",), ("bcd",), (None,)], "t string")
+    got = [r.e for r in V.embed(df, "t", "e", embedder=V.model_embedder(_ToyModel, 2)).collect()]
+    assert got == [[2.0, 2.0], [3.0, 0.0], [0.0, 0.0]]
+    assert V.read_vectors(spark, tmpdir_path + "/missing").count() == 0
