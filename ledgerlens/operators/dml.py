@@ -32,12 +32,16 @@ def upsert(rows: DataFrame, key: list[str] = UPSERT_KEY, id_col: str = "id",
     for k in key:
         any_null = any_null | F.col(k).isNull()
     solo = F.when(any_null, F.col(id_col)).alias("_solo")
-    keyed = rows.select(*key, solo, id_col, seq_col,
-                        F.struct(*[F.col(c) for c in payload], F.col(seq_col)).alias("_p"))
+    p = F.struct(*[F.col(c) for c in payload], F.col(seq_col)).alias("_p")
+    last = [F.col(f"_p.{c}").alias(c) for c in payload] + [F.col(f"_p.{seq_col}").alias(seq_col)]
+    if id_col in key:        # keyed by id itself (e.g. the vector table)
+        merged = (rows.select(*key, solo, p).groupBy(*key, "_solo")
+                      .agg(F.max_by("_p", F.col(f"_p.{seq_col}")).alias("_p")))
+        return merged.select(*key, *last)
+    keyed = rows.select(*key, solo, id_col, p)
     merged = (keyed.groupBy(*key, "_solo")
-                   .agg(F.min(id_col).alias(id_col), F.max_by("_p", seq_col).alias("_p")))
-    return merged.select(id_col, *key, *[F.col(f"_p.{c}").alias(c) for c in payload],
-                         F.col(f"_p.{seq_col}").alias(seq_col))
+                   .agg(F.min(id_col).alias(id_col), F.max_by("_p", F.col(f"_p.{seq_col}")).alias("_p")))
+    return merged.select(id_col, *key, *last)
 
 
 def upsert_into(existing: DataFrame, batch: DataFrame, key: list[str] = UPSERT_KEY,
