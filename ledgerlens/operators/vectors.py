@@ -53,7 +53,12 @@ def _col(c) -> Column:
 # --------------------------------------------------------------- embedding
 
 def token_buckets(text, dim: int = DEFAULT_DIM) -> Column:
-    """Bucket of every token: first 8 hex digits of its md5, modulo ``dim``."""
+    """Bucket of every token: first 8 hex digits of its md5, modulo ``dim``.
+
+    The pure column form of the embedder's bucket rule, for inspecting or
+    joining buckets in SQL; the embedder itself hashes distinct tokens in
+    Arrow batches (see ``_histogram_udf``), which is much cheaper.
+    """
     return F.transform(tokens(text), lambda t: F.pmod(
         F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 

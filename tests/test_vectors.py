@@ -133,3 +133,10 @@ def test_user_model_embedder_and_read_vectors(spark, tmpdir_path):
     got = [r.e for r in V.embed(df, "t", "e", embedder=V.model_embedder(_ToyModel, 2)).collect()]
     assert got == [[2.0, 2.0], [3.0, 0.0], [0.0, 0.0]]
     assert V.read_vectors(spark, tmpdir_path + "/missing").count() == 0
+
+
+def test_token_buckets_column_matches_embedder(spark):
+    df = spark.createDataFrame([("Invoice INV-7 from ABC",)], "t string")
+    r = df.select(V.token_buckets("t").alias("b"), V.hashed_embedding("t").alias("e")).first()
+    counts = np.bincount(np.array(r.b), minlength=64).astype(float)
+    assert np.allclose(np.array(r.e), counts / np.sqrt((counts ** 2).sum()), atol=1e-7)
