@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.operators.dml import UPSERT_KEY, upsert_into
 from ledgerlens.session import scratch_path
-from ledgerlens.sources.store import DEFAULT_BUCKETS, read_bucketed, upsert_bucketed
+from ledgerlens.sources.store import BUCKET_COL, DEFAULT_BUCKETS, read_bucketed, upsert_bucketed
 
 
 def upsert_batch_writer(table_root: str, schema: T.StructType, key: list[str] = UPSERT_KEY,
@@ -64,30 +64,41 @@ def incremental_upsert_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_texts(files: DataFrame, extractors: list, path_col: str = "path",
-               content_col: str = "content") -> DataFrame:
+               content_col: str = "content", min_chars: int | None = None) -> DataFrame:
     """``(path, file_name, text_1..text_n)`` from file bytes with user codecs.
 
-    Each extractor maps ``bytes -> str``; one that raises gives null for that
-    file (a failed candidate counts as short), so a bad file never stops
-    the batch. Runs per Arrow batch with ``mapInPandas``.
+    Each extractor maps ``bytes -> str``. Extractor ``i+1`` runs only for the
+    files whose current text is still shorter than ``min_chars`` (the
+    cascade would not look at it otherwise), so a slow OCR step touches only
+    the files that need it. One that raises gives null for that file (a
+    failed candidate counts as short): a bad file never stops the batch.
     """
+    from ledgerlens.operators.extraction import MIN_TEXT_CHARS
     from ledgerlens.sources.files import file_name_from_path
 
+    limit = MIN_TEXT_CHARS if min_chars is None else min_chars
     n = len(extractors)
     out_schema = "path string, " + ", ".join(f"text_{i + 1} string" for i in range(n))
 
     def run(batches):
+        import pandas as pd
+
         for pdf in batches:
             res = {"path": pdf[path_col]}
+            current = [None] * len(pdf)
             for i, fn in enumerate(extractors):
                 vals = []
-                for b in pdf[content_col]:
+                for j, b in enumerate(pdf[content_col]):
+                    if i > 0 and current[j] is not None and len(current[j]) >= limit:
+                        vals.append(None)           # cascade already settled for this file
+                        continue
                     try:
-                        vals.append(None if b is None else fn(bytes(b)))
+                        v = None if b is None else fn(bytes(b))
                     except Exception:  # noqa: BLE001 - failed codec: null candidate
-                        vals.append(None)
+                        v = None
+                    vals.append(v)
+                    current[j] = v
                 res[f"text_{i + 1}"] = vals
-            import pandas as pd
             yield pd.DataFrame(res)
 
     texts = files.select(path_col, content_col).mapInPandas(run, out_schema)
@@ -117,11 +128,13 @@ def ingest_files_batch(batch: DataFrame, epoch_id: int, extractors: list, table_
     try:
         start = next_id(read_bucketed(spark, table_root)) if path_exists(spark, table_root) else 1
         rec = assign_ids(rec, start)
-        upsert_bucketed(rec, table_root, lambda old, new: upsert_into(old, new), UPSERT_KEY,
-                        n_buckets=n_buckets)
-        stored = read_bucketed(spark, table_root)
-        touched = stored.join(rec.select("file_name", "invoice_number").distinct(),
-                              ["file_name", "invoice_number"], "left_semi")
+        buckets = upsert_bucketed(rec, table_root, lambda old, new: upsert_into(old, new), UPSERT_KEY,
+                                  n_buckets=n_buckets)
+        # re-embed only the stored rows of this batch's keys, read from touched buckets
+        stored = spark.read.parquet(table_root).filter(F.col(BUCKET_COL).isin(buckets)).drop(BUCKET_COL)
+        touched = stored.join(rec.select("id").distinct(), "id", "left_semi").unionByName(
+            stored.join(rec.select("file_name", "invoice_number").distinct(),
+                        ["file_name", "invoice_number"], "left_semi")).dropDuplicates(["id"])
         vec = build_vectors(touched).withColumn("seq", F.lit(epoch_id).cast("long"))
         upsert_bucketed(vec, vectors_root, lambda old, new: upsert_into(old, new, key=["id"]), ["id"],
                         n_buckets=n_buckets)

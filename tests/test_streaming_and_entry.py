@@ -90,3 +90,23 @@ def test_file_ingest_stream(spark, tmpdir_path):
     assert got == {"a.txt": (first_ids["a.txt"], "INV-1"), "b.txt": (first_ids["b.txt"], "INV-2"),
                    "c.txt": (3, "INV-9")}
     assert read_bucketed(spark, vecs).count() == 3
+
+
+def test_file_texts_runs_later_codecs_only_when_needed(spark):
+    from ledgerlens.streaming.ingest import file_texts
+
+    files = spark.createDataFrame([("/x/long.pdf", b"L" * 60), ("/x/short.pdf", b"s")],
+                                  "path string, content binary")
+
+    def first(b):
+        return b.decode()
+
+    def second(b):
+        return "second:" + b.decode()
+
+    def third(b):
+        raise RuntimeError("ocr down")
+
+    got = {r.file_name: (r.text_1, r.text_2, r.text_3) for r in file_texts(files, [first, second, third]).collect()}
+    assert got["long.pdf"] == ("L" * 60, None, None)
+    assert got["short.pdf"] == ("s", "second:s", None)
