@@ -174,8 +174,13 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 
 # --------------------------------------------------------------- k-NN
 
-def _local_topk_fn(bq, k: int, dim: int):
-    """Per-partition candidate selection over Arrow batches."""
+def _local_topk_fn(bq, k: int, dim: int, payload: tuple = ()):
+    """Per-partition candidate selection over Arrow batches.
+
+    Columns 0 and 1 of each batch are id and vector; any further columns
+    (``payload``) ride along with the candidates, so a denormalised index
+    is searched in one scan.
+    """
     slack = 2 * 10.0 ** (-ORDER_DECIMALS)
 
     def run(batches):
@@ -185,6 +190,8 @@ def _local_topk_fn(bq, k: int, dim: int):
         keep_q = np.empty(0, dtype=np.int64)
         keep_id = np.empty(0, dtype=np.int64)
         keep_d = np.empty(0, dtype=np.float64)
+        keep_ref = np.empty(0, dtype=np.int64)
+        held = None                      # payload rows of the kept candidates
         for batch in batches:
             n = batch.num_rows
             if n == 0 or nq == 0:
@@ -193,6 +200,7 @@ def _local_topk_fn(bq, k: int, dim: int):
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             x = flat.astype(np.float64).reshape(n, dim)
             x2 = (x * x).sum(axis=1)
+            new_rows = []
             for lo in range(0, nq, 256):
                 hi = min(nq, lo + 256)
                 q = qmat[lo:hi]
@@ -206,6 +214,13 @@ def _local_topk_fn(bq, k: int, dim: int):
                 keep_q = np.concatenate([keep_q, cols + lo])
                 keep_id = np.concatenate([keep_id, ids[rows]])
                 keep_d = np.concatenate([keep_d, exact])
+                new_rows.append(rows)
+            if payload:
+                rows = np.concatenate(new_rows)
+                base = 0 if held is None else held.num_rows
+                taken = pa.Table.from_batches([batch]).select(list(payload)).take(pa.array(rows))
+                held = taken if held is None else pa.concat_tables([held, taken])
+                keep_ref = np.concatenate([keep_ref, base + np.arange(len(rows), dtype=np.int64)])
             # prune the running set to each query's band of k best
             order = np.lexsort((keep_id, keep_d, keep_q))
             keep_q, keep_id, keep_d = keep_q[order], keep_id[order], keep_d[order]
@@ -215,10 +230,16 @@ def _local_topk_fn(bq, k: int, dim: int):
             band = keep_d <= keep_d[kth_idx] + slack
             sel = (pos < k) | band
             keep_q, keep_id, keep_d = keep_q[sel], keep_id[sel], keep_d[sel]
+            if payload:
+                held = held.take(pa.array(keep_ref[order][sel]))
+                keep_ref = np.arange(held.num_rows, dtype=np.int64)
         if len(keep_q):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[keep_q]), pa.array(keep_id), pa.array(keep_d)],
-                names=["qid", "id", "distance"])
+            cols = [pa.array(qids[keep_q]), pa.array(keep_id), pa.array(keep_d)]
+            names = ["qid", "id", "distance"]
+            if payload:
+                cols += [held.column(c).combine_chunks() for c in payload]
+                names += list(payload)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -259,12 +280,16 @@ def materialize_queries(queries: DataFrame) -> DataFrame:
 
 def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                    vec_col: str = "embedding", qid_col: str = "qid",
-                   qvec_col: str = "embedding") -> DataFrame:
-    """``(qid, id, distance, rank)``: the ``k`` nearest vectors of every query.
+                   qvec_col: str = "embedding", payload: list[str] | tuple = ()) -> DataFrame:
+    """``(qid, id, distance, rank, *payload)``: the ``k`` nearest vectors of every query.
 
     Order is (distance rounded to ORDER_DECIMALS, id). Query batches larger
     than the broadcast bound are cut into hash chunks, each checked again.
+    ``payload`` columns of the vector table are carried with the candidates.
     """
+    payload = tuple(payload)
+    out_schema = "qid long, id long, distance double" + "".join(
+        f", `{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*payload).schema.fields)
     spark = vectors.sparkSession
     queries = queries.select(qid_col, qvec_col)
     if not _is_local(queries):
@@ -292,12 +317,11 @@ def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
             continue
         bq = spark.sparkContext.broadcast((qids, qmat))
         vec = (vectors.select(F.col(id_col).cast("long").alias("id"),
-                              F.col(vec_col).cast("array<float>").alias("embedding"))
+                              F.col(vec_col).cast("array<float>").alias("embedding"), *payload)
                       .filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim)))
-        parts.append(vec.mapInArrow(_local_topk_fn(bq, k, dim),
-                                    "qid long, id long, distance double"))
+        parts.append(vec.mapInArrow(_local_topk_fn(bq, k, dim, payload), out_schema))
     if not parts:
-        return spark.createDataFrame([], "qid long, id long, distance double, rank int")
+        return spark.createDataFrame([], out_schema + ", rank int")
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -324,12 +348,15 @@ FILTER_COLUMNS = ["min_amount", "max_amount", "currency", "exclude_currency",
                   "seller_name", "buyer_name"]
 
 
-def semantic_search(index: DataFrame, records: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K,
+def semantic_search(index: DataFrame, records: DataFrame | None, queries: DataFrame, top_k: int = DEFAULT_TOP_K,
                     prefilter: bool = False, id_col: str = "id", qid_col: str = "qid",
                     amount_col: str = "total_amount") -> DataFrame:
     """Search many queries at once: candidates -> validity -> filters -> top_k.
 
-    ``index``: ``(id, embedding)``; ``records``: the record payload by id;
+    ``index``: ``(id, embedding)``; ``records``: the record payload by id, or
+    ``None`` when the index carries the payload itself (``build_vectors(...,
+    payload=True)``): then the candidates bring their payload out of the one
+    k-NN scan and no record table is read at all.
     ``queries``: ``(qid, embedding)`` plus optional filter columns
     (``min_amount, max_amount, currency, exclude_currency, seller_name,
     buyer_name``; null = not set).
@@ -344,38 +371,61 @@ def semantic_search(index: DataFrame, records: DataFrame, queries: DataFrame, to
     fcols = [c for c in FILTER_COLUMNS if c in queries.columns]
     queries = materialize_queries(queries.select(qid_col, "embedding", *fcols))
     qf = queries.select(F.col(qid_col).alias("qid"), *[F.col(c).alias(f"f_{c}") for c in fcols])
-    rec = records.select(F.col(id_col).alias("id"), *[c for c in records.columns if c != id_col])
-    rec = rec.filter(is_valid_record(rec))
-
-    numeric_amount = isinstance(records.schema[amount_col].dataType, T.NumericType)
+    source = index if records is None else records
+    numeric_amount = isinstance(source.schema[amount_col].dataType, T.NumericType)
 
     def predicate():
         return search_filter(
             F.col(amount_col), F.col("currency"), F.col("seller_name"), F.col("buyer_name"),
             amount_parsed=numeric_amount, **{c: F.col(f"f_{c}") for c in fcols})
 
-    if not prefilter:
-        cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col, qid_col=qid_col)
-        # candidates are bounded (queries x candidates): broadcast them to the records
-        hits = (rec.join(F.broadcast(cand), "id")
-                   .join(F.broadcast(qf), "qid")
-                   .filter(predicate()))
+    if records is None:
+        payload = [c for c in index.columns if c not in (id_col, "embedding")]
+        if not prefilter:
+            cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col,
+                                  qid_col=qid_col, payload=payload)
+            hits = (cand.filter(is_valid_record(cand)).join(F.broadcast(qf), "qid").filter(predicate()))
+        else:
+            if fcols:
+                raise ValueError("prefilter with per-query filters: run one filtered search per filter set")
+            ok = index.filter(is_valid_record(index))
+            hits = knn_candidates(ok, queries, top_k, id_col=id_col, qid_col=qid_col, payload=payload)
     else:
-        if fcols:
-            raise ValueError("prefilter with per-query filters: run one filtered search per filter set")
-        ok = index.join(rec.select("id"), index[id_col] == rec["id"], "left_semi")
-        cand = knn_candidates(ok, queries, top_k, id_col=id_col, qid_col=qid_col)
-        hits = rec.join(F.broadcast(cand), "id")
+        rec = records.select(F.col(id_col).alias("id"), *[c for c in records.columns if c != id_col])
+        rec = rec.filter(is_valid_record(rec))
+        if not prefilter:
+            cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col, qid_col=qid_col)
+            # candidates are bounded (queries x candidates): broadcast them to the records
+            hits = (rec.join(F.broadcast(cand), "id")
+                       .join(F.broadcast(qf), "qid")
+                       .filter(predicate()))
+        else:
+            if fcols:
+                raise ValueError("prefilter with per-query filters: run one filtered search per filter set")
+            ok = index.join(rec.select("id"), index[id_col] == rec["id"], "left_semi")
+            cand = knn_candidates(ok, queries, top_k, id_col=id_col, qid_col=qid_col)
+            hits = rec.join(F.broadcast(cand), "id")
     w = Window.partitionBy("qid").orderBy("rank")
     out = hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= top_k)
     return out.withColumn("score", similarity("distance"))
 
 
+# Record columns a denormalised index carries for filtering and display.
+PAYLOAD_COLUMNS = ["invoice_number", "invoice_date", "seller_name", "buyer_name", "total_amount",
+                   "currency", "file_name"]
+
+
 def build_vectors(records: DataFrame, embedder=None, dim: int = DEFAULT_DIM,
-                  id_col: str = "id") -> DataFrame:
-    """Vector table of the valid records: ``(id, matched_text, embedding)``."""
+                  id_col: str = "id", payload: bool = False) -> DataFrame:
+    """Vector table of the valid records: ``(id, matched_text, embedding)``.
+
+    ``payload=True`` also keeps the record columns the search filters and
+    shows (``PAYLOAD_COLUMNS``), like an index that stores its metadata: a
+    search over it reads one table in one pass.
+    """
     valid = records.filter(is_valid_record(records))
-    txt = valid.select(F.col(id_col).alias("id"), document_text().alias("matched_text"))
+    extra = [c for c in PAYLOAD_COLUMNS if c in records.columns] if payload else []
+    txt = valid.select(F.col(id_col).alias("id"), document_text().alias("matched_text"), *extra)
     return embed(txt, "matched_text", embedder=embedder, dim=dim)
 
 

@@ -425,9 +425,8 @@ def q_semantic_search_text(spark, d):
     """Request text -> filters -> embedded with the index's model -> search."""
     req = nl.resolve_filters(seller_requests(spark, d), "text", ui_seller="ui_seller")
     req = vectors.embed(req, "text")
-    inv = fx.invoices(spark, d)
-    index = vectors.build_vectors(inv)
-    hits = vectors.semantic_search(index, inv, req, top_k=TOP_K)
+    index = vectors.build_vectors(fx.invoices(spark, d), payload=True)   # index holds its payload
+    hits = vectors.semantic_search(index, None, req, top_k=TOP_K)
     return hits.select("qid", "rank", "position", "id", _r("distance").alias("distance"),
                        _r("score").alias("score"))
 

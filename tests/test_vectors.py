@@ -140,3 +140,16 @@ def test_token_buckets_column_matches_embedder(spark):
     r = df.select(V.token_buckets("t").alias("b"), V.hashed_embedding("t").alias("e")).first()
     counts = np.bincount(np.array(r.b), minlength=64).astype(float)
     assert np.allclose(np.array(r.e), counts / np.sqrt((counts ** 2).sum()), atol=1e-7)
+
+
+def test_search_with_payload_index_matches_record_join(spark):
+    idx = _index(spark).join(_records(spark), "id")
+    q = spark.createDataFrame([(1, [0.0, 0.0], "USD"), (2, [6.0, 0.0], None)],
+                              "qid long, embedding array<double>, currency string")
+    a = V.semantic_search(_index(spark), _records(spark), q, top_k=2)
+    b = V.semantic_search(idx, None, q, top_k=2)
+    cols = ["qid", "id", "rank", "position", "distance", "invoice_number", "currency"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    cand = V.knn_candidates(idx, q.select("qid", "embedding"), 3, payload=["currency"])
+    assert {r.id: r.currency for r in cand.collect()} == {i: ("USD" if i % 2 else "EUR") for i in
+                                                           {r.id for r in cand.collect()}}
