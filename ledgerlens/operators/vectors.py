@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.amounts import parse_amount
 from ledgerlens.functions.text import TOKEN_SPLIT, document_text, tokens
 from ledgerlens.operators.predicates import search_filter
 from ledgerlens.operators.records import is_valid_record
@@ -174,7 +175,42 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 
 # --------------------------------------------------------------- k-NN
 
-def _local_topk_fn(bq, k: int, dim: int, payload: tuple = ()):
+def _query_mask(batch: pa.RecordBatch, flt: dict, lo: int, hi: int) -> np.ndarray:
+    """(rows x queries) boolean mask of the per-query filters of queries lo..hi."""
+    n = batch.num_rows
+    names = batch.schema.names
+    mask = np.ones((n, hi - lo), dtype=bool)
+
+    def col(name):
+        return batch.column(names.index(name))
+
+    if "min_amount" in flt or "max_amount" in flt:
+        amt = col("_amt").to_numpy(zero_copy_only=False).astype(np.float64)   # nan = null
+        with np.errstate(invalid="ignore"):
+            for key, op in (("min_amount", np.greater_equal), ("max_amount", np.less_equal)):
+                if key in flt:
+                    b = flt[key][lo:hi]
+                    mask &= np.isnan(b)[None, :] | op(amt[:, None], b[None, :])
+    if "currency" in flt or "exclude_currency" in flt:
+        cur = np.array(col("currency").to_pylist(), dtype=object)
+        for j, (want, drop) in enumerate(zip(flt.get("currency", [None] * len(flt["qids"]))[lo:hi],
+                                             flt.get("exclude_currency", [None] * len(flt["qids"]))[lo:hi])):
+            if want is not None:
+                mask[:, j] &= cur == want
+            if drop is not None:
+                mask[:, j] &= cur != drop            # a null currency is kept
+    for key, name in (("seller_name", "seller_name"), ("buyer_name", "buyer_name")):
+        if key in flt:
+            vals = col(name).to_pylist()
+            low = np.array(["" if v is None else v.lower() for v in vals], dtype=str)
+            present = np.array([v is not None for v in vals])
+            for j, part in enumerate(flt[key][lo:hi]):
+                if part is not None:
+                    mask[:, j] &= present & (np.char.find(low, part.lower()) >= 0)
+    return mask
+
+
+def _local_topk_fn(bq, k: int, dim: int, payload: tuple = (), bflt=None):
     """Per-partition candidate selection over Arrow batches.
 
     Columns 0 and 1 of each batch are id and vector; any further columns
@@ -185,6 +221,7 @@ def _local_topk_fn(bq, k: int, dim: int, payload: tuple = ()):
 
     def run(batches):
         qids, qmat = bq.value
+        flt = bflt.value if bflt is not None else None
         q2 = (qmat * qmat).sum(axis=1)
         nq = len(qids)
         keep_q = np.empty(0, dtype=np.int64)
@@ -205,11 +242,13 @@ def _local_topk_fn(bq, k: int, dim: int, payload: tuple = ()):
                 hi = min(nq, lo + 256)
                 q = qmat[lo:hi]
                 approx = x2[:, None] + q2[None, lo:hi] - 2.0 * (x @ q.T)      # n x b
+                if flt is not None:                  # pre-filter: other rows never compete
+                    approx = np.where(_query_mask(batch, flt, lo, hi), approx, np.inf)
                 kk = min(k, n)
                 kth = np.partition(approx, kk - 1, axis=0)[kk - 1]           # b
                 # slack covers the rounding error of the expanded form
                 tol = 1e-7 * (1.0 + x2.max() + q2[lo:hi])
-                rows, cols = np.nonzero(approx <= (kth + tol)[None, :])
+                rows, cols = np.nonzero((approx <= (kth + tol)[None, :]) & np.isfinite(approx))
                 exact = ((x[rows] - q[cols]) ** 2).sum(axis=1)
                 keep_q = np.concatenate([keep_q, cols + lo])
                 keep_id = np.concatenate([keep_id, ids[rows]])
@@ -280,18 +319,26 @@ def materialize_queries(queries: DataFrame) -> DataFrame:
 
 def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                    vec_col: str = "embedding", qid_col: str = "qid",
-                   qvec_col: str = "embedding", payload: list[str] | tuple = ()) -> DataFrame:
+                   qvec_col: str = "embedding", payload: list[str] | tuple = (),
+                   filter_cols: list[str] | tuple = ()) -> DataFrame:
     """``(qid, id, distance, rank, *payload)``: the ``k`` nearest vectors of every query.
 
     Order is (distance rounded to ORDER_DECIMALS, id). Query batches larger
     than the broadcast bound are cut into hash chunks, each checked again.
     ``payload`` columns of the vector table are carried with the candidates.
+    ``filter_cols`` (query columns among FILTER_COLUMNS) make it a pre-filtered
+    search: each query ranks only the vectors passing its own filters; the
+    vector table must then hold ``_amt`` (parsed amount), ``currency``,
+    ``seller_name`` and ``buyer_name``.
     """
     payload = tuple(payload)
+    filter_cols = tuple(filter_cols)
+    scan_cols = payload + tuple(c for c in ("_amt", "currency", "seller_name", "buyer_name")
+                                if filter_cols and c in vectors.columns and c not in payload)
     out_schema = "qid long, id long, distance double" + "".join(
         f", `{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*payload).schema.fields)
     spark = vectors.sparkSession
-    queries = queries.select(qid_col, qvec_col)
+    queries = queries.select(qid_col, qvec_col, *filter_cols)
     if not _is_local(queries):
         queries = materialize_queries(queries)
     n_q = queries.count()
@@ -316,10 +363,19 @@ def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
         if len(qids) == 0:
             continue
         bq = spark.sparkContext.broadcast((qids, qmat))
+        bflt = None
+        if filter_cols:
+            rows = {r[qid_col]: r for r in chunk.select(qid_col, *filter_cols).collect()}
+            flt = {"qids": qids}
+            for c in filter_cols:
+                vals = [rows[q][c] for q in qids]
+                flt[c] = (np.array([np.nan if v is None else float(v) for v in vals])
+                          if c in ("min_amount", "max_amount") else vals)
+            bflt = spark.sparkContext.broadcast(flt)
         vec = (vectors.select(F.col(id_col).cast("long").alias("id"),
-                              F.col(vec_col).cast("array<float>").alias("embedding"), *payload)
+                              F.col(vec_col).cast("array<float>").alias("embedding"), *scan_cols)
                       .filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim)))
-        parts.append(vec.mapInArrow(_local_topk_fn(bq, k, dim, payload), out_schema))
+        parts.append(vec.mapInArrow(_local_topk_fn(bq, k, dim, payload, bflt), out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema + ", rank int")
     cand = parts[0]
@@ -379,32 +435,32 @@ def semantic_search(index: DataFrame, records: DataFrame | None, queries: DataFr
             F.col(amount_col), F.col("currency"), F.col("seller_name"), F.col("buyer_name"),
             amount_parsed=numeric_amount, **{c: F.col(f"f_{c}") for c in fcols})
 
-    if records is None:
-        payload = [c for c in index.columns if c not in (id_col, "embedding")]
-        if not prefilter:
-            cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col,
-                                  qid_col=qid_col, payload=payload)
-            hits = (cand.filter(is_valid_record(cand)).join(F.broadcast(qf), "qid").filter(predicate()))
+    if prefilter:
+        # filter first, per query, inside the one k-NN scan: every query gets
+        # top_k hits whenever that many records pass its filters
+        if records is None:
+            src = index
         else:
-            if fcols:
-                raise ValueError("prefilter with per-query filters: run one filtered search per filter set")
-            ok = index.filter(is_valid_record(index))
-            hits = knn_candidates(ok, queries, top_k, id_col=id_col, qid_col=qid_col, payload=payload)
+            rec = records.select(F.col(id_col).alias("id"), *[c for c in records.columns if c != id_col])
+            src = index.select(F.col(id_col).alias("id"), "embedding").join(rec, "id")
+        payload = [c for c in src.columns if c not in (id_col, "id", "embedding")]
+        amt = F.col(amount_col).cast("double") if numeric_amount else parse_amount(F.col(amount_col))
+        ok = src.filter(is_valid_record(src)).withColumn("_amt", amt)
+        hits = knn_candidates(ok, queries, top_k, id_col="id" if records is not None else id_col,
+                              qid_col=qid_col, payload=payload, filter_cols=fcols)
+    elif records is None:
+        payload = [c for c in index.columns if c not in (id_col, "embedding")]
+        cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col,
+                              qid_col=qid_col, payload=payload)
+        hits = (cand.filter(is_valid_record(cand)).join(F.broadcast(qf), "qid").filter(predicate()))
     else:
         rec = records.select(F.col(id_col).alias("id"), *[c for c in records.columns if c != id_col])
         rec = rec.filter(is_valid_record(rec))
-        if not prefilter:
-            cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col, qid_col=qid_col)
-            # candidates are bounded (queries x candidates): broadcast them to the records
-            hits = (rec.join(F.broadcast(cand), "id")
-                       .join(F.broadcast(qf), "qid")
-                       .filter(predicate()))
-        else:
-            if fcols:
-                raise ValueError("prefilter with per-query filters: run one filtered search per filter set")
-            ok = index.join(rec.select("id"), index[id_col] == rec["id"], "left_semi")
-            cand = knn_candidates(ok, queries, top_k, id_col=id_col, qid_col=qid_col)
-            hits = rec.join(F.broadcast(cand), "id")
+        cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col, qid_col=qid_col)
+        # candidates are bounded (queries x candidates): broadcast them to the records
+        hits = (rec.join(F.broadcast(cand), "id")
+                   .join(F.broadcast(qf), "qid")
+                   .filter(predicate()))
     w = Window.partitionBy("qid").orderBy("rank")
     out = hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= top_k)
     return out.withColumn("score", similarity("distance"))

@@ -404,6 +404,15 @@ def q_semantic_search_prefilter(spark, d):
     return hits.select("qid", "rank", "position", "id", _r("distance").alias("distance"))
 
 
+def q_semantic_search_prefilter_per_query(spark, d):
+    """Per-query filters applied before ranking, all queries in one scan."""
+    idx = _embeddings(spark, d).select(F.col("vec_id").alias("id"), "embedding")
+    hits = vectors.semantic_search(idx, fx.invoices(spark, d), _label_queries(spark, d), top_k=TOP_K,
+                                   prefilter=True)
+    return hits.select("qid", "rank", "position", "id", _r("distance").alias("distance"),
+                       "invoice_number", "total_amount", "currency")
+
+
 def seller_requests(spark, d):
     """Plain-English requests about the ten busiest sellers (a top-k report).
 

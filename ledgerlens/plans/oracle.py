@@ -427,6 +427,16 @@ WHERE position <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS, RA
   SELECT p.qid, p.id, p.distance,
     row_number() OVER (PARTITION BY p.qid ORDER BY round(p.distance, 9), p.id) AS rank
   FROM pairs p JOIN invoices i ON p.id = i.id WHERE i.currency = 'EUR' AND {valid_sql(True)})
+WHERE rank <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
+    q["semantic_search_prefilter_per_query"] = with_views(f"""SELECT qid, rank, rank AS position, id,
+  round(distance, 6) AS distance, invoice_number, total_amount, currency FROM (
+  SELECT p.qid, p.id, p.distance, i.invoice_number, i.total_amount, i.currency,
+    row_number() OVER (PARTITION BY p.qid ORDER BY round(p.distance, 9), p.id) AS rank
+  FROM pairs p JOIN invoices i ON p.id = i.id
+  WHERE {valid_sql(True)}
+    AND (p.qid % 3 <> 0 OR coalesce(i.total_amount >= 100000.0, false))
+    AND (p.qid % 4 <> 1 OR coalesce(i.currency = 'EUR', false))
+    AND (p.qid % 5 <> 2 OR i.currency IS DISTINCT FROM 'USD'))
 WHERE rank <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
     doc_text = document_text_sql()
     toks = f"list_filter({tokens_sql('matched_text')}, lambda t: t <> '')"

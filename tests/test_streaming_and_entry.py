@@ -41,7 +41,7 @@ def test_entry_and_registry(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) == set(o)
-    assert "semantic_search_text" in o
+    assert "semantic_search_text" in o and "semantic_search_prefilter_per_query" in o
 
 
 INVOICE = """INVOICE

@@ -153,3 +153,18 @@ def test_search_with_payload_index_matches_record_join(spark):
     cand = V.knn_candidates(idx, q.select("qid", "embedding"), 3, payload=["currency"])
     assert {r.id: r.currency for r in cand.collect()} == {i: ("USD" if i % 2 else "EUR") for i in
                                                            {r.id for r in cand.collect()}}
+
+
+def test_prefilter_per_query_filters(spark):
+    q = spark.createDataFrame([(1, [0.0, 0.0], "USD", None, None), (2, [0.0, 0.0], None, 500.0, "usd")],
+                              "qid long, embedding array<double>, currency string, min_amount double, "
+                              "exclude_currency string")
+    hits = V.semantic_search(_index(spark), _records(spark), q, top_k=3, prefilter=True).collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.position)):
+        got.setdefault(h.qid, []).append(h.id)
+    assert got[1] == [1, 3, 5]                 # USD only, nearest first, always top_k when possible
+    assert got[2] == [5, 6, 7]                 # amount >= 500; exclusion is case-sensitive ('usd')
+    idx = _index(spark).join(_records(spark), "id")
+    again = V.semantic_search(idx, None, q, top_k=3, prefilter=True).collect()
+    assert sorted((h.qid, h.id) for h in again) == sorted((h.qid, h.id) for h in hits)
