@@ -147,11 +147,14 @@ def load_newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("extracted_at").desc_nulls_last(), F.col("id").desc())
 
 
-def save(df: DataFrame, root: str, formats: list[str] = list(FORMATS), upsert_fn=None) -> dict:
+def save(df: DataFrame, root: str, formats: list[str] = list(FORMATS), upsert_fn=None,
+         bucketed_key: list[str] | None = None, n_buckets: int = 256) -> dict:
     """Write one batch to the chosen sinks in order json, csv, db.
 
     The batch is persisted once and reused by every sink. Returns, per sink,
-    its path and row count (and the table version for ``db``).
+    its path and row count (and the table version for ``db``). With
+    ``bucketed_key`` the ``db`` table uses the key-bucketed layout: only the
+    buckets the batch touches are rewritten (see ``upsert_bucketed``).
     """
     for f in formats:
         check_format(f)
@@ -163,7 +166,12 @@ def save(df: DataFrame, root: str, formats: list[str] = list(FORMATS), upsert_fn
             out["json"] = {"path": write_json(batch, f"{root}/invoices_json"), "rows": n}
         if "csv" in formats:
             out["csv"] = {"path": write_csv(batch, f"{root}/invoices_csv"), "rows": n}
-        if "db" in formats:
+        if "db" in formats and bucketed_key:
+            table = f"{root}/invoices_buckets"
+            touched = upsert_bucketed(batch, table, upsert_fn or (lambda old, new: old.unionByName(new)),
+                                      bucketed_key, n_buckets=n_buckets)
+            out["db"] = {"path": table, "buckets": touched, "rows": n}
+        elif "db" in formats:
             spark = df.sparkSession
             table = f"{root}/invoices_table"
             current = read_table_version(spark, table, batch.schema)

@@ -123,3 +123,15 @@ def test_uncommitted_version_is_ignored(spark, tmpdir_path):
     assert store.latest_version(spark, root) == 1
     assert store.write_table_version(records(spark, 5), root) == 2
     assert store.read_table_version(spark, root).count() == 5
+
+
+def test_save_bucketed_layout(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "sb")
+    batch = records(spark, 6).withColumn("seq", F.col("id"))
+    out = store.save(batch, root, formats=["db"], upsert_fn=dml.upsert_into,
+                     bucketed_key=dml.UPSERT_KEY, n_buckets=4)
+    assert out["db"]["rows"] == 6 and set(out["db"]["buckets"]) <= {0, 1, 2, 3}
+    again = records(spark, 1, start=2).withColumn("seq", F.lit(99)).withColumn("total_amount", F.lit(-1.0))
+    store.save(again, root, formats=["db"], upsert_fn=dml.upsert_into, bucketed_key=dml.UPSERT_KEY, n_buckets=4)
+    got = {r.id: r.total_amount for r in store.read_bucketed(spark, out["db"]["path"]).collect()}
+    assert len(got) == 6 and got[2] == -1.0
