@@ -130,7 +130,20 @@ FIELD_PATTERNS = {
     "buyer_name": r"(?im)^[ \t]*(?:to|buyer|bill to)[ \t]*:[ \t]*(.*)$",
     "amount_line": r"(?im)^[ \t]*total(?:[ \t]+amount)?[ \t]*:[ \t]*(.*)$",
 }
-AMOUNT_NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
+AMOUNT_NUMBER = r"([0-9](?:[0-9.,]*[0-9])?)"
+# 1.234.567,89 / 1234,5: dots group thousands and the comma marks decimals
+EUROPEAN_NUMBER = r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$|^[0-9]+,[0-9]{1,2}$"
+
+
+def amount_number(text) -> Column:
+    """The amount's number as plain ``1234.56`` text (null when none).
+
+    Thousands separators go; a European spelling (``1.200,00``) has its dots
+    dropped and its comma read as the decimal point.
+    """
+    num = F.nullif(F.regexp_extract(_col(text), AMOUNT_NUMBER, 1), F.lit(""))
+    euro = F.regexp_replace(F.regexp_replace(num, r"\.", ""), ",", ".")
+    return F.when(num.rlike(EUROPEAN_NUMBER), euro).otherwise(F.regexp_replace(num, ",", ""))
 
 
 def extract_fields(text_col: str = "text") -> dict[str, Column]:
@@ -143,7 +156,7 @@ def extract_fields(text_col: str = "text") -> dict[str, Column]:
         "invoice_date": normalize_date(grab["invoice_date"]),
         "seller_name": grab["seller_name"],
         "buyer_name": grab["buyer_name"],
-        "total_amount": parse_amount(F.nullif(F.regexp_extract(line, AMOUNT_NUMBER, 1), F.lit(""))),
+        "total_amount": parse_amount(amount_number(line)),
         "currency": normalize_currency(line),
     }
 

@@ -235,6 +235,13 @@ def _validation_cols(prefix: str = "") -> str:
     return " + ".join(f"(CASE WHEN {prefix}{f} IS NULL THEN 1 ELSE 0 END)" for f in fields)
 
 
+def amount_number_sql(line: str) -> str:
+    num = f"NULLIF(regexp_extract({line}, {sql_str(ex.AMOUNT_NUMBER)}, 1), '')"
+    euro = f"replace(replace({num}, '.', ''), ',', '.')"
+    return (f"(CASE WHEN regexp_matches({num}, {sql_str(ex.EUROPEAN_NUMBER)}) THEN {euro} "
+            f"ELSE replace({num}, ',', '') END)")
+
+
 PROCESSED = f"""processed AS (
   SELECT doc_id, text, extraction_method,
     coalesce(length(text), 0) >= {ex.MIN_DOCUMENT_CHARS} AS success,
@@ -243,7 +250,7 @@ PROCESSED = f"""processed AS (
                       try_strptime({FIELD_SQL['invoice_date']}, '%B %-d, %Y')), '%Y-%m-%d') AS invoice_date,
     {FIELD_SQL['seller_name']} AS seller_name,
     {FIELD_SQL['buyer_name']} AS buyer_name,
-    {parse_amount("NULLIF(regexp_extract(" + FIELD_SQL['amount_line'] + ", '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), '')")} AS total_amount,
+    {parse_amount(amount_number_sql(FIELD_SQL['amount_line']))} AS total_amount,
     NULLIF(regexp_extract(upper({FIELD_SQL['amount_line']}), '\\b([A-Z]{{3}})\\b', 1), '') AS currency
   FROM cascaded
 )"""

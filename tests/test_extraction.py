@@ -111,3 +111,10 @@ def test_extractor_built_once_per_partition_and_bad_batch(spark):
     rows = {r.id: r for r in ex.extract_with(df, make_extractor=make, fields=["invoice_number"]).collect()}
     assert rows[1].invoice_number == "A" and rows[1].extract_error is None
     assert rows[2].invoice_number is None and "bad input" in rows[2].extract_error
+
+
+def test_amount_spellings(spark):
+    lines = ["$52,500.00 USD", "1.200,00 EUR", "1234,5 EUR", "USD 7", "12.50 GBP", "1,234,567.89 USD", "n/a"]
+    df = spark.createDataFrame([(f"Total Amount: {x}",) for x in lines], "text string")
+    got = [r.total_amount for r in ex.extract_with_rules(df).collect()]
+    assert got == [52500.0, 1200.0, 1234.5, 7.0, 12.5, 1234567.89, None]

@@ -17,7 +17,7 @@ def test_quickstart(spark, tmpdir_path):
         (1, "INVOICE\nInvoice No: INV-1\nDate: 2024-01-15\nFrom: ABC Exports\nTo: XYZ Imports\n"
             "Total Amount: $52,500.00 USD"),
         (2, "INVOICE\nInvoice No: INV-2\nDate: March 3, 2024\nFrom: Delta GmbH\nTo: XYZ Imports\n"
-            "Total Amount: 1,200.00 EUR"),
+            "Total Amount: 1.200,00 EUR"),
     ], "id long, text string")
     recs = (extraction.extract_with_rules(docs)
             .withColumn("file_name", F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".pdf")))
