@@ -168,3 +168,14 @@ def test_prefilter_per_query_filters(spark):
     idx = _index(spark).join(_records(spark), "id")
     again = V.semantic_search(idx, None, q, top_k=3, prefilter=True).collect()
     assert sorted((h.qid, h.id) for h in again) == sorted((h.qid, h.id) for h in hits)
+
+
+def test_search_over_bound_uses_checkpointed_batch(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 3)], "USD" if i % 2 else None) for i in range(9)]
+    q = spark.createDataFrame(rows, "qid long, embedding array<double>, currency string")
+    want = sorted(map(tuple, V.semantic_search(_index(spark), _records(spark), q, top_k=2)
+                      .select("qid", "id", "rank", "position").collect()))
+    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 4)       # 9 queries: checkpoint + split chunks
+    got = sorted(map(tuple, V.semantic_search(_index(spark), _records(spark), q, top_k=2)
+                     .select("qid", "id", "rank", "position").collect()))
+    assert got == want and len({g[0] for g in got}) == 9
