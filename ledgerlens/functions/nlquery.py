@@ -98,10 +98,16 @@ def resolve_filters(df: DataFrame, text: str = "text", ui_min: str | None = None
             return F.lit(None).cast("double" if kind == "amount" else "string")
         return form_amount(c) if kind == "amount" else form_text(c)
 
-    return df.withColumns({
-        "min_amount": F.coalesce(form(ui_min, "amount"), min_amount(text, thousands, word_bounds)),
-        "max_amount": F.coalesce(form(ui_max, "amount"), max_amount(text, thousands, word_bounds)),
-        "currency": F.coalesce(form(ui_currency, "text"), text_currency(text, word_bounds)),
-        "exclude_currency": exclude_currency(text, word_bounds),
+    # shared parts computed once as columns (a non-trivial expression used
+    # twice keeps Catalyst from merging the projections, so it is not repeated)
+    staged = df.withColumns({"_nl_text": F.lower(F.col(text))})
+    staged = staged.withColumns({"_nl_excl": exclusion_intent("_nl_text", word_bounds),
+                                 "_nl_code": first_currency("_nl_text", word_bounds)})
+    excluded = F.when(F.col("_nl_excl"), F.col("_nl_code"))
+    return staged.withColumns({
+        "min_amount": F.coalesce(form(ui_min, "amount"), min_amount("_nl_text", thousands, word_bounds)),
+        "max_amount": F.coalesce(form(ui_max, "amount"), max_amount("_nl_text", thousands, word_bounds)),
+        "currency": F.coalesce(form(ui_currency, "text"), F.when(excluded.isNull(), F.col("_nl_code"))),
+        "exclude_currency": excluded,
         "seller_name": form(ui_seller, "text"),
-    })
+    }).drop("_nl_text", "_nl_excl", "_nl_code")
