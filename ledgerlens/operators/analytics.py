@@ -25,13 +25,13 @@ def summary_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
+def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> DataFrame:
     """Distinct currencies, sellers and buyers (nulls not counted).
 
-    ``approx=True`` uses HyperLogLog sketches, which merge without a shuffle
-    of the distinct values themselves.
+    ``approx=True`` uses HyperLogLog++ sketches (relative standard deviation
+    ``rsd``), which merge without a shuffle of the distinct values themselves.
     """
-    f = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
+    f = (lambda c: F.approx_count_distinct(c, rsd)) if approx else (lambda c: F.countDistinct(c))
     return df.agg(f("currency").alias("n_currencies"), f("seller_name").alias("n_sellers"),
                   f("buyer_name").alias("n_buyers"))
 
