@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, exact_dedup, mixing
+from ledgerlens.llm import decontaminate, exact_dedup, jaccard_join, mixing, quality
 from ledgerlens.llm.common import kept, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the row with the smallest doc_id stays."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which test passages make up a twentieth or more go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -24,7 +34,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good),
     ("exact dedup", dedup),
+    ("n-gram Jaccard join", near_dedup),
     ("benchmark decontamination", decontaminated),
     ("mixing sources", mixed),
 ]

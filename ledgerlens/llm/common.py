@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.session import scratch_path, table_path
 
@@ -84,3 +87,62 @@ def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SALTS = 8
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(a, b)`` links -> ``(node, label)``: label is the smallest node of the component.
+
+    Large-star and small-star steps in turn, each a join on the smallest
+    neighbour, until the links are stars. A hub's links are salted over
+    several partitions; the smallest neighbour is aggregated before the shuffle.
+    """
+    spark = edges.sparkSession
+    links = (edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = kept(spark, links, "links")
+    last = None
+
+    def with_least(pairs: DataFrame) -> DataFrame:
+        low = (pairs.groupBy("u").agg(F.min("v").alias("m"))
+               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        return (pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+                .join(low, ["u", "salt"]).drop("salt"))
+
+    while True:
+        state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == last or state[0] == 0:
+            break
+        last = state
+        both = links.union(links.select("v", "u"))
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = with_least(large)
+        links = kept(spark, small.select("u", F.col("m").alias("v"))
+                     .union(small.filter("v <> m").select("v", "m")).distinct(), "links")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
+        links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that stay, with all their columns.
+
+    ``decided``: a row per different (doc_id, key) with ``copies`` and
+    ``stays``; one copy of a key that stays remains. ``keyed`` gives
+    ``(doc_id, key, row)`` of a frame; it is only run on doc_ids that come on several rows.
+    """
+    spark = docs.sparkSession
+    decided = kept(spark, decided, "decided")
+    several = kept(spark, decided.groupBy("doc_id").agg(F.sum("copies").alias("n")).filter("n > 1 or doc_id is null"), "several")
+    gone = decided.filter(~F.col("stays")).select("doc_id").union(several.select("doc_id"))
+
+    def same_id(a: str, b: str) -> Column:
+        return F.col(f"{a}.doc_id").cast("long").eqNullSafe(F.col(f"{b}.doc_id"))
+
+    out = docs.alias("d").join(gone.alias("g"), same_id("d", "g"), "left_anti")
+    if several.isEmpty():
+        return out
+    again = keyed(docs.alias("d").join(several.alias("s"), same_id("d", "s"), "left_semi"))
+    again = (again.alias("d").join(decided.filter("stays").alias("k"), same_id("d", "k") & F.col("d.key").eqNullSafe(F.col("k.key")), "left_semi")
+             .groupBy("doc_id", "key").agg(F.min("row").alias("row")).select("row.*"))
+    return out.unionByName(again)

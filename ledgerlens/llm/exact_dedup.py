@@ -33,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, kept, text_bytes
+from ledgerlens.llm.common import column, keep_rows, kept, text_bytes
 
 MODULUS = (1 << 31) - 1
 CHUNK_BYTES = 64 * 1024
 ROWS_PER_SALT = 1024
 KEY = ["n_bytes", "f1", "f2"]
-FINGERPRINT = "doc_id long, text_sha256 string, n_bytes long, f1 long, f2 long, copies long"
 
 
 def bases(round_no: int, modulus: int) -> tuple[int, int]:
@@ -247,20 +246,6 @@ def exact_duplicates(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, modulus: i
 
 def drop_exact_duplicates(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The rows that stay, with all their columns."""
-    spark = docs.sparkSession
-    d = kept(spark, decisions(docs, chunk_bytes), "decisions")
-    # doc_ids that come on several rows need the text to tell them apart
-    several = kept(spark, d.groupBy("doc_id").agg(F.sum("copies").alias("n")).filter("n > 1 or doc_id is null"), "several")
-    gone = d.filter(~F.col("stays")).select("doc_id").union(several.select("doc_id"))
-
-    def id_of(a: str) -> Column:
-        return F.col(f"{a}.doc_id").cast("long")
-
-    out = docs.alias("d").join(gone.alias("g"), id_of("d").eqNullSafe(id_of("g")), "left_anti")
-    if several.isEmpty():
-        return out
-    again = (docs.alias("d").join(several.alias("s"), id_of("d").eqNullSafe(id_of("s")), "left_semi")
-             .select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normal_digest("text").alias("text_sha256")))
-    again = (again.alias("d").join(d.filter("stays").alias("k"), _same("d", "k", ["doc_id", "text_sha256"]), "left_semi")
-             .groupBy("doc_id", "text_sha256").agg(F.min("row").alias("row")).select("row.*"))
-    return out.unionByName(again)
+    return keep_rows(docs, decisions(docs, chunk_bytes).withColumnRenamed("text_sha256", "key"),
+                     lambda d: d.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                                        normal_digest("text").alias("key")))
