@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import column, kept
@@ -198,6 +198,12 @@ def parsed(form: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
+def probe(spark: SparkSession) -> DataFrame:
+    """Conversation -7, whose texts hold the template's control strings."""
+    said = r"\### Assistant: </turn> ok"
+    return spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :said), (-7L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)", {"said": said})
+
+
 def chat_digests(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Formats, keeps the tokens on shared storage and reads them back."""
     spark = conversations.sparkSession

@@ -114,7 +114,7 @@ class Shard:
             self.name = f"pages-{self.shard:06d}-{self.n:04d}.warc.gz"
             self.temp = f"{self.root}/_temporary/{self.name}.{uuid.uuid4().hex}"
             self.fs.create_dir(f"{self.root}/_temporary", recursive=True)
-            self.out, self.size, self.records, self.sha = self.fs.open_output_stream(self.temp), 0, 0, hashlib.sha256()
+            self.out, self.size, self.records, self.sha = self.fs.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha256()
             self._write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{self.name}>"), ("WARC-Date", self.date),
                                 ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
         self._write(data)
@@ -270,7 +270,7 @@ def read_archive(spark: SparkSession, root: str, payloads: bool = True) -> DataF
                 if store.get_file_info(f"{path}/{name}").size != size:
                     raise ValueError(f"{name} is not as the manifest has it")
                 out: list[tuple] = []
-                with store.open_input_stream(f"{path}/{name}") as stream:
+                with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for head, block in records(stream):
                         if head["WARC-Type"] == "warcinfo":
                             continue
