@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, url_filter, warc
+from ledgerlens.llm import chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, pii, quality, url_filter, warc
 from ledgerlens.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"), licenses.standard_templates(spark))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
     "op5_source_mix": op5_source_mix,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
@@ -121,4 +126,13 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(it.items, '')) AS items_sha256,
                coalesce(n.n_hit, 0) > 0 AND 20 * coalesce(n.n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op10_chat": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+                   UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+               CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(14 + length(r) + len(regexp_extract_all(r, '\\|### |</turn>|:'))
+                        + length(t) + len(regexp_extract_all(t, '\\|### |</turn>'))) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id""",
 }
