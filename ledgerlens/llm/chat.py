@@ -82,28 +82,22 @@ class Codec:
             at = cut
         return out + self.bpe.encode_ordinary(text[at:])
 
-    def segments(self, ids: list[int]) -> Iterator[tuple[str | None, list[int]]]:
-        """Marks, and the ordinary ids between them."""
-        run: list[int] = []
-        for i in ids:
-            if i in self.marks:
-                yield None, run
-                run = []
-                yield self.marks[i], []
-            else:
-                run.append(i)
-        yield None, run
-
-    def decode(self, ids: list[int]) -> str:
-        return self.bpe.decode_bytes(ids).decode("utf-8")
-
-
-def assembled(role: list[int], text: list[int], loss: bool, codec: Codec) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a turn and its loss mask, from the ends of its segments."""
+    def pieces(self, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[bytes, bool]]:
+        """Bytes of every mark and of every run of ids between marks under one mask value."""
+        mark = ids >= self.turn
+        cut = mark[1:] | mark[:-1] | (mask[1:] != mask[:-1])
+        ends = [0, *(np.flatnonzero(cut) + 1).tolist(), len(ids)]
+        flat = ids.tolist()
+        for a, z in zip(ends[:-1], ends[1:], strict=True):
+            if a < z:
+                yield self.marks[flat[a]].encode() if mark[a] else self.bpe.decode_bytes(flat[a:z]), bool(mask[a])
+
+
+def assembled(role: list[int], text: list[int], loss: bool, codec: Codec) -> tuple[np.ndarray, int, int]:
+    """Ids of a turn and the bounds of its loss mask, from the ends of its segments."""
     parts = [[codec.turn], role, [codec.named], text, [codec.end]]
     ends = np.cumsum([len(p) for p in parts])
-    at = np.arange(ends[-1])
-    return np.concatenate([np.asarray(p, np.int32) for p in parts]), (at >= ends[2]) & (at < ends[3]) & loss
+    return np.concatenate([np.asarray(p, "<i4") for p in parts]), int(ends[2]), int(ends[3] if loss else ends[2])
 
 
 def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -115,47 +109,66 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer)
         for b in batches:
-            ids, masks, chars, keys = [], [], [], []
+            ids, bounds, chars, keys = [], [], [], []
             for role, text in zip(column(b, "role").to_pylist(), column(b, "text").to_pylist(), strict=True):
                 r, t = escape(role, _ROLE), escape(text)
-                i, m = assembled(codec.encode(r), codec.encode(t), role == LOSS_ROLE, codec)
-                ids.append(i)
-                masks.append(m)
+                i, low, high = assembled(codec.encode(r), codec.encode(t), role == LOSS_ROLE, codec)
+                ids.append(i.tobytes())
+                bounds.append((low, high))
                 chars.append(len(TURN) + len(r) + len(NAMED) + len(t) + len(END))
                 keys.append(hashlib.blake2b(text.encode(), digest_size=8).digest())
             yield pa.RecordBatch.from_arrays(
                 [column(b, "conv_id"), column(b, "turn"), column(b, "role"), pa.array(keys, pa.binary()),
-                 pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array(chars, pa.int64())],
-                ["conv_id", "turn", "role", "key", "ids", "loss_mask", "n_chars"])
+                 pa.array(ids, pa.binary()), pa.array([x for x, _ in bounds], pa.int64()), pa.array([x for _, x in bounds], pa.int64()),
+                 pa.array(chars, pa.int64())],
+                ["conv_id", "turn", "role", "key", "ids", "low", "high", "n_chars"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, nth, start = (), 0, 0
         for b in batches:
             numbers, starts = [], []
-            sizes = np.diff(column(b, "ids").offsets.to_numpy()).tolist()
-            for c, n in zip(column(b, "conv_id").to_pylist(), sizes, strict=True):
+            ids = [np.frombuffer(x, "<i4") for x in column(b, "ids").to_pylist()]
+            at = [np.arange(len(x)) for x in ids]
+            masks = [(x >= low) & (x < high) for x, low, high in zip(at, column(b, "low").to_pylist(), column(b, "high").to_pylist(), strict=True)]
+            for c, n in zip(column(b, "conv_id").to_pylist(), map(len, ids), strict=True):
                 if conv != (c,):
                     conv, nth, start = (c,), 0, 0
                 numbers.append(nth)
                 starts.append(start)
                 nth, start = nth + 1, start + n
-            yield pa.RecordBatch.from_arrays([column(b, "conv_id"), pa.array(numbers, pa.int64()), column(b, "ids"), column(b, "loss_mask"),
-                                              pa.array(starts, pa.int64()), column(b, "n_chars")],
+            yield pa.RecordBatch.from_arrays([column(b, "conv_id"), pa.array(numbers, pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                                              pa.array(masks, pa.list_(pa.bool_())), pa.array(starts, pa.int64()), column(b, "n_chars")],
                                              ["conv_id", "nth", "ids", "loss_mask", "start", "n_chars"])
 
-    return (rows.mapInArrow(encode, "conv_id long, turn long, role string, key binary, ids array<int>, loss_mask array<boolean>, n_chars long")
+    return (rows.mapInArrow(encode, "conv_id long, turn long, role string, key binary, ids binary, low long, high long, n_chars long")
             .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "key")
             .mapInArrow(place, FORMATTED))
 
 
-def text_form(ids: list[int], codec: Codec) -> str:
-    return "".join(mark if mark else codec.decode(run) for mark, run in codec.segments(ids))
+def digested(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Reads formatted turns back: a row per conversation with digests of its turns and of the text under the mask.
 
+    Tokens are decoded where they are read; what a conversation's task does is to hash them in order.
+    """
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(tokenizer)
+        for b in batches:
+            ids, mask = column(b, "ids"), column(b, "loss_mask")
+            flat, under, ends = ids.flatten().to_numpy(), mask.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy()).tolist()
+            said, losses, chars = [], [], []
+            for a, z in zip([0, *ends[:-1]], ends, strict=True):
+                parts = list(codec.pieces(flat[a:z], under[a:z]))
+                form = b"".join(p for p, _ in parts).decode()
+                role, text = parsed(form)
+                loss = unescape(b"".join(p for p, m in parts if m).decode())
+                said.append((role, text))
+                losses.append(None if loss == text else loss)
+                chars.append(len(form))
+            yield pa.RecordBatch.from_arrays(
+                [column(b, "conv_id"), column(b, "nth"), pa.array([r for r, _ in said], pa.string()), pa.array([t for _, t in said], pa.string()),
+                 pa.array(losses, pa.string()), pa.array(chars, pa.int64())], ["conv_id", "nth", "role", "text", "other_loss", "n_chars"])
 
-def digested(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Reads formatted turns back: a row per conversation with digests of its turns and of the text under the mask."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(tokenizer)
         conv: tuple = ()
         n, chars, loss_chars, turns, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
         out: list[tuple] = []
@@ -167,23 +180,21 @@ def digested(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
         for b in batches:
             out = []
-            for c, ids, mask in zip(column(b, "conv_id").to_pylist(), column(b, "ids").to_pylist(),
-                                    column(b, "loss_mask").to_pylist(), strict=True):
+            for c, role, text, under, form in zip(*[column(b, x).to_pylist() for x in ("conv_id", "role", "text", "other_loss", "n_chars")], strict=True):
                 if conv != (c,):
                     if conv:
                         out.append((*conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                     conv, n, chars, loss_chars, turns, loss = (c,), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                form = text_form(ids, codec)
-                role, text = parsed(form)
-                under = unescape(codec.decode([i for i, m in zip(ids, mask, strict=True) if m]))
-                n, chars, loss_chars = n + 1, chars + len(form), loss_chars + len(under)
+                under = text if under is None else under
+                n, chars, loss_chars = n + 1, chars + form, loss_chars + len(under)
                 turns.update(f"{role}\n{text}\n".encode())
                 loss.update(under.encode())
             yield batch()
         out = [(*conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)] if conv else []
         yield batch()
 
-    return (rows.repartition("conv_id").sortWithinPartitions("conv_id", "nth")
+    return (rows.select("conv_id", "nth", "ids", "loss_mask").mapInArrow(decode, "conv_id long, nth long, role string, text string, other_loss string, n_chars long")
+            .repartition("conv_id").sortWithinPartitions("conv_id", "nth")
             .mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"))
 
 
