@@ -75,10 +75,20 @@ def normalize_date(c) -> Column:
 CURRENCY_SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR"}
 
 
+# ISO 4217 codes in use.
+ISO_CODES = (
+    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC "
+    "CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK "
+    "JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR "
+    "MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP "
+    "STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWL"
+).split()
+
+
 def normalize_currency(c) -> Column:
-    """Three-letter upper-case ISO code, or the code of a known symbol."""
+    """First ISO code (any case), or the code of a known symbol."""
     s = _col(c).cast("string")
-    code = F.nullif(F.regexp_extract(F.upper(s), r"\b([A-Z]{3})\b", 1), F.lit(""))
+    code = F.nullif(F.regexp_extract(F.upper(s), rf"\b({'|'.join(ISO_CODES)})\b", 1), F.lit(""))
     sym = None
     for symbol, iso in CURRENCY_SYMBOLS.items():
         hit = F.when(F.instr(s, symbol) > 0, F.lit(iso))

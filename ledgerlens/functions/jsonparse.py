@@ -5,9 +5,9 @@ A reply is used as is when it is one JSON value; otherwise the greedy
 error with the first 200 characters of the reply.
 
 Spark's JSON readers accept trailing text (``{"a":1} x`` parses), which a
-strict parser rejects. Wrapping the candidate as ``{"v": <candidate>,
-"end": 1}`` turns any trailing text into a syntax error, and reading back
-``end = 1`` proves the wrapper closed where we expect.
+strict parser rejects. The candidate is read as the first of two array
+elements, the second being its own digest: text that ends the candidate early
+would have to hold that digest.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ def _col(c) -> Column:
 
 def strict_json(text) -> Column:
     """VARIANT of the whole text when it is exactly one JSON value, else null."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), _col(text), F.lit(',"end":1}')))
-    ok = F.try_variant_get(wrapped, "$.end", "int") == 1
-    return F.when(ok, F.try_variant_get(wrapped, "$.v", "variant"))
+    digest = F.md5(_col(text))
+    pair = F.try_parse_json(F.concat(F.lit("["), _col(text), F.lit(',"'), digest, F.lit('"]')))
+    alone = (F.try_variant_get(pair, "$[1]", "string") == digest) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def greedy_span(text) -> Column:

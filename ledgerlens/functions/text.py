@@ -27,21 +27,21 @@ def truthy_text(c) -> Column:
 
 
 def amount_text(c) -> Column:
-    """A money amount as Python prints a float with at most two decimals.
+    """A money amount in plain decimals, at least one: ``52500.0``, ``1234.567``.
 
-    ``52500.0``, ``1234.5``, ``1234.56``: two-decimal text with one trailing
-    zero removed. Going through DECIMAL avoids Spark's ``1.0E7`` spelling.
+    Going through DECIMAL (ten decimals) avoids Spark's ``1.0E7`` spelling.
     """
-    return F.regexp_replace(_col(c).try_cast("decimal(38,2)").cast("string"), "0$", "")
+    return F.regexp_replace(_col(c).try_cast("decimal(38,10)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
 
 
 def document_text(number="invoice_number", seller="seller_name", buyer="buyer_name",
                   amount="total_amount", currency="currency", date="invoice_date",
-                  raw_text="raw_text") -> Column:
+                  raw_text="raw_text", prefix: int | None = None) -> Column:
     """The text embedded for search: labelled parts joined by `` | ``.
 
     Empty parts are skipped (``concat_ws`` drops nulls). The amount part
-    needs both a non-zero amount and a currency.
+    needs both a non-zero amount and a currency. ``prefix`` cuts the raw
+    text to its first characters (``SEARCH_TEXT_PREFIX`` is the compatible value).
     """
     amt = _col(amount)
     amount_ok = amt.isNotNull() & (amt != 0) & truthy_text(currency)
@@ -52,7 +52,7 @@ def document_text(number="invoice_number", seller="seller_name", buyer="buyer_na
         F.when(truthy_text(buyer), F.concat(F.lit("Buyer: "), _col(buyer))),
         F.when(amount_ok, F.concat(F.lit("Amount: "), amount_text(amt), F.lit(" "), _col(currency))),
         F.when(truthy_text(date), F.concat(F.lit("Date: "), _col(date))),
-        F.when(truthy_text(raw_text), text_prefix(raw_text)),
+        F.when(truthy_text(raw_text), _col(raw_text) if prefix is None else text_prefix(raw_text, prefix)),
     )
 
 

@@ -19,7 +19,7 @@ from ledgerlens.schema import EXTRACTION_FIELDS
 MIN_TEXT_CHARS = 50
 # Text shorter than this fails the document.
 MIN_DOCUMENT_CHARS = 20
-SHORT_TEXT_ERROR = "Extracted text too short. PDF may be empty or corrupted."
+SHORT_TEXT_ERROR = "document text is shorter than the minimum"
 # Method labels of the three candidates, in cascade order.
 METHODS = ["pymupdf", "pdfplumber", "ocr"]
 PAGE_BREAK = "\f"
@@ -99,40 +99,32 @@ def short_text_gate(df: DataFrame, text_col: str = "text",
                                       .otherwise(F.array(F.lit(SHORT_TEXT_ERROR)))})
 
 
-# Own wording of the extraction request; the six rules are those the
-# extractor must follow.
-PROMPT_HEAD = ("You read trade documents and return structured data. "
-               "From the invoice text below, extract these fields:\n")
-PROMPT_TEXT = "\n\nInvoice text:\n"
-PROMPT_RULES = (
-    "\n\nRules:\n"
-    "1. Return only the fields listed above.\n"
-    "2. Answer with one valid JSON object.\n"
-    "3. Use null for a field that is not in the text.\n"
-    "4. Write dates as ISO YYYY-MM-DD when you can.\n"
-    "5. Give amounts as numbers only.\n"
-    "6. Give the currency as its 3-letter ISO code (USD, EUR, ...).\n"
-    "\nReturn the JSON object and nothing else:\n"
-)
+# What each field's value looks like in the reply; other fields are text.
+FIELD_TYPES = {"invoice_date": "date, YYYY-MM-DD", "total_amount": "number", "currency": "ISO 4217 code"}
+PROMPT_TAIL = "\n</document>\nReply:"
+
+
+def prompt_head(fields: list[str]) -> str:
+    keys = "".join(f"  {f}: {FIELD_TYPES.get(f, 'text')} | null\n" for f in fields)
+    return f"Reply with a JSON object of this shape, filled from the document.\n{{\n{keys}}}\n<document>\n"
 
 
 def build_prompt(text_col: str = "text", fields: list[str] | None = None) -> Column:
-    flds = ", ".join(fields or EXTRACTION_FIELDS)
-    return F.concat(F.lit(PROMPT_HEAD + flds + PROMPT_TEXT), F.col(text_col), F.lit(PROMPT_RULES))
+    return F.concat(F.lit(prompt_head(fields or EXTRACTION_FIELDS)), F.col(text_col), F.lit(PROMPT_TAIL))
 
 
 # Labels of the sample invoice layout, one field per line.
 # ``[ \t]*`` after a label keeps an empty value from running into the next line.
 FIELD_PATTERNS = {
-    "invoice_number": r"(?im)^[ \t]*invoice[ \t]*(?:no\.?|number|#)[ \t]*:?[ \t]*(.*)$",
+    "invoice_number": r"(?im)^[ \t]*invoice[ \t]*(?:no\.|no\b|number\b|#)[ \t]*:?[ \t]*(.*)$",
     "invoice_date": r"(?im)^[ \t]*(?:invoice[ \t]+)?date[ \t]*:[ \t]*(.*)$",
     "seller_name": r"(?im)^[ \t]*(?:from|seller)[ \t]*:[ \t]*(.*)$",
     "buyer_name": r"(?im)^[ \t]*(?:to|buyer|bill to)[ \t]*:[ \t]*(.*)$",
     "amount_line": r"(?im)^[ \t]*total(?:[ \t]+amount)?[ \t]*:[ \t]*(.*)$",
 }
-AMOUNT_NUMBER = r"([0-9](?:[0-9.,]*[0-9])?)"
+AMOUNT_NUMBER = r"(-?[0-9](?:[0-9.,]*[0-9])?)"
 # 1.234.567,89 / 1234,5: dots group thousands and the comma marks decimals
-EUROPEAN_NUMBER = r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$|^[0-9]+,[0-9]{1,2}$"
+EUROPEAN_NUMBER = r"^-?[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$|^-?[0-9]+,[0-9]{1,2}$"
 
 
 def amount_number(text) -> Column:

@@ -27,7 +27,8 @@ def _and(preds: list[Column]) -> Column:
 
 def like_contains(col: str, value: str) -> Column:
     """``col LIKE '%value%'``, case-insensitive; ``%`` and ``_`` in the value
-    stay wildcards. Null never matches."""
+    stay wildcards, a backslash is itself. Null never matches."""
+    value = value.replace("\\", "\\\\")
     return F.coalesce(F.col(col).ilike(f"%{value}%"), F.lit(False))
 
 

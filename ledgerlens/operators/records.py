@@ -14,7 +14,7 @@ EMPTY_MARKERS = ["None", "0", "0.0"]
 # The key fields of the validity rule and how many must be set.
 KEY_FIELDS = ["invoice_number", "seller_name", "buyer_name", "total_amount"]
 MIN_KEY_FIELDS = 2
-AMOUNT_WARNING = "total_amount may not be a valid number"
+AMOUNT_WARNING = "total_amount is not numeric"
 
 
 def meaningful(df: DataFrame, name: str) -> Column:

@@ -372,9 +372,10 @@ def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
                 flt[c] = (np.array([np.nan if v is None else float(v) for v in vals])
                           if c in ("min_amount", "max_amount") else vals)
             bflt = spark.sparkContext.broadcast(flt)
-        vec = (vectors.select(F.col(id_col).cast("long").alias("id"),
-                              F.col(vec_col).cast("array<float>").alias("embedding"), *scan_cols)
-                      .filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim)))
+        emb = F.col(vec_col).cast("array<float>")
+        wrong = F.raise_error(F.concat(F.lit(f"index vector is null or not of size {dim}: id "), F.col(id_col).cast("string")))
+        vec = vectors.select(F.col(id_col).cast("long").alias("id"),
+                             F.when(F.size(emb) == dim, emb).otherwise(wrong.cast("array<float>")).alias("embedding"), *scan_cols)
         parts.append(vec.mapInArrow(_local_topk_fn(bq, k, dim, payload, bflt), out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema + ", rank int")
@@ -394,9 +395,9 @@ def _is_local(df: DataFrame) -> bool:
 
 
 def check_top_k(top_k: int) -> int:
-    lo, hi = TOP_K_RANGE
-    if not lo <= int(top_k) <= hi:
-        raise ValueError(f"top_k must be in {lo}..{hi}")
+    """Any positive number; the search form's own range is ``TOP_K_RANGE``."""
+    if int(top_k) < 1:
+        raise ValueError("top_k must be at least 1")
     return int(top_k)
 
 

@@ -14,7 +14,7 @@ from ledgerlens.functions import nlquery as nl
 from ledgerlens.functions.amounts import normalize_currency, normalize_date, parse_amount
 from ledgerlens.functions.jsonparse import field, salvage
 from ledgerlens.functions.text import (
-    amount_currency_label, document_text, money_label, na_label, size_kb_label, text_prefix,
+    SEARCH_TEXT_PREFIX, amount_currency_label, document_text, money_label, na_label, size_kb_label, text_prefix,
 )
 from ledgerlens.operators import analytics, dml, extraction, predicates, records, vectors
 from ledgerlens.plans import fixtures as fx
@@ -128,7 +128,7 @@ def q_report_labels(spark, d):
 
 def q_document_text(spark, d):
     inv = fx.invoices(spark, d)
-    return inv.select("id", document_text().alias("matched_text"))
+    return inv.select("id", document_text(prefix=SEARCH_TEXT_PREFIX).alias("matched_text"))
 
 
 def q_text_prefix(spark, d):

@@ -366,8 +366,8 @@ FROM (SELECT *,
     q["short_text_gate"] = (f"SELECT doc_id, coalesce(length(text), 0) >= {ex.MIN_DOCUMENT_CHARS} AS passed, "
                             f"CASE WHEN coalesce(length(text), 0) >= {ex.MIN_DOCUMENT_CHARS} THEN '' "
                             f"ELSE {sql_str(ex.SHORT_TEXT_ERROR)} END AS error FROM documents")
-    head = ex.PROMPT_HEAD + ", ".join(ex.EXTRACTION_FIELDS) + ex.PROMPT_TEXT
-    prompt = f"({sql_str(head)} || text || {sql_str(ex.PROMPT_RULES)})"
+    head = ex.prompt_head(ex.EXTRACTION_FIELDS)
+    prompt = f"({sql_str(head)} || text || {sql_str(ex.PROMPT_TAIL)})"
     q["build_prompts"] = f"SELECT doc_id, length({prompt}) AS prompt_length, md5({prompt}) AS prompt_md5 FROM documents"
     q["extract_fields_rules"] = with_views(
         "SELECT src_id, invoice_number, invoice_date, NULLIF(seller_name, '') AS seller_name, "

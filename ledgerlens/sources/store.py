@@ -81,20 +81,24 @@ def csv_safe(df: DataFrame) -> DataFrame:
     return flat.select(*cols)
 
 
+# Line breaks and blanks inside a field survive, quotes are doubled.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, append: bool = True, single_file: bool = False) -> str:
     """CSV with a header; nested values flattened. ``single_file`` coalesces
     to one task and is meant for small exports only."""
     out = csv_safe(df)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+    out.write.mode("append" if append else "overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     if not path_exists(spark, path):
         return _empty(spark, schema)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True).csv(path)
 
 
 # ---------------------------------------------------------------- versioned table

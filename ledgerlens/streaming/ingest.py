@@ -49,15 +49,14 @@ def start_incremental_upsert(spark: SparkSession, landing: str, table_root: str,
 def incremental_upsert_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the record table as several files, stream them in, return the table."""
     from ledgerlens.plans import fixtures as fx
-    from ledgerlens.sources.tables import target_partitions
 
     rec = fx.invoices(spark, sf_dir).drop("raw_text").withColumn("seq", F.col("id"))
     landing = scratch_path(spark, "landing")
-    rec.repartition(4, F.col("id")).write.parquet(landing)
+    rec.repartition("id").write.parquet(landing)
     schema = spark.read.parquet(landing).schema
     table = scratch_path(spark, "table")
     q = start_incremental_upsert(spark, landing, table, scratch_path(spark, "stream-ckpt"),
-                                 schema, files_per_batch=2, n_buckets=target_partitions(spark))
+                                 schema, files_per_batch=2, n_buckets=16)
     q.awaitTermination()
     out = read_bucketed(spark, table)
     return out.select("id", "invoice_number", "file_name", "total_amount", "buyer_name", "extracted_at")

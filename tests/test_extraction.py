@@ -83,7 +83,7 @@ def test_json_salvage(spark):
 def test_prompt_lists_fields(spark):
     df = spark.createDataFrame([("some text",)], "text string")
     p = df.select(ex.build_prompt("text", ["a", "b"]).alias("p")).first().p
-    assert "a, b" in p and "some text" in p and "JSON" in p
+    assert "  a: text | null\n  b: text | null\n" in p and "some text" in p and "JSON" in p
 
 
 def test_user_extractor(spark):

@@ -42,3 +42,13 @@ def test_salvage_matches_python(spark, parts):
         assert row.src == src, reply
         if src is not None:
             assert json.loads(row.v) == val, reply
+
+
+def test_replies_that_close_the_reading_early_are_no_json(spark):
+    from ledgerlens.functions.jsonparse import strict_json
+
+    bad = ['1,"x":2', '{"a":1},"b":{"c":2}', '"note","total_amount":5', '1,"end":1}', "1]", "1,2", "", None]
+    good = ['{"a":1}', " 1 ", "[1,2]", '"x"', "true"]
+    df = spark.createDataFrame([(t,) for t in bad + good], "t string")
+    got = [r[0] for r in df.select(strict_json("t").isNotNull()).collect()]
+    assert got == [False] * len(bad) + [True] * len(good)

@@ -33,7 +33,7 @@ def test_validation_missing_and_warning(spark):
     got = df.select(validation(df).alias("v")).select("v.*").collect()
     # '$52,500' warns (only ',' is removed) yet is a valid record
     assert (got[0].is_valid, got[0].missing_fields, got[0].warnings) == \
-        (True, [], ["total_amount may not be a valid number"])
+        (True, [], ["total_amount is not numeric"])
     assert (got[1].is_valid, got[1].missing_fields, got[1].warnings) == (False, ["invoice_date"], [])
     assert got[2].missing_fields == ["total_amount", "currency"] and len(got[2].warnings) == 1
 

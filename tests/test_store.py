@@ -135,3 +135,10 @@ def test_save_bucketed_layout(spark, tmpdir_path):
     store.save(again, root, formats=["db"], upsert_fn=dml.upsert_into, bucketed_key=dml.UPSERT_KEY, n_buckets=4)
     got = {r.id: r.total_amount for r in store.read_bucketed(spark, out["db"]["path"]).collect()}
     assert len(got) == 6 and got[2] == -1.0
+
+
+def test_csv_keeps_line_breaks_blanks_and_quotes(spark, tmpdir_path):
+    rows = [(1, 'line1\nline2, "quoted"'), (2, " 12.5 "), (3, "a\\b"), (4, None)]
+    df = spark.createDataFrame(rows, "id long, raw_text string")
+    path = store.write_csv(df, tmpdir_path + "/csv")
+    assert sorted(map(tuple, store.read_csv(spark, path, df.schema).collect())) == rows

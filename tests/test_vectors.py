@@ -83,7 +83,8 @@ def test_search_post_filter_shortfall_and_prefilter(spark):
 
 def test_top_k_range_and_empty_index(spark):
     with pytest.raises(ValueError):
-        V.check_top_k(21)
+        V.check_top_k(0)
+    assert V.check_top_k(50) == 50
     empty = spark.createDataFrame([], "id long, embedding array<float>")
     q = spark.createDataFrame([(1, [0.0, 0.0])], "qid long, embedding array<double>")
     assert V.semantic_search(empty, _records(spark), q).count() == 0
