@@ -12,9 +12,11 @@ shingle); two texts are linked when their sets' Jaccard similarity is 0.8 or mor
    ``BLOCK`` classes; a larger bucket is dealt as pairs of blocks. A pair is
    looked at in the first band it shares. MinHash values are compared 32 at a time, and
    a pair is dropped once the posterior probability (uniform prior) that its similarity
-   reaches the threshold falls below ``TOLERANCE``. No pair is emitted: a class lists its surviving partners.
-4. Survivors are verified exactly: the texts a block still needs are sent to
-   it once, and it returns each class's number of links and a spanning forest.
+   reaches the threshold falls below ``TOLERANCE``. A block gives the classes that
+   have a surviving pair in it, at most a row each; no pair leaves the task.
+4. Survivors are verified exactly: texts and signatures of those classes are sent to
+   their block, which prunes again (the same pairs are left), compares the sets, and
+   returns each class's number of links and a spanning forest.
 5. Documents get the smallest doc_id of their connected component as class_id.
 
 Defined results: null texts count as empty. Texts without words have no shingles: they
@@ -176,41 +178,42 @@ def surviving(sigs: np.ndarray, side: np.ndarray, band: int, cross: bool, cuts:
     return p, q
 
 
+def _cuts(threshold: float, tolerance: float) -> list[tuple[int, int]]:
+    return [(n, posterior_cut(n, threshold, tolerance)) for n in range(STEP, HASHES + 1, STEP)]
+
+
+def _block_pairs(key: tuple, held: list[pa.RecordBatch], cuts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of one block's rows, as positions."""
+    sigs = np.frombuffer(b"".join(x for b in held for x in column(b, "sig").to_pylist()), "<u2").reshape(-1, HASHES)
+    side = np.concatenate([column(b, "side").to_numpy() for b in held])
+    return surviving(sigs, side, key[0], key[2] != key[3], cuts)
+
+
 def candidates(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Blocks with signatures -> block key, class, its surviving partners."""
-    cuts = [(n, posterior_cut(n, threshold, tolerance)) for n in range(STEP, HASHES + 1, STEP)]
+    """Blocks with signatures -> the block's classes that have a surviving pair in it."""
+    cuts = _cuts(threshold, tolerance)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*BLOCK_KEY, "set_id", "side"]
         for key, held in _groups(batches):
-            ids = [x for b in held for x in column(b, "set_id").to_pylist()]
-            if len(ids) < 2:
+            if sum(b.num_rows for b in held) < 2:
                 continue
-            sigs = np.frombuffer(b"".join(x for b in held for x in column(b, "sig").to_pylist()), "<u2").reshape(len(ids), HASHES)
-            side = np.concatenate([column(b, "side").to_numpy() for b in held])
-            p, q = surviving(sigs, side, key[0], key[2] != key[3], cuts)
-            if not len(p):
-                continue
-            order = np.argsort(p, kind="stable")
-            p, q = p[order], q[order]
-            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v] * n, t) for v, t in zip(key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                + [pa.array([ids[i] for i in p[starts]], pa.binary()),
-                   pa.array([[ids[j] for j in part] for part in np.split(q, starts[1:])], pa.list_(pa.binary()))],
-                [*BLOCK_KEY, "set_id", "partners"])
+            p, q = _block_pairs(key, held, cuts)
+            if len(p):
+                block = pa.Table.from_batches(held).select(names).take(pa.array(np.union1d(p, q)))
+                yield from block.combine_chunks().to_batches()
 
     return (rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
-            .mapInArrow(compare, "band int, bucket long, lo int, hi int, set_id binary, partners array<binary>"))
+            .mapInArrow(compare, "band int, bucket long, lo int, hi int, set_id binary, side int"))
 
 
-def verified(found: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, pairs: bool = False) -> DataFrame:
+def verified(found: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, tolerance: float, pairs: bool = False) -> DataFrame:
     """Exact check of the survivors: a row per block and linked class with its
     links and a root of its tree, or with its partners and similarities."""
-    need = (found.select(*BLOCK_KEY, F.explode(F.array_union("partners", F.array("set_id"))).alias("set_id")).distinct())
-    reps = classes.select("set_id", "copies", "rep_id").join(need.select("set_id").distinct(), "set_id", "left_semi")
+    cuts = _cuts(threshold, tolerance)
+    reps = classes.select("set_id", "sig", "copies", "rep_id").join(found.select("set_id").distinct(), "set_id", "left_semi")
     memo_text = (_ids(docs).alias("d").join(reps.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.rep_id")))
-                 .select("r.set_id", "r.copies", "d.text"))
+                 .select("r.set_id", "r.sig", "r.copies", "d.text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -221,18 +224,15 @@ def verified(found: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
             yield b.filter(pa.array(right, pa.bool_()))
 
     # other texts under the doc_id of a class are passed over; equal ones count once
-    texts = memo_text.mapInArrow(own, memo_text.schema).groupBy("set_id", "copies").agg(F.min("text").alias("text"))
-    none = F.lit(None)
-    rows = (need.join(texts, "set_id").select(*BLOCK_KEY, F.lit(0).alias("kind"), "set_id", "copies", "text",
-                                              none.cast("array<binary>").alias("partners"))
-            .unionByName(found.select(*BLOCK_KEY, F.lit(1).alias("kind"), "set_id", none.cast("long").alias("copies"),
-                                      none.cast("string").alias("text"), "partners")))
+    texts = memo_text.mapInArrow(own, memo_text.schema).groupBy("set_id", "sig", "copies").agg(F.min("text").alias("text"))
+    rows = found.join(texts, "set_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for _, held in _groups(batches):
-            sets: dict[bytes, np.ndarray] = {}
-            copies: dict[bytes, int] = {}
+        for key, held in _groups(batches):
+            ids = [x for b in held for x in column(b, "set_id").to_pylist()]
+            copies = [x for b in held for x in column(b, "copies").to_pylist()]
+            sets = [shingles_of(t, memo) for b in held for t in text_bytes(b)]
             root: dict[bytes, bytes] = {}
             links: dict[bytes, int] = {}
             out = []
@@ -243,34 +243,26 @@ def verified(found: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
                     x = root[x]
                 return x
 
-            for b in held:
-                for kind, sid, n, text, partners in zip(column(b, "kind").to_pylist(), column(b, "set_id").to_pylist(),
-                                                        column(b, "copies").to_pylist(), text_bytes(b),
-                                                        column(b, "partners").to_pylist(), strict=True):
-                    if not kind:
-                        sets[sid], copies[sid] = shingles_of(text, memo), n
-                        continue
-                    mine, good = sets[sid], []
-                    for other in partners:
-                        j = jaccard(mine, sets[other])
-                        if j >= threshold:
-                            good.append((other, j))
-                            links[sid] = links.get(sid, 0) + copies[other]
-                            links[other] = links.get(other, 0) + copies[sid]
-                            a, z = find(sid), find(other)
-                            root[max(a, z)] = min(a, z)
-                    if pairs:
-                        out += [(sid, o, j) for o, j in good]
+            for i, k in zip(*(x.tolist() for x in _block_pairs(key, held, cuts)), strict=True):
+                j = jaccard(sets[i], sets[k])
+                if j < threshold:
+                    continue
+                if pairs:
+                    out.append((ids[i], ids[k], j))
+                    continue
+                links[ids[i]] = links.get(ids[i], 0) + copies[k]
+                links[ids[k]] = links.get(ids[k], 0) + copies[i]
+                a, z = find(ids[i]), find(ids[k])
+                root[max(a, z)] = min(a, z)
             memo.trim()
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()),
                                                   pa.array([x[2] for x in out], pa.float64())], ["set_id", "other", "jaccard"])
             else:
-                ids = list(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([links[x] for x in ids], pa.int64()),
-                                                  pa.array([find(x) for x in ids], pa.binary())], ["set_id", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.binary()), pa.array(list(links.values()), pa.int64()),
+                                                  pa.array([find(x) for x in links], pa.binary())], ["set_id", "links", "root"])
 
-    return (rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "kind")
+    return (rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
             .mapInArrow(check, "set_id binary, other binary, jaccard double" if pairs else "set_id binary, links long, root binary"))
 
 
@@ -290,7 +282,7 @@ class Join:
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
                  block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES):
         spark = docs.sparkSession
-        self.docs, self.threshold = docs, threshold
+        self.docs, self.threshold, self.tolerance = docs, threshold, tolerance
         self.rows = kept(spark, sketches(docs), "sketches")
         self.classes = kept(spark, self.rows.groupBy("set_id", "n_shingles", "sig")
                             .agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep_id")), "classes")
@@ -299,12 +291,12 @@ class Join:
 
     def pairs(self) -> DataFrame:
         """Linked classes: set_id, other, jaccard (each pair once)."""
-        return verified(self.found, self.classes, self.docs, self.threshold, pairs=True)
+        return verified(self.found, self.classes, self.docs, self.threshold, self.tolerance, pairs=True)
 
     def classed(self) -> DataFrame:
         """A row per class with links: set_id, class_id, links (documents of other classes)."""
         spark = self.docs.sparkSession
-        seen = kept(spark, verified(self.found, self.classes, self.docs, self.threshold), "verified")
+        seen = kept(spark, verified(self.found, self.classes, self.docs, self.threshold, self.tolerance), "verified")
         label = components(seen.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
         named = label.join(self.classes.select(F.col("set_id").alias("node"), "rep_id"), "node")
         least = named.groupBy("label").agg(F.min("rep_id").alias("class_id"))

@@ -78,6 +78,30 @@ def test_near_duplicates(spark):
     assert jaccard_join.near_duplicates(docs_frame(spark, [])).count() == 0
 
 
+def test_near_duplicate_links_over_many_blocks(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(40):  # one group of near copies, each with its own changed words
+        w = list(base)
+        w[i % 60] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [texts[0]] * 5 + [texts[1].upper()] * 3 + [PROSE[2], PROSE[2] + " tail", "", None]
+    docs = docs_frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    sets = [shingles(t) for t in texts]
+
+    def linked(i, j):
+        a, b = sets[i], sets[j]
+        return (len(a & b) >= 0.8 * len(a | b)) if a and b else not a and not b and (texts[i] or "") == (texts[j] or "")
+
+    want = {i: sum(linked(i, j) for j in range(len(texts)) if j != i) for i in range(len(texts))}
+    for block in (512, 4):
+        got = jaccard_join.Join(docs, block=block, block_shingles=10 ** 6).documents().collect()
+        assert {r.doc_id: r.n_links for r in got} == want
+        pairs = jaccard_join.Join(docs, block=block).pairs().count()
+        assert pairs == len({frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i in range(len(texts)) for j in range(i)
+                             if sets[i] and sets[j] and sets[i] != sets[j] and linked(i, j)})
+
+
 PII = [(1, "mail a.b+c@x-y.co.uk, c@d@e.fr @x.y a@b"), (2, "1.2.3.4 300.1.1.1 1.2.3.4.5.6.7.8 " + "0" * 5000 + "1.2.3.4"),
        (3, "4111 1111 1111 1111 and 4111-1111-1111-1112"), (4, "+1 (555) 010-9999 +1 2 +44 20 7946 0958 99"), (5, None), (6, ""),
        (7, "é" * 70000 + " z@q.org"), (7, "twice z@q.org")]
