@@ -23,7 +23,7 @@ def upsert(rows: DataFrame, key: list[str] = UPSERT_KEY, id_col: str = "id",
     (highest ``seq``). A null in any key part never matches, so such a row
     stays on its own, keyed by its id.
 
-    One hash aggregation: ``min`` and ``max_by`` combine partially on each
+    One aggregation (Spark sorts for ``max_by`` of a struct): both combine partially on each
     partition, so a key holding a third of all rows reaches the shuffle as
     one row per partition.
     """

@@ -453,14 +453,14 @@ def semantic_search(index: DataFrame, records: DataFrame | None, queries: DataFr
         payload = [c for c in index.columns if c not in (id_col, "embedding")]
         cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col,
                               qid_col=qid_col, payload=payload)
-        hits = (cand.filter(is_valid_record(cand)).join(F.broadcast(qf), "qid").filter(predicate()))
+        hits = (cand.filter(is_valid_record(cand)).join(qf, "qid").filter(predicate()))
     else:
         rec = records.select(F.col(id_col).alias("id"), *[c for c in records.columns if c != id_col])
         rec = rec.filter(is_valid_record(rec))
         cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col, qid_col=qid_col)
-        # candidates are bounded (queries x candidates): broadcast them to the records
-        hits = (rec.join(F.broadcast(cand), "id")
-                   .join(F.broadcast(qf), "qid")
+        # both sides grow with the request batch: the planner broadcasts them only below its threshold
+        hits = (rec.join(cand, "id")
+                   .join(qf, "qid")
                    .filter(predicate()))
     w = Window.partitionBy("qid").orderBy("rank")
     out = hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= top_k)

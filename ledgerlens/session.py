@@ -16,8 +16,6 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # MIN/MAX/COUNT answered from parquet footers (e.g. max(id) for new ids)
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

@@ -212,7 +212,7 @@ def upsert_bucketed(batch: DataFrame, root: str, upsert_fn, key: list[str],
     the batch by ``upsert_fn`` and written back; files are swapped in at
     commit, so the job may read the buckets it replaces. A ``rebalance``
     hint lets AQE split a hot bucket across writers and merge small ones.
-    Re-running the same batch gives the same table (keyed, last write by
+    Re-running a batch whose keys are all set gives the same table (keyed, last write by
     ``seq``), which is what makes a replayed micro-batch safe.
     Returns the touched bucket numbers (at most ``n_buckets``).
     """
