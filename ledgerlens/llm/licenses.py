@@ -1,16 +1,15 @@
-"""License scans: winnowed template fingerprints, then banded alignment.
-
-1. Of every run of ``WINDOW`` hashes of ``SHINGLE``-word shingles of a template the
-   smallest is kept (winnowing): an inverted index from hash to template and
-   position. Any shared run of ``WINDOW + SHINGLE - 1`` words hits it.
-   A template of fewer words than a shingle is one shingle of its own length.
-2. All shingles of a whole document are looked up. A hit at document word d
-   and template word t says that the template starts near word d - t;
-   starts within a band of each other are one candidate.
-3. A candidate is aligned with the template by the longest common subsequence
-   of words within the band of diagonals. Coverage is the share of the template's words that
-   are matched; from ``MIN_COVERAGE`` on it is reported, with the spans of its unbroken runs.
-4. Of overlapping matches in a document the one with most matched, less unmatched,
+"""License scans: rare template words, then alignment by longest common subsequence.
+
+1. A template of n words is matched when ``m = ceil(MIN_COVERAGE * n)`` of its words stand in
+   order in a stretch of at most ``n + 2 * slack`` document words, ``slack = max(SLACK, n / 8)``.
+2. Of any n - m + 1 words of the template such a stretch holds one. The rarest so many are
+   its anchors: an inverted index from word to template. The choice changes the time alone.
+3. Around anchors every stretch is tested by a bit-parallel longest common subsequence. Stretches are
+   passed over only when too few template words come in on their right to reach m.
+4. A match is drawn tight: its earliest end, then its latest start. What is left before and behind it is
+   searched again, so copies back to back are matches of their own. Coverage is the share of the
+   template's words that are matched, reported with the spans of its unbroken runs.
+5. Of overlapping matches in a document the one with most matched, less unmatched,
    template words stays (then the higher coverage, the smaller template_id, the earlier start).
 
 Templates are a stated query set: they are scanned in blocks of at most
@@ -26,7 +25,9 @@ template_id is reported as null. Empty tables give no rows. Extra columns pass t
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WordHash, column, ngram_hashes, words
+from ledgerlens.llm.common import WordHash, column, words
 
-SHINGLE = 5
-WINDOW = 4
+SLACK = 5
 MIN_COVERAGE = 0.8
 BLOCK_WORDS = 1 << 20
 FILTER_BITS = 20
+# Fixed value: frequent words, which are anchors only when a template has too few others.
+_FREQUENT = frozenset(b"a all an and any are as at be by for from has have if in is it may no not of on or that the this to use was will "
+                      b"with you your".split())
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 MATCH = "struct<template_id:string,coverage:double,matched:bigint,start:bigint,end:bigint,spans:string>"
 _MATCH = pa.list_(pa.struct([("template_id", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()),
@@ -78,41 +81,98 @@ def standard_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows + [(f"{k}/notice", t) for k, t in NOTICES.items()], "template_id string, text string")
 
 
-def winnowed(grams: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Positions of the smallest hash (rightmost of equals) of every window."""
-    w = min(window, len(grams))
-    return sorted({i + w - 1 - int(np.argmin(grams[i:i + w][::-1])) for i in range(len(grams) - w + 1)}) if w else []
-
-
 class Index:
     """Inverted index of a block of templates."""
 
-    def __init__(self, templates: list[tuple[str | None, str | None]]):
+    def __init__(self, templates: list[tuple[str | None, str | None]], min_coverage: float = MIN_COVERAGE):
         memo = WordHash()
         self.ids = [i for i, _ in templates]
-        self.hashes = [memo.of(words((t or "").encode())) for _, t in templates]
-        post: dict[int, dict[int, dict[int, int]]] = {}
-        for n, h in enumerate(self.hashes):
-            grams = ngram_hashes(h, SHINGLE)
-            for p in winnowed(grams):
-                post.setdefault(min(SHINGLE, len(h)), {}).setdefault(int(grams[p]), {}).setdefault(n, p)
-        self.posts = post
-        self.near = {}
-        for k, found in post.items():
-            self.near[k] = np.zeros(1 << FILTER_BITS, bool)
-            self.near[k][np.fromiter(found, np.uint64, len(found)) >> np.uint64(64 - FILTER_BITS)] = True
-
-    def starts(self, h: np.ndarray) -> dict[int, list[int]]:
-        """Template -> words of the document near which it may start."""
-        out: dict[int, set[int]] = {}
-        for k, found in self.posts.items():
-            if len(h) < k:
+        texts = [words((t or "").encode()) for _, t in templates]
+        self.hashes = [memo.of(t) for t in texts]
+        self.need = [max(1, math.ceil(min_coverage * len(t))) for t in texts]
+        self.masks, self.back = [], []
+        self.posts: dict[int, list[int]] = {}
+        held = Counter(w for t in texts for w in set(t))
+        self.anchors: list[set[int]] = []
+        for n, t in enumerate(texts):
+            rare = sorted(t, key=lambda w: (w in _FREQUENT or len(w) < 2, held[w], -len(w), w))[:max(0, len(t) - self.need[n] + 1)]
+            self.anchors.append({memo[w] for w in rare})
+            for w in self.anchors[-1]:
+                self.posts.setdefault(w, []).append(n)
+            ahead: dict[int, int] = {}
+            back: dict[int, int] = {}
+            for i, w in enumerate(self.hashes[n].tolist()):
+                ahead[w] = ahead.get(w, 0) | 1 << i
+                back[w] = back.get(w, 0) | 1 << len(t) - 1 - i
+            self.masks.append(ahead)
+            self.back.append(back)
+        self.near = np.zeros(1 << FILTER_BITS, bool)
+        self.near[np.fromiter(self.posts, np.uint64, len(self.posts)) >> np.uint64(64 - FILTER_BITS)] = True
+
+    def candidates(self, h: np.ndarray) -> list[int]:
+        """Templates of which the document has an anchor and enough words."""
+        near = h[self.near[h >> np.uint64(64 - FILTER_BITS)]]
+        some = {n for w in set(near.tolist()) for n in self.posts.get(w, ())}
+        if not some:
+            return []
+        have = set(h.tolist())
+        return sorted(n for n in some if sum(w in have for w in self.hashes[n].tolist()) >= self.need[n])
+
+
+def common(masks: dict[int, int], size: int, seen: list[int]) -> tuple[int, int]:
+    """Longest common subsequence of a template and the words ``seen``: its length, and the number of words in which it is reached."""
+    full = (1 << size) - 1
+    v, best, last = full, 0, 0
+    for k, w in enumerate(seen):
+        u = v & masks[w]
+        up = v + u
+        if up > full:
+            best, last = best + 1, k + 1
+            if best == size:
+                break
+        v = (up | (v - u)) & full
+    return best, last
+
+
+def stretches(index: Index, n: int, h: np.ndarray) -> list[tuple[int, int]]:
+    """First and last word of every match of template ``n``, apart from each other."""
+    t, need = index.hashes[n], index.need[n]
+    size = len(t)
+    reach = size + 2 * max(SLACK, size // 8)
+    at = np.flatnonzero(np.isin(h, t))
+    anchors = at[np.isin(h[at], np.fromiter(index.anchors[n], np.uint64))]
+    after = np.searchsorted(anchors, at)
+    gap = np.full(len(at), len(h) + reach)
+    gap[after < len(anchors)] = (anchors[after[after < len(anchors)]] - at[after < len(anchors)])
+    gap[after > 0] = np.minimum(gap[after > 0], at[after > 0] - anchors[after[after > 0] - 1])
+    at = at[gap < reach]
+    word, place = h[at].tolist(), at.tolist()
+    ends = np.searchsorted(at, at + reach).tolist()      # behind the last template word in reach
+    out, parts = [], [(0, len(place))]
+    while parts:
+        i, stop = parts.pop()
+        while stop - i >= need:
+            z = min(ends[i], stop)
+            best, last = common(index.masks[n], size, word[i:z]) if z - i >= need else (0, 0)
+            if best < need:
+                # a later start reaches ``need`` only with so many more words on its right
+                i, more = i + 1, z + need - (best if z - i >= need else z - i)
+                if more > stop:
+                    break
+                while min(ends[i], stop) < more:
+                    i += 1
                 continue
-            grams = ngram_hashes(h, k)
-            for d in np.flatnonzero(self.near[k][grams >> np.uint64(64 - FILTER_BITS)]).tolist():
-                for n, p in found.get(int(grams[d]), {}).items():
-                    out.setdefault(n, set()).add(d - p)
-        return {n: sorted(s) for n, s in out.items()}
+            first, got = i, 0
+            while best > got:      # a tighter start may see further
+                got = best
+                end = first + last
+                first = end - common(index.back[n], size, word[first:end][::-1])[1]
+                best, last = common(index.masks[n], size, word[first:min(ends[first], stop)])
+            end = first + last
+            out.append((place[first], place[end - 1]))
+            parts.append((i, first))
+            i = end
+    return out
 
 
 def aligned(t: np.ndarray, h: np.ndarray, low: int, high: int) -> list[int]:
@@ -140,21 +200,15 @@ def aligned(t: np.ndarray, h: np.ndarray, low: int, high: int) -> list[int]:
     return out[::-1]
 
 
-def matches(index: Index, text: str, h: np.ndarray, min_coverage: float) -> list[dict]:
+def matches(index: Index, text: str, h: np.ndarray) -> list[dict]:
     """Every template occurrence of enough coverage in a document."""
     out, offsets = [], None
-    for n, starts in index.starts(h).items():
+    for n in index.candidates(h):
         t = index.hashes[n]
-        band = max(SHINGLE, len(t) // 8)
-        i = 0
-        while i < len(starts):
-            j = i
-            while j + 1 < len(starts) and starts[j + 1] <= starts[i] + band:
-                j += 1
-            hit = aligned(t, h, starts[i] - band, starts[j] + band)
-            i = j + 1
-            if len(hit) < min_coverage * len(t):
-                continue
+        for first, last in stretches(index, n, h):
+            part = h[first:last + 1]
+            most = common(index.masks[n], len(t), [w for w in part.tolist() if w in index.masks[n]])[0]
+            hit = [first + x for x in aligned(t, part, most - len(t), len(part) - most)]
             offsets = offsets or [m.span() for m in _WORD.finditer(text)]
             cuts = [x for x in range(1, len(hit)) if hit[x] != hit[x - 1] + 1]
             runs = [(offsets[hit[a]][0], offsets[hit[z - 1]][1]) for a, z in zip([0, *cuts], [*cuts, len(hit)], strict=True)]
@@ -198,14 +252,14 @@ def scanned(docs: DataFrame, templates: DataFrame, min_coverage: float = MIN_COV
                 out = []
                 for text, found in zip(column(b, "scan_text").to_pylist(), column(b, "matches").to_pylist(), strict=True):
                     if index is not None and text:
-                        found = found + matches(index.value, text, memo.of(words(text.encode())), min_coverage)
+                        found = found + matches(index.value, text, memo.of(words(text.encode())))
                     out.append(apart(found) if last and found else found)
                 memo.trim()
                 yield pa.RecordBatch.from_arrays([column(b, "row"), column(b, "scan_text"), pa.array(out, _MATCH)], schema.names)
         return run
 
     for block in blocks(templates, block_words):
-        rows = rows.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(Index(block)), False), schema)
+        rows = rows.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(Index(block, min_coverage)), False), schema)
     return rows.mapInArrow(scan(None, True), schema).select("row", "matches")
 
 

@@ -288,3 +288,47 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert 0 < out.count() <= docs.count()
+
+
+def test_licenses_with_changed_inserted_and_repeated_words(spark):
+    rows = [(1, "Licensed under the Apache Software License, Version 2.0"), (2, "Released under MIT License Released under MIT License"),
+            (3, "Distributed under the Mozilla General License, v. 2.0"), (4, "Released under MIT License " * 3 + "Licensed under BY 4.0 CC")]
+    got = licenses.license_matches(docs_frame(spark, [(i, t, "s") for i, t in rows]), licenses.standard_templates(spark)).collect()
+    by = {i: sorted((r.start, r.template_id, r.coverage) for r in got if r.doc_id == i) for i, _ in rows}
+    assert by[1] == [(0, "apache-2.0/grant-1", 1.0)]
+    assert by[2] == [(0, "mit/grant-2", 1.0), (27, "mit/grant-2", 1.0)]
+    assert by[3] == [(0, "mpl-2.0/grant-4", 8 / 9)]
+    assert [m for m in by[4] if m[1] == "mit/grant-2"] == [(27 * i, "mit/grant-2", 1.0) for i in range(3)]
+
+
+def test_license_stretches_against_unpruned_alignment():
+    rnd = random.Random(11)
+    vocabulary = [f"t{i}" for i in range(30)] + ["the", "of"]
+    for case in range(300):
+        t = [rnd.choice(vocabulary) for _ in range(rnd.choice((2, 4, 5, 9, 14, 30)))]
+        doc = []
+        for _ in range(rnd.randrange(1, 4)):
+            copy = [w for w in t for w in ([w] if rnd.random() > 0.15 else rnd.choice(([], [w, "in"], ["x"], [w, rnd.choice(vocabulary)])))]
+            doc += copy + [rnd.choice([*vocabulary, "y", "z"]) for _ in range(rnd.choice((0, 0, 3, 20)))]
+        index = licenses.Index([("t", " ".join(t))])
+        memo = licenses.WordHash()
+        h = memo.of([w.encode() for w in doc])
+        n, need = len(t), index.need[0]
+        reach = n + 2 * max(licenses.SLACK, n // 8)
+
+        def longest(words):
+            row = [0] * (n + 1)
+            for w in words:
+                row = [0, *np.maximum.accumulate([max(row[i + 1], row[i] + (w == t[i])) for i in range(n)]).tolist()]
+            return row[n]
+
+        found = licenses.stretches(index, 0, h) if index.candidates(h) else []
+        assert all(longest(doc[a:z + 1]) >= need and z - a < reach for a, z in found), case
+        left, at = [], 0
+        for a, z in sorted(found):
+            assert a >= at
+            left.append(doc[at:a])
+            at = z + 1
+        # nothing is left that an alignment of every stretch would find
+        for part in [*left, doc[at:]]:
+            assert all(longest(part[i:i + reach]) < need for i in range(len(part))), case
