@@ -109,19 +109,18 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer)
         for b in batches:
-            ids, bounds, chars, keys = [], [], [], []
+            ids, bounds, chars = [], [], []
             for role, text in zip(column(b, "role").to_pylist(), column(b, "text").to_pylist(), strict=True):
                 r, t = escape(role, _ROLE), escape(text)
                 i, low, high = assembled(codec.encode(r), codec.encode(t), role == LOSS_ROLE, codec)
                 ids.append(i.tobytes())
                 bounds.append((low, high))
                 chars.append(len(TURN) + len(r) + len(NAMED) + len(t) + len(END))
-                keys.append(hashlib.blake2b(text.encode(), digest_size=8).digest())
             yield pa.RecordBatch.from_arrays(
-                [column(b, "conv_id"), column(b, "turn"), column(b, "role"), pa.array(keys, pa.binary()),
+                [column(b, "conv_id"), column(b, "turn"), column(b, "role"), column(b, "text"),
                  pa.array(ids, pa.binary()), pa.array([x for x, _ in bounds], pa.int64()), pa.array([x for _, x in bounds], pa.int64()),
                  pa.array(chars, pa.int64())],
-                ["conv_id", "turn", "role", "key", "ids", "low", "high", "n_chars"])
+                ["conv_id", "turn", "role", "text", "ids", "low", "high", "n_chars"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, nth, start = (), 0, 0
@@ -140,8 +139,8 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
                                               pa.array(masks, pa.list_(pa.bool_())), pa.array(starts, pa.int64()), column(b, "n_chars")],
                                              ["conv_id", "nth", "ids", "loss_mask", "start", "n_chars"])
 
-    return (rows.mapInArrow(encode, "conv_id long, turn long, role string, key binary, ids binary, low long, high long, n_chars long")
-            .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "key")
+    return (rows.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids binary, low long, high long, n_chars long")
+            .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn", "role", "text")
             .mapInArrow(place, FORMATTED))
 
 

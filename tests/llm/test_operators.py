@@ -332,3 +332,16 @@ def test_license_stretches_against_unpruned_alignment():
         # nothing is left that an alignment of every stretch would find
         for part in [*left, doc[at:]]:
             assert all(longest(part[i:i + reach]) < need for i in range(len(part))), case
+
+
+def test_chat_orders_tied_turns_by_text(spark):
+    import duckdb
+    from ledgerlens.llm.queries import ORACLE
+
+    rows = [(c, t, r, f"{w} {c}") for c in range(4) for t in (None, 1) for r in ("assistant", "user") for w in ("b", "é", "a", "", "Z", "z" * 9000)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: tuple(r) for r in chat.chat_digests(conv.unionByName(chat.probe(spark))).collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert got == {r[0]: r for r in db.execute(ORACLE["op10_chat"]).fetchall()}
