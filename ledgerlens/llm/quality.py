@@ -9,9 +9,9 @@ function of the weighted sum of passage vectors.
 
 Training uses a bounded sample, ``TRAIN_DOCS`` labelled rows in a hashed
 order, half of each label, and of the labelled rows only those outside the held-out
-fold: crc32(doc_id as text) mod 4 is not 2. Their passage features (bounded by
-``TRAIN_PASSAGES`` per document for fitting alone) come to the driver, where
-a few hundred gradient steps are taken; the weights, some 100 kB, are
+fold: crc32(doc_id as text) mod 4 is not 2. The features of all their passages come to the
+driver, a piece of a text per row, and are kept in a file there; a few hundred gradient steps
+read the bags of a batch from it, ``STEP_PASSAGES`` at a time. The weights, some 100 kB, are
 broadcast. Scoring reads whole texts of all documents in one narrow pass.
 
 Defined results: null and empty texts are one passage without words and get
@@ -23,6 +23,7 @@ Label, language, source and doc_id are no inputs of a score.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ PASSAGE_WORDS = 64
 WORD_BUCKETS = 192
 SHAPE_BUCKETS = 48
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 64
+STEP_PASSAGES = 1 << 15
 HIDDEN = 24
 GATES = 12
 EPOCHS = 30
@@ -129,6 +130,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Bags:
+    """Passage features of the training documents, as half floats in a file that goes when it is closed."""
+
+    def __init__(self):
+        self.file = tempfile.TemporaryFile()
+        self.starts = [0]
+
+    def add(self, x: bytes, new: bool) -> None:
+        """The next passages, of a new document or of the last one."""
+        self.file.write(x)
+        if new:
+            self.starts.append(self.starts[-1])
+        self.starts[-1] += len(x) // (2 * FEATURES)
+
+    def steps(self, docs: np.ndarray, size: int = STEP_PASSAGES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Passages of the documents in their order and the place of each one's document, at most ``size`` at a time."""
+        xs, own, held = [], [], 0
+        for place, d in enumerate(docs.tolist()):
+            at, end = self.starts[d], self.starts[d + 1]
+            while at < end:
+                n = min(end - at, size - held)
+                self.file.seek(at * 2 * FEATURES)
+                xs.append(np.frombuffer(self.file.read(n * 2 * FEATURES), "<f2").reshape(n, FEATURES))
+                own.append(np.full(n, place))
+                at, held = at + n, held + n
+                if held == size:
+                    yield np.concatenate(xs).astype(np.float32), np.concatenate(own)
+                    xs, own, held = [], [], 0
+        if held:
+            yield np.concatenate(xs).astype(np.float32), np.concatenate(own)
+
+
 @dataclass
 class Model:
     """Weights of the passage layer (e, f), gated attention (v, u, w) and the score (c, b)."""
@@ -143,36 +176,49 @@ class Model:
         return cls({k: (r.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 or k in "wc" else np.zeros(s)).astype(np.float32)
                     for k, s in shapes.items()})
 
-    def forward(self, x: np.ndarray, owner: np.ndarray, n: int) -> dict[str, np.ndarray]:
-        """Passages in the order of their documents."""
+    def passage(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Vector, both parts of the gate, and the attention before its normalisation of every passage."""
         p = self.weights
         h = np.tanh(x @ p["e"] + p["f"])
         tv, su = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
-        g = (tv * su) @ p["w"]
-        ex = np.exp(g - np.maximum.reduceat(g, np.searchsorted(owner, np.arange(n)))[owner])
-        a = (ex / np.bincount(owner, ex, minlength=n)[owner]).astype(np.float32)
-        z = np.add.reduceat(a[:, None] * h, np.searchsorted(owner, np.arange(n)))
-        return {"h": h, "tv": tv, "su": su, "a": a, "z": z, "s": _sigmoid(z @ p["c"] + p["b"])}
-
-    def gradients(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, o = self.weights, self.forward(x, owner, len(y))
-        d = ((o["s"] - y) / len(y)).astype(np.float32)
+        return h, tv, su, (tv * su) @ p["w"]
+
+    def gradients(self, bags: Bags, docs: np.ndarray, y: np.ndarray, size: int = STEP_PASSAGES) -> dict[str, np.ndarray]:
+        """Attention is summed over the steps first; the second time each passage's share of the gradient is added."""
+        p, n = self.weights, len(y)
+        top, den, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
+        steps = list(bags.steps(docs, size)) if sum(bags.starts[i + 1] - bags.starts[i] for i in docs) <= size else None
+        for x, owner in steps or bags.steps(docs, size):
+            h, _, _, g = self.passage(x)
+            firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            new = top.copy()
+            new[owner[firsts]] = np.maximum(new[owner[firsts]], np.maximum.reduceat(g, firsts))
+            scale = np.exp(top - np.where(np.isfinite(new), new, 0))
+            ex = np.exp(g - new[owner])
+            den = den * scale + np.bincount(owner, ex, minlength=n)
+            z *= scale[:, None]
+            z[owner[firsts]] += np.add.reduceat(ex[:, None] * h, firsts)
+            top = new
+        z /= den[:, None]
+        d = ((_sigmoid(z @ p["c"] + p["b"]) - y) / n).astype(np.float32)
         dz = d[:, None] * p["c"]
-        da = (dz[owner] * o["h"]).sum(axis=1)
-        dg = o["a"] * (da - np.bincount(owner, o["a"] * da, minlength=len(y))[owner].astype(np.float32))
-        dh = o["a"][:, None] * dz[owner]
-        gate = dg[:, None] * p["w"]
-        dv, du = gate * o["su"] * (1 - o["tv"] ** 2), gate * o["tv"] * o["su"] * (1 - o["su"])
-        dh += dv @ p["v"].T + du @ p["u"].T
-        de = dh * (1 - o["h"] ** 2)
-        return {"e": x.T @ de, "f": de.sum(0), "v": o["h"].T @ dv, "u": o["h"].T @ du, "w": (o["tv"] * o["su"]).T @ dg,
-                "c": o["z"].T @ d, "b": np.array([d.sum()])}
-
-    def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128,
+        mean = (z * dz).sum(axis=1)
+        out = {k: np.zeros(v.shape) for k, v in p.items()} | {"c": z.T @ d, "b": np.array([d.sum()])}
+        for x, owner in steps or bags.steps(docs, size):
+            h, tv, su, g = self.passage(x)
+            a = (np.exp(g - top[owner]) / den[owner]).astype(np.float32)
+            dg = (a * ((dz[owner] * h).sum(axis=1) - mean[owner])).astype(np.float32)
+            gate = dg[:, None] * p["w"]
+            dv, du = gate * su * (1 - tv ** 2), gate * tv * su * (1 - su)
+            de = (a[:, None] * dz[owner] + dv @ p["v"].T + du @ p["u"].T) * (1 - h ** 2)
+            for k, v in {"e": x.T @ de, "f": de.sum(0), "v": h.T @ dv, "u": h.T @ du, "w": (tv * su).T @ dg}.items():
+                out[k] += v
+        return out
+
+    def fit(self, bags: Bags, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128,
             rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> None:
         """Adam over batches of documents."""
         r = np.random.default_rng(seed)
-        starts = np.searchsorted(owner, np.arange(len(y) + 1))
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         var = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
@@ -180,11 +226,9 @@ class Model:
             order = r.permutation(len(y))
             for at in range(0, len(y), batch):
                 docs = order[at:at + batch]
-                rows = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in docs])
-                own = np.repeat(np.arange(len(docs)), starts[docs + 1] - starts[docs])
                 step += 1
-                for k, g in self.gradients(x[rows], own, y[docs]).items():
-                    g = g + decay * self.weights[k]
+                for k, g in self.gradients(bags, docs, y[docs]).items():
+                    g = (g + decay * self.weights[k]).astype(np.float32)
                     mean[k] = 0.9 * mean[k] + 0.1 * g
                     var[k] = 0.999 * var[k] + 0.001 * g * g
                     self.weights[k] -= rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(var[k] / (1 - 0.999 ** step)) + 1e-8)
@@ -257,24 +301,31 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for b in batches:
-            texts = text_bytes(b)
-            x, owner = passages(texts, tokens)
-            tokens.trim()
-            seen = np.searchsorted(owner, owner)
-            use = (np.arange(len(owner)) - seen) < TRAIN_PASSAGES
-            out = [x[use & (owner == i)].astype("<f2").tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([column(b, "nth"), column(b, "doc_id"), column(b, "quality"), pa.array(out, pa.binary())],
-                                             ["nth", "doc_id", "quality", "x"])
-
+            for i, text in enumerate(text_bytes(b)):
+                for part, piece in enumerate(pieces(text or b"")):
+                    x = passages([piece], tokens)[0].astype("<f2").tobytes()
+                    tokens.trim()
+                    yield pa.RecordBatch.from_arrays([*[column(b, c)[i:i + 1] for c in ("nth", "doc_id", "same", "quality", "row")],
+                                                      pa.array([part], pa.int64()), pa.array([x], pa.binary())],
+                                                     ["nth", "doc_id", "same", "quality", "row", "part", "x"])
+
+    # rows of one doc_id go by text; ``row`` keeps the pieces of equal rows apart
     rows = (training_sample(docs, labels, train_docs)
-            .mapInArrow(encode, "nth long, doc_id long, quality int, x binary")
-            .orderBy("nth", "doc_id", F.xxhash64("x")).limit(train_docs).collect())
-    y = np.array([r.quality for r in rows], float)
+            .select("nth", "doc_id", F.xxhash64("text").alias("same"), "quality", F.monotonically_increasing_id().alias("row"), "text")
+            .mapInArrow(encode, "nth long, doc_id long, same long, quality int, row long, part long, x binary")
+            .orderBy("nth", "doc_id", "same", "row", "part"))
+    bags, labelled = Bags(), []
+    for r in rows.toLocalIterator():
+        if r.part == 0:
+            if len(labelled) == train_docs:
+                break
+            labelled.append(r.quality)
+        bags.add(r.x, r.part == 0)
+    y = np.array(labelled, float)
     if not len(y) or y.min() == y.max():
         return Model({}, float(y.mean()) if len(y) else 0.5)
     model = Model.start()
-    each = [np.frombuffer(r.x, "<f2").reshape(-1, FEATURES) for r in rows]
-    model.fit(np.concatenate(each).astype(np.float32), np.repeat(np.arange(len(y)), [len(e) for e in each]), y)
+    model.fit(bags, y)
     return model
 
 

@@ -345,3 +345,41 @@ def test_chat_orders_tied_turns_by_text(spark):
     db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     assert got == {r[0]: r for r in db.execute(ORACLE["op10_chat"]).fetchall()}
+
+
+def test_quality_learns_from_passages_far_behind(spark):
+    plain, bad = "The committee reviewed the careful report and agreed. " * 600, "$$$ CLICK buy buy buy !!! free free " * 600
+    docs = docs_frame(spark, [(i, plain + (bad if i % 2 == 0 else plain), "s") for i in range(80)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_quality_gradients_by_steps_are_those_of_the_loss():
+    rnd = np.random.default_rng(2)
+    bags, sizes = quality.Bags(), (3, 1, 40, 7)
+    for n in sizes:
+        for i in range(n):
+            bags.add(rnd.normal(0, 0.3, quality.FEATURES).astype("<f2").tobytes(), i == 0)
+    y, docs, model = np.array([1.0, 0, 1, 0]), np.array([2, 0, 3, 1]), quality.Model.start()
+    whole, steps = (model.gradients(bags, docs, y[docs], size) for size in (1000, 5))
+    assert all(np.allclose(whole[k], steps[k], atol=1e-6) for k in whole)
+
+    def loss():
+        total = 0.0
+        for i, d in enumerate(docs):
+            x = np.concatenate([x for x, _ in bags.steps(np.array([d]))])
+            h, _, _, g = model.passage(x)
+            a = np.exp(g - g.max())
+            s = float(1 / (1 + np.exp(-(a / a.sum() @ h @ model.weights["c"] + model.weights["b"][0]))))
+            total -= np.log(s if y[d] else 1 - s) / len(docs)
+        return total
+
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    for k, v in model.weights.items():
+        at = np.unravel_index(np.argmax(np.abs(whole[k])), v.shape)
+        v[at] += 1e-4
+        up = loss()
+        v[at] -= 2e-4
+        assert abs((up - loss()) / 2e-4 - whole[k][at]) < 1e-4 + 0.02 * abs(whole[k][at]), k
+        v[at] += 1e-4
