@@ -4,21 +4,22 @@ Base spans (e-mail, ip, card, phone) are found by pattern in whole texts,
 leftmost and non-overlapping per kind. Their values are the protected entities.
 
 A term reveals an entity when seeing it tells nearly as much as the entity
-itself. With ``n_c`` different contexts (``CONTEXT_WORDS`` words to either side) of entity
-c, ``n_ct`` of them with term t, ``n_t`` of N documents with t and ``d_c``
-with c:
+itself. Of N different texts (exact copies are one), ``d_c`` hold entity c, ``n_t`` term t, and ``n_ct`` both,
+the term anywhere outside base spans:
 
-    PMI(c; t) = log2((n_ct / n_c) / (n_t / N)),   IC(c) = log2(N / d_c)
-    disclosure(c; t) = PMI(c; t) / IC(c)
+    PMI(c; t) = log2((n_ct / d_c) / (n_t / N)),   IC(c) = log2(N / d_c)
+    disclosure(c; t) = PMI(c; t) / IC(c) = 1 + log2(n_ct / n_t) / IC(c)
 
-Terms seen in at least ``MIN_CONTEXTS`` different contexts of c are
-generalised in documents that hold c from a disclosure of 0.8, and removed
-from 1. Contexts that agree word by word, as in copies of a document, are one
-observation, so a text that was merely copied discloses nothing by it.
+Few observations are no proof: whether a term is sanitised is decided by its smoothed disclosure, with one more text that
+has the term without the entity, ``1 + log2(n_ct / (n_t + 1)) / IC(c)``. From 0.8 on it is
+generalised in documents that hold c, and removed if its plain disclosure is 1.
 
-Counts cover all documents. Term counts are needed for terms of entities alone: those
+As n_ct is at most d_c, only terms with ``n_t + 1 <= d_c * (N / d_c) ** (1 - 0.8)`` can get there; others are dropped before
+entities and terms of a text are paired. Entities that stand in the same texts have the same figures and are paired as one.
+
+Counts cover all documents. Term counts are needed for terms of texts with entities alone: those
 are marked in a bitmap of 2^23 bits (1 MB, whatever the corpus), which is all that is
-broadcast; counts are summed per task before the shuffle, and exact joins follow.
+broadcast by hand; counts are summed per task before the shuffle, and exact joins follow.
 
 Defined results: null and empty texts have no spans. Rows that repeat a
 doc_id are scanned row by row, and share the terms found for that doc_id. Rows with a null doc_id count in all
@@ -29,21 +30,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import column, kept, text_bytes, words
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT_WORDS = 8
-MIN_CONTEXTS = 3
 GENERALISE = 0.8
 REMOVE = 1.0
 BITMAP_BITS = 1 << 23
@@ -101,48 +99,45 @@ def entity(kind: str, value: str) -> bytes:
     return hashlib.blake2b(f"{kind}:{value.translate(_LOWER)}".encode(), digest_size=16).digest()
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[bytes, int, list[str]]]:
-    """(entity, hash of its context, different words of the context) of every base span."""
-    ws = [(m.start(), m.end(), m.group().translate(_LOWER)) for m in _WORD.finditer(text)]
+def outside(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """Different words of the text outside its base spans."""
     taken = sorted((a, z) for _, a, z in spans)
-    starts, reach, far = [a for a, _ in taken], [], 0
-    for _, z in taken:
-        far = max(far, z)
-        reach.append(far)
-
-    def inside(a: int, z: int) -> bool:
-        k = bisect_left(starts, z) - 1
-        return k >= 0 and reach[k] > a
-
-    ws = [w for w in ws if not inside(w[0], w[1])]
-    at = [w[0] for w in ws]
-    out = []
-    for kind, a, z in spans:
-        left, right = bisect_left(at, a), bisect_right(at, z - 1)
-        near = [w[2] for w in ws[max(0, left - CONTEXT_WORDS):left] + ws[right:right + CONTEXT_WORDS]]
-        h = xxhash.xxh3_64_intdigest(" ".join(near).encode()) - (1 << 63)
-        out.append((entity(kind, text[a:z]), h, sorted(set(near))))
-    return out
+    out, k, far = set(), 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            far, k = max(far, taken[k][1]), k + 1
+        if far <= m.start():
+            out.add(m.group().translate(_LOWER))
+    return sorted(out)
+
+
+PRINT = ["print_a", "print_b"]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text and the fingerprint that exact copies share."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+                       F.xxhash64(text).alias("print_a"), F.xxhash64(text, F.lit(7)).alias("print_b"))
 
 
-def entity_contexts(docs: DataFrame) -> DataFrame:
-    """A row per base span: doc_id, entity, context, terms."""
+def private_texts(docs: DataFrame) -> DataFrame:
+    """A row per document with base spans: doc_id, fingerprint, its different entities and terms."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc_id, text in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist(), strict=True):
-                spans = base_spans(text) if text else []
+            at, out = [], []
+            for i, text in enumerate(column(b, "text").to_pylist()):
+                spans = base_spans(text)
                 if spans:
-                    out += [(doc_id, *c) for c in contexts(text, spans)]
+                    at.append(i)
+                    out.append((sorted({entity(k, text[a:z]) for k, a, z in spans}), outside(text, spans)))
+            rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.string())))],
-                ["doc_id", "entity", "context", "terms"])
+                [*[column(b, c).take(rows) for c in ("doc_id", *PRINT)],
+                 pa.array([e for e, _ in out], pa.list_(pa.binary())), pa.array([t for _, t in out], pa.list_(pa.string()))],
+                ["doc_id", *PRINT, "entities", "terms"])
 
-    return _texts(docs).mapInArrow(find, "doc_id long, entity binary, context long, terms array<string>")
+    return _texts(docs).mapInArrow(find, "doc_id long, print_a long, print_b long, entities array<binary>, terms array<string>")
 
 
 def _slot(term: bytes) -> int:
@@ -181,8 +176,8 @@ class Marked(dict):
             self.clear()
 
 
-def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, n_t)``: documents with each of the terms."""
+def document_counts(docs: DataFrame, copies: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, n_t)``: different texts with each of the terms. Each of n copies counts as 1 / n."""
     bits = bitmap(docs.sparkSession, terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,57 +185,54 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([t.decode("utf-8", "replace") for t in seen], pa.string()),
-                                              pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                                              pa.array(list(seen.values()), pa.float64())], ["term", "n"])
             seen.clear()
             return out
 
         for b in batches:
-            for text in text_bytes(b):
-                seen.update(w for w in set(words(text)) if marked[w])
+            for text, copied in zip(text_bytes(b), column(b, "copied").to_pylist(), strict=True):
+                for w in set(words(text)):
+                    if marked[w]:
+                        seen[w] += 1 / copied
             marked.trim()
             if len(seen) > 100_000:
                 yield rows()
         yield rows()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(
-        F.sum("n").alias("n_t")).join(terms.select("term"), "term", "left_semi")
+    rows = _texts(docs).join(copies, PRINT, "left").select("text", F.coalesce("copied", F.lit(1)).alias("copied"))
+    return rows.mapInArrow(count, "term string, n double").groupBy("term").agg(
+        F.round(F.sum("n")).cast("long").alias("n_t")).join(terms.select("term"), "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """``(entity, term, n_ct, n_c, n_t, disclosure)`` of terms in enough contexts."""
+def document_terms(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """``(doc_id, terms)``: the terms to sanitise in each document, with their disclosure."""
     spark = docs.sparkSession
-    pairs = (found.select("entity", "context", F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= min_contexts))
-    pairs = kept(spark, pairs, "pairs")
-    by_entity = (found.groupBy("entity", "context", "doc_id").agg(F.count("*").alias("n"))
-                 .groupBy("entity").agg(F.countDistinct("context").alias("n_c"), F.countDistinct("doc_id").alias("d_c")))
-    counts = document_counts(docs, pairs.select("term").distinct())
-    n = docs.count()
-    pmi = F.log2(F.col("n_ct") / F.col("n_c") * F.lit(n) / F.col("n_t"))
-    ic = F.log2(F.lit(n) / F.greatest("d_c", F.lit(1)))
-    return (pairs.join(by_entity, "entity").join(counts, "term")
-            .withColumn("disclosure", F.when(ic > 0, pmi / ic)).filter("disclosure is not null"))
-
-
-def document_terms(docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """``(doc_id, terms)``: the flagged terms of each document's own entities that occur in it, with their disclosure."""
-    bits = bitmap(docs.sparkSession, flagged.select("term").distinct())
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = Marked(bits.value)
-        for b in batches:
-            out = []
-            for doc_id, text in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist(), strict=True):
-                terms = [w for w in set(words((text or "").encode())) if marked[w]]
-                if terms:
-                    own = {entity(k, text[a:z]) for k, a, z in base_spans(text)}
-                    out += [(doc_id, e, t.decode("utf-8", "replace")) for e in own for t in terms]
-            marked.trim()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()),
-                                              pa.array([r[2] for r in out], pa.string())], ["doc_id", "entity", "term"])
-
-    return (_texts(docs).filter("doc_id is not null").mapInArrow(match, "doc_id long, entity binary, term string")
-            .join(flagged.select("entity", "term", "disclosure"), ["entity", "term"])
+    copies = kept(spark, _texts(docs).groupBy(*PRINT).agg(F.count("*").alias("copied")).filter("copied > 1"), "copies")
+    n = docs.count() - (copies.agg(F.sum(F.col("copied") - 1)).first()[0] or 0)
+    found = kept(spark, private_texts(docs), "private")
+
+    # entities of the same texts are one class: their number and the sums of two fingerprints
+    own = found.select(*PRINT, F.explode("entities").alias("entity")).distinct()
+    classes = own.groupBy("entity").agg(F.count("*").alias("d_c"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(f"sum_{c}") for c in PRINT])
+    classes = classes.select("entity", "d_c", F.concat_ws(":", "d_c", "sum_print_a", "sum_print_b").alias("class"))
+    own = kept(spark, own.join(classes, "entity").select(*PRINT, "class", "d_c").distinct(), "classes")
+
+    def may(d_c: str) -> Column:      # a little wider than the bound, for rounding
+        return F.col("n_t") + 1 <= F.col(d_c) * F.pow(F.lit(float(n)) / F.col(d_c), F.lit(1 - generalise)) * 1.000001
+
+    terms = found.select(*PRINT, F.explode("terms").alias("term")).distinct()
+    counts = kept(spark, document_counts(docs, copies, terms.select("term").distinct()), "term_counts")
+    most = own.groupBy(*PRINT).agg(F.max("d_c").alias("most"))
+    rare = kept(spark, terms.join(counts, "term").join(most, PRINT).filter(may("most")).select(*PRINT, "term", "n_t"), "rare_terms")
+    pairs = rare.join(own, PRINT).filter(may("d_c"))
+
+    ic = F.log2(F.lit(float(n)) / F.col("d_c"))
+    flagged = (pairs.groupBy("class", "d_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
+               .filter(ic > 0).filter(1 + F.log2(F.col("n_ct") / (F.col("n_t") + 1)) / ic >= generalise)
+               .select("class", "term", (1 + F.log2(F.col("n_ct") / F.col("n_t")) / ic).alias("disclosure")))
+    flagged = kept(spark, flagged, "disclosures")
+    held = pairs.join(flagged, ["class", "term"]).groupBy(*PRINT, "term").agg(F.max("disclosure").alias("disclosure"))
+    return (found.filter("doc_id is not null").select("doc_id", *PRINT).distinct().join(held, PRINT)
             .groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
             .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms")))
 
@@ -273,19 +265,14 @@ def masked(text: str, spans: list[tuple[str, int, int]], terms: dict[str, float]
     return "".join([*out, text[pos:]])
 
 
-def flagged_terms(docs: DataFrame, generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def flagged_terms(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """``(doc_id, terms)``: per document the terms to generalise or remove."""
-    spark = docs.sparkSession
-    found = kept(spark, entity_contexts(docs), "contexts")
-    flagged = kept(spark, disclosures(docs, found, min_contexts).filter(F.col("disclosure") >= generalise), "disclosures")
-    if flagged.isEmpty():
-        return spark.createDataFrame([], "doc_id long, terms map<string,double>")
-    return kept(spark, document_terms(docs, flagged), "document_terms")
+    return kept(docs.sparkSession, document_terms(docs, generalise), "document_terms")
 
 
-def scanned(docs: DataFrame, generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def scanned(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``, with counts, spans and the sanitised text."""
-    terms = flagged_terms(docs, generalise, min_contexts)
+    terms = flagged_terms(docs, generalise)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("scan_id"), F.col("text").cast("string").alias("scan_text"))
     rows = rows.join(terms, F.col("scan_id") == F.col("doc_id"), "left").select("row", "scan_text", "terms")
     schema = rows.select("row", *[F.lit(0).cast("long").alias(f"n_{k}") for k in (*KINDS, "term")],
@@ -315,7 +302,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_term")
 
 
-def sanitise(docs: DataFrame, generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """``docs`` with ``text`` replaced by its sanitised form."""
-    out = scanned(docs, generalise, min_contexts)
+    out = scanned(docs, generalise)
     return out.select(*[F.col("sanitised").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -383,3 +383,16 @@ def test_quality_gradients_by_steps_are_those_of_the_loss():
         v[at] -= 2e-4
         assert abs((up - loss()) / 2e-4 - whole[k][at]) < 1e-4 + 0.02 * abs(whole[k][at]), k
         v[at] += 1e-4
+
+
+def test_pii_terms_of_signatures_rare_entities_and_far_words(spark):
+    body = [" ".join(f"{w}{(i * 7 + j) % 20}" for j, w in enumerate("note about weather town river market garden bridge school road".split())) for i in range(90)]
+    told = [(i, f"{body[i]} so far Anna Quillborough Head of Surgery anna@clinic.org", "s") for i in range(20)]
+    far = [(30 + i, f"Tamsin began {body[30 + i]} and {body[31 + i]} then wrote to far@clinic.org", "s") for i in range(2)]
+    copied = [(40, f"Zebedee {body[40]} of copied@clinic.org", "s")] * 5
+    other = [(1000 + i, f"then began head of and far to wrote plain{i} {body[50 + i % 40]} {body[i]}", "s") for i in range(90)]
+    wide = [(2000 + i, f"other text number{i} {body[i % 90]}", "s") for i in range(2000)]
+    out = {r.doc_id: r.text for r in pii.sanitise(docs_frame(spark, told + far + copied + other + wide)).collect()}
+    assert all("Quillborough" not in out[i] and "Anna" not in out[i] and "note" in out[i] for i in range(20))
+    assert all("Tamsin" not in out[30 + i] for i in range(2)) and "Zebedee" not in out[40]
+    assert all(out[i] == t for i, t, _ in other + wide)
