@@ -396,3 +396,14 @@ def test_pii_terms_of_signatures_rare_entities_and_far_words(spark):
     assert all("Quillborough" not in out[i] and "Anna" not in out[i] and "note" in out[i] for i in range(20))
     assert all("Tamsin" not in out[30 + i] for i in range(2)) and "Zebedee" not in out[40]
     assert all(out[i] == t for i, t, _ in other + wide)
+
+
+def test_url_list_with_false_positives_and_a_hot_url(spark):
+    urls = ["http://listed.example/a/"] * 300 + [f"https://www.listed.example/p{i}?utm_source=x&k=1#f" for i in range(100)] + ["http://example.net/en/1", "http://w.net/z"]
+    listed = spark.createDataFrame([("http://listed.example/a",), ("http://www.example.net/en/1",), (None,)]
+                                   + [(f"http://listed.example/p{i}?k=1",) for i in range(0, 100, 2)], "url string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = ["block"] * 300 + ["block", "allow"] * 50 + ["allow", "block"]
+    for bits, most in ((12, 32 << 20), (1, 32 << 20), (12, 0)):     # as dealt; many false positives; over the broadcast bound
+        got = url_filter.filter_urls(pages, url_filter.rules_frame(spark), listed, bits_per_key=bits, max_filter_bytes=most).collect()
+        assert [r.verdict for r in sorted(got, key=lambda r: r.page_id)] == want
