@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, pii, quality, url_filter, warc
+from ledgerlens.llm import (
+    chat, collocations, decontaminate, exact_dedup, jaccard_join, licenses, mixing, periodic_runs, pii, quality, token_counts, url_filter, warc,
+)
 from ledgerlens.llm.common import table
 
 
@@ -51,6 +53,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(rows.unionByName(chat.probe(spark)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -62,11 +76,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_token_counts": op13_token_counts,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEXT = _LOWER.format("coalesce(text, '')")
 
+def _periodic_runs_sql(levels: int = 18) -> str:
+    """Periods up to 2 ** (levels - 1): groups of m words are numbered for m = 1, 2, 4 ..., a period q of more than m / 2 and up
+    to m shows as the distance to the next equal group, and stretches of words equal q on are laid out for such q alone."""
+    step = "lambda v, z: xor(v >> 1, 3988292384 * (v & 1))"
+    letters = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
+    crc = (f"xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], {letters}),"
+           f" lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})))")
+    groups, lags = ["c1 AS MATERIALIZED (SELECT rid, i, dense_rank() OVER (ORDER BY w) AS c FROM e)"], []
+    for m in (2 ** k for k in range(levels)):
+        if m > 1:
+            groups.append(f"c{m} AS MATERIALIZED (SELECT rid, i, dense_rank() OVER (ORDER BY c, x) AS c FROM ("
+                          f"SELECT rid, i, c, lead(c, {m // 2}) OVER (PARTITION BY rid ORDER BY i) AS x FROM c{m // 2}) WHERE x IS NOT NULL)")
+        lags.append(f"SELECT rid, q FROM (SELECT rid, q, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS s FROM ("
+                    f"SELECT rid, i, lead(i) OVER (PARTITION BY rid, c ORDER BY i) - i AS q FROM c{m}) WHERE 2 * q > {m} AND q <= {m})"
+                    f" GROUP BY rid, q, s HAVING count(*) > greatest(24, 3 * q) - q - {m}")
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                          coalesce({crc}, 1) AS h FROM documents),
+        m AS (SELECT rid, doc_id, w, h % 10 = 0 AND len(w) > 0 AS moved, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a,
+                     1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d),
+        e AS MATERIALIZED (SELECT rid, i, w[CASE WHEN moved AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS w
+              FROM (SELECT *, unnest(range(0, len(w))) AS i FROM m)),
+        {", ".join(groups)},
+        lag AS MATERIALIZED ({" UNION ".join(lags)}),
+        r AS (SELECT rid, min(i) AS start, count(*) + q AS length, q AS period FROM (
+                SELECT x.rid, l.q, x.i, x.i - row_number() OVER (PARTITION BY x.rid, l.q ORDER BY x.i) AS s
+                FROM lag l JOIN e x ON x.rid = l.rid JOIN e y ON y.rid = x.rid AND y.i = x.i + l.q WHERE x.w = y.w)
+              GROUP BY rid, q, s HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS MATERIALIZED (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r z WHERE z.rid = r.rid AND z.period < r.period
+                AND z.start <= r.start AND z.start + z.length >= r.start + r.length)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length / period DESC, start, period) AS nth,
+                        count(*) OVER (PARTITION BY rid) AS n_runs FROM runs),
+        listed AS (SELECT rid, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY rid),
+        gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+        left_ AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS t FROM e ANTI JOIN gone USING (rid, i) GROUP BY rid)
+        SELECT d.doc_id, coalesce(b.n_runs, 0) AS n_runs, b.start, b.length, b.period, (1000 * b.length) // b.period AS exponent_milli,
+               sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+        FROM d LEFT JOIN best b ON b.rid = d.rid AND b.nth = 1 LEFT JOIN listed l ON l.rid = d.rid LEFT JOIN left_ k ON k.rid = d.rid"""
+
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents)
@@ -135,4 +192,24 @@ ORACLE: dict[str, str] = {
                CAST(sum(14 + length(r) + len(regexp_extract_all(r, '\\|### |</turn>|:'))
                         + length(t) + len(regexp_extract_all(t, '\\|### |</turn>'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_periodic_runs": _periodic_runs_sql(),
+    "op12_collocations": r"""
+        WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({text}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        f AS (SELECT lang, size, phrase, count(*) AS f FROM (
+                SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (
+                    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, range(1, 6) r(size)))
+              GROUP BY lang, size, phrase HAVING count(*) >= 100),
+        c AS (SELECT lang, phrase, f AS a, size, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x,
+                     array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS y
+              FROM f, range(1, 5) r(k) WHERE k < size),
+        s AS (SELECT c.lang, c.phrase, c.size, c.a, c.k, x.f AS l, y.f AS r, t.n,
+                     (1000 * CAST(c.a AS HUGEINT) * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+              FROM c JOIN t ON t.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        g AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b
+              WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.lang = b.lang AND z.size > b.size AND z.f >= b.a
+                                AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' ')))
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM g WHERE rank <= 2000""".replace("{text}", _TEXT),
 }
