@@ -7,7 +7,7 @@ Parquet has no row-level MERGE or DELETE, so every change is a plan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,33 +15,47 @@ from pyspark.sql import types as T
 UPSERT_KEY = ["invoice_number", "file_name"]
 
 
+def _fingerprint(df: DataFrame, columns: list[str]) -> Column:
+    """62 bits of a hash over the columns (maps by their sorted entries)."""
+    parts = [F.array_sort(F.map_entries(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in columns]
+    return F.shiftrightunsigned(F.xxhash64(F.lit(0), *parts), 2)
+
+
+def latest(rows: DataFrame, by: list[str], seq_col: str, first: str | None = None) -> DataFrame:
+    """The row with the highest ``seq_col`` of each group, in two phases; ``first`` columns take their minimum.
+
+    First narrow: a hash aggregate over (group, order) alone, combined partially on each partition, so a hot
+    group reaches the shuffle as one row per partition. Then one join brings the winners' other columns. Rows of the same
+    order differ in a fingerprint of their columns, so one of them wins however often it is computed; equal rows
+    are one. Null groups are groups, a null order is the lowest.
+    """
+    others = [c for c in rows.columns if c not in (*by, first)]
+    order = (F.coalesce(F.col(seq_col).cast("decimal(19,0)"), F.lit(-(2 ** 63)).cast("decimal(19,0)")) * F.lit(2 ** 62).cast("decimal(19,0)")
+             + _fingerprint(rows, others).cast("decimal(19,0)")).cast("decimal(38,0)")
+    tagged = rows.withColumn("_order", order)
+    best = tagged.groupBy(*by).agg(F.max("_order").alias("_order"), *([F.min(first).alias(first)] if first else []))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*by, "_order")]
+    won = tagged.alias("r").join(best.alias("w"), same)
+    won = won.select(*([F.col(f"w.{first}")] if first else []), *[F.col(f"r.{c}") for c in (*by, *others)])
+    return won.groupBy(*won.columns).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+
+
 def upsert(rows: DataFrame, key: list[str] = UPSERT_KEY, id_col: str = "id",
            seq_col: str = "seq") -> DataFrame:
     """Collapse writes that share a key into one record.
 
     The first write's id is kept; every other column takes the last write
-    (highest ``seq``). A null in any key part never matches, so such a row
-    stays on its own, keyed by its id.
-
-    One aggregation (Spark sorts for ``max_by`` of a struct): both combine partially on each
-    partition, so a key holding a third of all rows reaches the shuffle as
-    one row per partition.
+    (highest ``seq``, a whole number). A null in any key part never matches, so such a row
+    stays on its own, keyed by its id. See ``latest`` for the plan.
     """
-    payload = [c for c in rows.columns if c not in (*key, id_col, seq_col)]
+    if id_col in key:        # keyed by id itself (e.g. the vector table)
+        return latest(rows, key, seq_col)
     any_null = F.lit(False)
     for k in key:
         any_null = any_null | F.col(k).isNull()
-    solo = F.when(any_null, F.col(id_col)).alias("_solo")
-    p = F.struct(*[F.col(c) for c in payload], F.col(seq_col)).alias("_p")
-    last = [F.col(f"_p.{c}").alias(c) for c in payload] + [F.col(f"_p.{seq_col}").alias(seq_col)]
-    if id_col in key:        # keyed by id itself (e.g. the vector table)
-        merged = (rows.select(*key, solo, p).groupBy(*key, "_solo")
-                      .agg(F.max_by("_p", F.col(f"_p.{seq_col}")).alias("_p")))
-        return merged.select(*key, *last)
-    keyed = rows.select(*key, solo, id_col, p)
-    merged = (keyed.groupBy(*key, "_solo")
-                   .agg(F.min(id_col).alias(id_col), F.max_by("_p", F.col(f"_p.{seq_col}")).alias("_p")))
-    return merged.select(id_col, *key, *last)
+    others = [c for c in rows.columns if c not in (*key, id_col)]
+    solo = rows.withColumn("_solo", F.when(any_null, F.col(id_col)))
+    return latest(solo, [*key, "_solo"], seq_col, first=id_col).select(id_col, *key, *others)
 
 
 def upsert_into(existing: DataFrame, batch: DataFrame, key: list[str] = UPSERT_KEY,

@@ -5,10 +5,8 @@ in JVM expressions per row (no shuffle). A user model plugs in as a
 ``pandas_udf`` returning ``array<float>``.
 
 Search: exact squared-L2 k-NN of a *batch* of queries against a vector
-table. The query batch is size-checked and broadcast; each vector partition
-computes distances to every query with one matrix product (Arrow batches,
-numpy) and keeps only its local candidates per query, so the shuffle that
-follows carries at most ``partitions x queries x k`` small rows. No pair
+table in one scan (see ``knn``): small batches are size-checked and broadcast, larger
+ones joined in blocks. Tasks emit at most k rows per query, so no pair
 table of queries x vectors is ever materialised. Final ranks come from a
 ``row_number`` window per query (Spark plans a WindowGroupLimit for it).
 """
@@ -16,6 +14,8 @@ table of queries x vectors is ever materialised. Final ranks come from a
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.operators import knn
+from ledgerlens.operators.dml import latest
+from ledgerlens.session import scratch_path
 from ledgerlens.functions.amounts import parse_amount
 from ledgerlens.functions.text import TOKEN_SPLIT, document_text, tokens
 from ledgerlens.operators.predicates import search_filter
@@ -39,12 +42,9 @@ TOP_K_RANGE = (1, 20)
 DEFAULT_TOP_K = 5
 
 # Query batches are broadcast only below these bounds; larger batches are
-# split into chunks that each respect them.
+# joined with the vectors in blocks.
 MAX_QUERY_BATCH = 2048
 MAX_QUERY_BYTES = 64 * 1024 * 1024
-# Distances are ordered on this many decimals, then by id: float noise in
-# the last bits never decides an order.
-ORDER_DECIMALS = 9
 
 
 def _col(c) -> Column:
@@ -112,7 +112,13 @@ def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
     return _histogram_udf(dim)(F.split(F.lower(_col(text)), TOKEN_SPLIT))
 
 
-_MODELS: dict = {}
+def _worker_models() -> dict:
+    """Models of this Python worker process, by name.
+
+    The package travels to workers by value, so its own globals start anew with every task; this holder
+    is a module of the worker's interpreter and stays.
+    """
+    return sys.modules.setdefault("_ledgerlens_models", types.ModuleType("_ledgerlens_models")).__dict__
 
 
 def model_embedder(load_model, dim: int, name: str = "user-model"):
@@ -120,16 +126,19 @@ def model_embedder(load_model, dim: int, name: str = "user-model"):
 
     ``load_model()`` returns an object with ``encode(list[str]) -> array
     (n x dim)``; it runs once per Python worker process and is reused by
-    every later batch. Use as ``embed(df, "text", embedder=model_embedder(...))``.
+    every later batch and task (give another ``name`` for another model). A null text counts as empty.
+    Use as ``embed(df, "text", embedder=model_embedder(...))``.
     """
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        model = _MODELS.get(name)
-        if model is None:
-            model = _MODELS[name] = load_model()
-        vecs = np.asarray(model.encode(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
+        models = _worker_models()
+        if name not in models:
+            models[name] = load_model()
+        vecs = np.asarray(models[name].encode(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
         return pd.Series(list(vecs))
 
+    # Nondeterministic: Catalyst then never copies the call, so every row is encoded once.
+    run = run.asNondeterministic()
     return lambda c: run(c)
 
 
@@ -175,6 +184,15 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 
 # --------------------------------------------------------------- k-NN
 
+def _query_filters(batch: pa.RecordBatch) -> dict:
+    """Per-query filter values of a block of query rows."""
+    out = {}
+    for name in batch.schema.names[2:]:
+        col = batch.column(batch.schema.names.index(name))
+        out[name] = col.cast(pa.float64()).to_numpy(zero_copy_only=False) if name in ("min_amount", "max_amount") else col.to_pylist()
+    return out
+
+
 def _query_mask(batch: pa.RecordBatch, flt: dict, lo: int, hi: int) -> np.ndarray:
     """(rows x queries) boolean mask of the per-query filters of queries lo..hi."""
     n = batch.num_rows
@@ -193,8 +211,9 @@ def _query_mask(batch: pa.RecordBatch, flt: dict, lo: int, hi: int) -> np.ndarra
                     mask &= np.isnan(b)[None, :] | op(amt[:, None], b[None, :])
     if "currency" in flt or "exclude_currency" in flt:
         cur = np.array(col("currency").to_pylist(), dtype=object)
-        for j, (want, drop) in enumerate(zip(flt.get("currency", [None] * len(flt["qids"]))[lo:hi],
-                                             flt.get("exclude_currency", [None] * len(flt["qids"]))[lo:hi])):
+        unset = [None] * (hi - lo)
+        for j, (want, drop) in enumerate(zip(flt["currency"][lo:hi] if "currency" in flt else unset,
+                                             flt["exclude_currency"][lo:hi] if "exclude_currency" in flt else unset)):
             if want is not None:
                 mask[:, j] &= cur == want
             if drop is not None:
@@ -210,181 +229,73 @@ def _query_mask(batch: pa.RecordBatch, flt: dict, lo: int, hi: int) -> np.ndarra
     return mask
 
 
-def _local_topk_fn(bq, k: int, dim: int, payload: tuple = (), bflt=None):
-    """Per-partition candidate selection over Arrow batches.
-
-    Columns 0 and 1 of each batch are id and vector; any further columns
-    (``payload``) ride along with the candidates, so a denormalised index
-    is searched in one scan.
-    """
-    slack = 2 * 10.0 ** (-ORDER_DECIMALS)
-
-    def run(batches):
-        qids, qmat = bq.value
-        flt = bflt.value if bflt is not None else None
-        q2 = (qmat * qmat).sum(axis=1)
-        nq = len(qids)
-        keep_q = np.empty(0, dtype=np.int64)
-        keep_id = np.empty(0, dtype=np.int64)
-        keep_d = np.empty(0, dtype=np.float64)
-        keep_ref = np.empty(0, dtype=np.int64)
-        held = None                      # payload rows of the kept candidates
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0 or nq == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            x = flat.astype(np.float64).reshape(n, dim)
-            x2 = (x * x).sum(axis=1)
-            new_rows = []
-            for lo in range(0, nq, 256):
-                hi = min(nq, lo + 256)
-                q = qmat[lo:hi]
-                approx = x2[:, None] + q2[None, lo:hi] - 2.0 * (x @ q.T)      # n x b
-                if flt is not None:                  # pre-filter: other rows never compete
-                    approx = np.where(_query_mask(batch, flt, lo, hi), approx, np.inf)
-                kk = min(k, n)
-                kth = np.partition(approx, kk - 1, axis=0)[kk - 1]           # b
-                # slack covers the rounding error of the expanded form
-                tol = 1e-7 * (1.0 + x2.max() + q2[lo:hi])
-                rows, cols = np.nonzero((approx <= (kth + tol)[None, :]) & np.isfinite(approx))
-                exact = ((x[rows] - q[cols]) ** 2).sum(axis=1)
-                keep_q = np.concatenate([keep_q, cols + lo])
-                keep_id = np.concatenate([keep_id, ids[rows]])
-                keep_d = np.concatenate([keep_d, exact])
-                new_rows.append(rows)
-            if payload:
-                rows = np.concatenate(new_rows)
-                base = 0 if held is None else held.num_rows
-                taken = pa.Table.from_batches([batch]).select(list(payload)).take(pa.array(rows))
-                held = taken if held is None else pa.concat_tables([held, taken])
-                keep_ref = np.concatenate([keep_ref, base + np.arange(len(rows), dtype=np.int64)])
-            # prune the running set to each query's band of k best
-            order = np.lexsort((keep_id, keep_d, keep_q))
-            keep_q, keep_id, keep_d = keep_q[order], keep_id[order], keep_d[order]
-            starts = np.searchsorted(keep_q, keep_q, side="left")
-            pos = np.arange(len(keep_q)) - starts
-            kth_idx = np.minimum(starts + k - 1, np.searchsorted(keep_q, keep_q, side="right") - 1)
-            band = keep_d <= keep_d[kth_idx] + slack
-            sel = (pos < k) | band
-            keep_q, keep_id, keep_d = keep_q[sel], keep_id[sel], keep_d[sel]
-            if payload:
-                held = held.take(pa.array(keep_ref[order][sel]))
-                keep_ref = np.arange(held.num_rows, dtype=np.int64)
-        if len(keep_q):
-            cols = [pa.array(qids[keep_q]), pa.array(keep_id), pa.array(keep_d)]
-            names = ["qid", "id", "distance"]
-            if payload:
-                cols += [held.column(c).combine_chunks() for c in payload]
-                names += list(payload)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return run
-
-
-def _collect_query_batch(queries: DataFrame, qid_col: str, vec_col: str):
-    rows = queries.select(qid_col, vec_col).limit(MAX_QUERY_BATCH + 1).collect()
-    if len(rows) > MAX_QUERY_BATCH:
-        return None
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    dims = {len(r[1]) for r in rows}
-    if len(dims) > 1:
-        raise ValueError(f"query vectors of mixed dimension: {sorted(dims)}")
-    dim = dims.pop() if dims else 0
-    qmat = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-    if qmat.nbytes > MAX_QUERY_BYTES:
-        if len(rows) == 1:
-            raise ValueError("one query vector is over the broadcast byte bound")
-        return None
-    return qids, qmat, dim
-
-
 def materialize_queries(queries: DataFrame) -> DataFrame:
     """Evaluate a query batch once.
 
-    A batch within the broadcast bound becomes a local relation (it is
+    A batch of at most ``MAX_QUERY_BATCH`` rows becomes a local relation (it is
     re-read for the candidate search and the filter join without
-    recomputing its plan); a larger one is checkpointed to the shared
-    checkpoint folder.
+    recomputing its plan); a larger one is written under the shared
+    checkpoint folder and read back.
     """
-    from ledgerlens.session import checkpoint_dir
-
+    spark = queries.sparkSession
     rows = queries.limit(MAX_QUERY_BATCH + 1).collect()
     if len(rows) <= MAX_QUERY_BATCH:
-        return queries.sparkSession.createDataFrame(rows, queries.schema)
-    checkpoint_dir(queries.sparkSession)
-    return queries.checkpoint(eager=True)
+        return spark.createDataFrame(rows, queries.schema)
+    path = scratch_path(spark, "queries")
+    queries.write.parquet(path)
+    return spark.read.schema(queries.schema).parquet(path)
 
 
 def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                    vec_col: str = "embedding", qid_col: str = "qid",
                    qvec_col: str = "embedding", payload: list[str] | tuple = (),
-                   filter_cols: list[str] | tuple = ()) -> DataFrame:
+                   filter_cols: list[str] | tuple = (), max_broadcast: int | None = None) -> DataFrame:
     """``(qid, id, distance, rank, *payload)``: the ``k`` nearest vectors of every query.
 
-    Order is (distance rounded to ORDER_DECIMALS, id). Query batches larger
-    than the broadcast bound are cut into hash chunks, each checked again.
-    ``payload`` columns of the vector table are carried with the candidates.
+    Order is (distance rounded to ORDER_DECIMALS, id), cut at exactly ``k``. Up to ``max_broadcast`` queries
+    (``MAX_QUERY_BATCH``, and ``MAX_QUERY_BYTES`` of vectors) are broadcast; more are joined with the vectors in
+    blocks (see ``knn``). Either way the vectors are scanned once. Query ids are expected to be unique.
+    ``payload`` columns of the vector table come with the candidates: out of the same scan where queries are
+    broadcast, by a join on the id of the few that are left otherwise.
     ``filter_cols`` (query columns among FILTER_COLUMNS) make it a pre-filtered
     search: each query ranks only the vectors passing its own filters; the
     vector table must then hold ``_amt`` (parsed amount), ``currency``,
     ``seller_name`` and ``buyer_name``.
     """
-    payload = tuple(payload)
-    filter_cols = tuple(filter_cols)
-    scan_cols = payload + tuple(c for c in ("_amt", "currency", "seller_name", "buyer_name")
-                                if filter_cols and c in vectors.columns and c not in payload)
-    out_schema = "qid long, id long, distance double" + "".join(
-        f", `{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*payload).schema.fields)
+    payload, filter_cols = tuple(payload), tuple(filter_cols)
+    most = MAX_QUERY_BATCH if max_broadcast is None else max_broadcast
+    needed = tuple(c for c in ("_amt", "currency", "seller_name", "buyer_name") if filter_cols and c in vectors.columns)
     spark = vectors.sparkSession
-    queries = queries.select(qid_col, qvec_col, *filter_cols)
+    queries = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).cast("array<double>").alias("embedding"), *filter_cols)
     if not _is_local(queries):
         queries = materialize_queries(queries)
-    n_q = queries.count()
-    n_chunks = max(1, -(-n_q * 2 // MAX_QUERY_BATCH))
-    # work list of query chunks; a chunk over the bound is split again with
-    # a fresh hash seed, so every broadcast batch is checked before it ships
-    work = [queries] if n_chunks == 1 else [
-        queries.filter(F.pmod(F.xxhash64(qid_col), F.lit(n_chunks)) == c) for c in range(n_chunks)]
-    parts = []
-    seed = 1
-    while work:
-        chunk = work.pop()
-        batch = _collect_query_batch(chunk, qid_col, qvec_col)
-        if batch is None:
-            seed += 1
-            if seed > 64:
-                raise ValueError("query ids repeat too often to split the batch under the bound")
-            h = F.pmod(F.xxhash64(F.col(qid_col), F.lit(seed)), F.lit(2))
-            work += [chunk.filter(h == 0), chunk.filter(h == 1)]
-            continue
-        qids, qmat, dim = batch
-        if len(qids) == 0:
-            continue
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        bflt = None
-        if filter_cols:
-            rows = {r[qid_col]: r for r in chunk.select(qid_col, *filter_cols).collect()}
-            flt = {"qids": qids}
-            for c in filter_cols:
-                vals = [rows[q][c] for q in qids]
-                flt[c] = (np.array([np.nan if v is None else float(v) for v in vals])
-                          if c in ("min_amount", "max_amount") else vals)
-            bflt = spark.sparkContext.broadcast(flt)
-        emb = F.col(vec_col).cast("array<float>")
-        wrong = F.raise_error(F.concat(F.lit(f"index vector is null or not of size {dim}: id "), F.col(id_col).cast("string")))
-        vec = vectors.select(F.col(id_col).cast("long").alias("id"),
-                             F.when(F.size(emb) == dim, emb).otherwise(wrong.cast("array<float>")).alias("embedding"), *scan_cols)
-        parts.append(vec.mapInArrow(_local_topk_fn(bq, k, dim, payload, bflt), out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema + ", rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.round("distance", ORDER_DECIMALS), "id")
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= k)
+    n_q, low, dim = queries.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if n_q and low != dim:
+        raise ValueError(f"query vectors of mixed dimension: {low} to {dim}")
+    paid = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*payload).schema.fields)
+    if n_q == 0:
+        return spark.createDataFrame([], f"qid long, id long, distance double{paid}, rank int")
+    emb = F.col(vec_col).cast("array<float>")
+    wrong = F.raise_error(F.concat(F.lit(f"index vector is null or not of size {dim}: id "), F.col(id_col).cast("string")))
+
+    def scan(*extra: str) -> DataFrame:
+        return vectors.select(F.col(id_col).cast("long").alias("id"),
+                              F.when(F.size(emb) == dim, emb).otherwise(wrong.cast("array<float>")).alias("embedding"), *extra)
+
+    masks = _query_mask if filter_cols else None
+    if n_q <= most and n_q * dim * 8 <= MAX_QUERY_BYTES:
+        batch = queries.toArrow().combine_chunks().to_batches()[0]
+        sent = spark.sparkContext.broadcast((batch.column(0).to_numpy(), knn.matrix(batch.column(1), n_q, dim),
+                                             _query_filters(batch) if filter_cols else None))
+        extra = payload + tuple(c for c in needed if c not in payload)
+        found = knn.broadcast_search(scan(*extra), sent, k, dim, payload, masks,
+                                     f"qid long, id long, order_key double, distance double{paid}")
+        return knn.ranked(found, k)
+    best = knn.ranked(knn.block_search(scan(*needed), queries, k, dim, masks, _query_filters if filter_cols else None), k)
+    if not payload:
+        return best
+    return best.join(vectors.select(F.col(id_col).cast("long").alias("id"), *payload), "id").select(
+        "qid", "id", "distance", *payload, "rank")
 
 
 def _is_local(df: DataFrame) -> bool:
@@ -497,19 +408,17 @@ def add_documents(existing: DataFrame, new_vectors: DataFrame, seq_col: str = "s
     """Append vectors; a re-added id replaces its older vector (latest seq wins)."""
     both = existing.unionByName(new_vectors, allowMissingColumns=True)
     cols = [c for c in both.columns if c not in ("id", seq_col)]
-    merged = both.groupBy("id").agg(F.max_by(F.struct(*cols), F.col(seq_col)).alias("_p"),
-                                    F.max(seq_col).alias(seq_col))
-    return merged.select("id", *[F.col(f"_p.{c}").alias(c) for c in cols], seq_col)
+    return latest(both, ["id"], seq_col).select("id", *cols, seq_col)
 
 
 def read_vectors(spark, path: str) -> DataFrame:
-    """The saved vector table; a missing or unreadable store gives an empty table."""
+    """The saved vector table. A missing one is empty; one that can't be read raises."""
     from ledgerlens.schema import VECTOR_SCHEMA
+    from ledgerlens.sources.store import path_exists
 
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - unreadable store: start empty, as the index does
+    if not path_exists(spark, path):
         return spark.createDataFrame([], VECTOR_SCHEMA)
+    return spark.read.parquet(path)
 
 
 def vector_stats(vectors: DataFrame, model_name: str = DEFAULT_MODEL) -> DataFrame:

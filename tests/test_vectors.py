@@ -1,11 +1,13 @@
 import hashlib
 import math
+import os
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import knn
 from ledgerlens.operators import vectors as V
 
 
@@ -47,7 +49,7 @@ def test_knn_matches_brute_force(spark, monkeypatch):
     vec = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<float>")
     vec = vec.repartition(5)
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in zip(qids, q)], "qid long, embedding array<double>")
-    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 4)          # force several broadcast chunks
+    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 4)          # blocks
     got = V.knn_candidates(vec, qdf, 7).collect()
     want = brute_knn(ids, x, qids, q, 7)
     res = {}
@@ -109,19 +111,86 @@ def test_centroids_and_distance(spark):
     assert d.select(V.l2_distance("a", "b")).first()[0] == 25.0
 
 
-def test_knn_splits_oversize_chunks(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(50, 4)).astype(np.float32)
-    q = rng.normal(size=(40, 4))
-    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
-    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, embedding array<double>")
-    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 3)
-    got = V.knn_candidates(vec, qdf, 2).collect()
-    want = brute_knn(list(range(50)), x, list(range(40)), q, 2)
+def found(df):
     res = {}
-    for r in sorted(got, key=lambda r: (r.qid, r.rank)):
+    for r in sorted(df.collect(), key=lambda r: (r.qid, r.rank)):
         res.setdefault(r.qid, []).append((r.id, round(r.distance, 6)))
-    assert res == want
+    return res
+
+
+def vector_frame(spark, x, parts=3):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, embedding array<float>").repartition(parts)
+
+
+def query_frame(spark, q):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, embedding array<double>")
+
+
+@pytest.mark.parametrize("max_broadcast", [None, 0])
+@pytest.mark.parametrize("group_bytes", [knn.VECTOR_GROUP_BYTES, 200])
+def test_knn_by_broadcast_and_in_blocks(spark, monkeypatch, max_broadcast, group_bytes):
+    monkeypatch.setattr(knn, "QUERY_BLOCK_ROWS", 7)
+    monkeypatch.setattr(knn, "TILE_ROWS", 16)
+    monkeypatch.setattr(knn, "TILE_QUERIES", 4)
+    monkeypatch.setattr(knn, "PAIRS", 10)
+    monkeypatch.setattr(knn.block_search, "__defaults__", (group_bytes,))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4)).astype(np.float32)
+    x[20:60] = x[20]                       # forty vectors tie
+    q = rng.normal(size=(40, 4))
+    q[5] = x[20]
+    got = found(V.knn_candidates(vector_frame(spark, x), query_frame(spark, q), 5, max_broadcast=max_broadcast))
+    assert got == brute_knn(list(range(90)), x, list(range(40)), q, 5)
+
+
+def test_knn_ties_leave_exactly_k(spark):
+    x = np.ones((3000, 3), np.float32)
+    for most in (None, 0):
+        got = found(V.knn_candidates(vector_frame(spark, x, 4), query_frame(spark, np.ones((2, 3))), 5, max_broadcast=most))
+        assert got == {0: [(i, 0.0) for i in range(5)], 1: [(i, 0.0) for i in range(5)]}
+    best = knn.Nearest(np.ones((2, 3)), 5)
+    best.update(np.arange(3000)[::-1].copy(), x)
+    assert len(best.rows()[0]) == 10       # what leaves a task
+
+
+def test_knn_of_fifty_thousand_requests(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    base = rng.normal(size=(50, 8))
+    pos = spark.range(50_000, numPartitions=4).select(F.col("id").alias("qid"), (F.col("id") % 50).alias("b"))
+    q = pos.join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "b long, embedding array<double>"), "b")
+    cand = V.knn_candidates(vector_frame(spark, x), q.select("qid", "embedding"), 3)
+    want = brute_knn(list(range(500)), x, list(range(50)), base, 3)
+    rows = cand.select("qid", "id", "rank").toPandas()
+    assert len(rows) == 150_000
+    rows = rows.sort_values(["qid", "rank"])
+    ids = rows["id"].to_numpy().reshape(50_000, 3)
+    assert all((ids[i] == [a for a, _ in want[i % 50]]).all() for i in range(50_000))
+    plan = cand._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_block_search_filters_and_payload_equal_broadcast(spark, monkeypatch):
+    q = spark.createDataFrame([(1, [0.0, 0.0], "USD", None, None, "s"), (2, [0.0, 0.0], None, 500.0, "usd", None), (3, [9.0, 0.0], None, None, "EUR", "x")],
+                              "qid long, embedding array<double>, currency string, min_amount double, exclude_currency string, seller_name string")
+    cols = ["qid", "id", "rank", "position", "distance", "invoice_number", "currency"]
+    idx = _index(spark).join(_records(spark), "id")
+    runs = [lambda: V.semantic_search(_index(spark), _records(spark), q, top_k=3, prefilter=True),
+            lambda: V.semantic_search(idx, None, q, top_k=2), lambda: V.semantic_search(_index(spark), _records(spark), q, top_k=2)]
+    want = [sorted(map(tuple, f().select(cols).collect())) for f in runs]
+    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 1)
+    assert [sorted(map(tuple, f().select(cols).collect())) for f in runs] == want and all(want)
+
+
+def test_mixed_dimensions_and_bad_vectors_raise(spark):
+    idx = _index(spark)
+    mixed = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0])], "qid long, embedding array<double>")
+    with pytest.raises(ValueError, match="mixed dimension"):
+        V.knn_candidates(idx, mixed, 2)
+    for most in (None, 0):
+        with pytest.raises(Exception, match="not of size 1"):
+            V.knn_candidates(idx, mixed.filter("qid = 2"), 2, max_broadcast=most).collect()
 
 
 def test_user_model_embedder_and_read_vectors(spark, tmpdir_path):
@@ -134,6 +203,38 @@ def test_user_model_embedder_and_read_vectors(spark, tmpdir_path):
     got = [r.e for r in V.embed(df, "t", "e", embedder=V.model_embedder(_ToyModel, 2)).collect()]
     assert got == [[2.0, 2.0], [3.0, 0.0], [0.0, 0.0]]
     assert V.read_vectors(spark, tmpdir_path + "/missing").count() == 0
+    with open(tmpdir_path + "/broken.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        V.read_vectors(spark, tmpdir_path + "/broken.parquet").count()
+
+
+def test_user_model_loads_once_per_worker_and_encodes_a_row_once(spark, tmpdir_path):
+    def load():
+        import os
+        import uuid
+
+        import numpy
+
+        class Model:
+            def encode(self, texts):
+                with open(f"{tmpdir_path}/rows-{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(len(texts)))
+                return numpy.ones((len(texts), 2), dtype=numpy.float32)
+
+        with open(f"{tmpdir_path}/load-{os.getpid()}-{uuid.uuid4().hex}", "w") as f:
+            f.write("x")
+        return Model()
+
+    emb = V.model_embedder(load, 2, name="counted")
+    df = spark.range(0, 1000, numPartitions=8).select(F.col("id").cast("string").alias("t"))
+    for _ in range(3):                                   # several jobs, tasks and batches
+        out = V.embed(df, "t", "e", embedder=emb)
+        assert out.filter(F.size("e") == 2).count() == 1000
+    names = os.listdir(tmpdir_path)
+    pids = [n.split("-")[1] for n in names if n.startswith("load-")]
+    assert pids and len(pids) == len(set(pids))          # one load per worker process
+    assert sum(int(open(os.path.join(tmpdir_path, n)).read()) for n in names if n.startswith("rows-")) == 3000
 
 
 def test_token_buckets_column_matches_embedder(spark):
@@ -171,12 +272,12 @@ def test_prefilter_per_query_filters(spark):
     assert sorted((h.qid, h.id) for h in again) == sorted((h.qid, h.id) for h in hits)
 
 
-def test_search_over_bound_uses_checkpointed_batch(spark, monkeypatch):
+def test_search_over_bound_uses_a_written_batch(spark, monkeypatch):
     rows = [(i, [float(i % 7), float(i % 3)], "USD" if i % 2 else None) for i in range(9)]
     q = spark.createDataFrame(rows, "qid long, embedding array<double>, currency string")
     want = sorted(map(tuple, V.semantic_search(_index(spark), _records(spark), q, top_k=2)
                       .select("qid", "id", "rank", "position").collect()))
-    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 4)       # 9 queries: checkpoint + split chunks
+    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 4)       # 9 queries: written, then joined in blocks
     got = sorted(map(tuple, V.semantic_search(_index(spark), _records(spark), q, top_k=2)
                      .select("qid", "id", "rank", "position").collect()))
     assert got == want and len({g[0] for g in got}) == 9
