@@ -65,10 +65,22 @@ DATE_LAYOUTS = [
 
 
 def normalize_date(c) -> Column:
-    """Date text to ISO ``yyyy-MM-dd`` using the first layout that parses."""
+    """Date text to ISO ``yyyy-MM-dd`` using the first layout that parses.
+
+    A layout is tried only on texts with its separators, as a failed parse is dear.
+    """
     s = strip_text(c)
-    parsed = F.coalesce(*[F.try_to_date(s, fmt) for fmt in DATE_LAYOUTS])
-    return F.date_format(parsed, "yyyy-MM-dd")
+    tried = []
+    for layout in DATE_LAYOUTS:
+        fits = F.lit(True)
+        for mark in (" ", ",", "-", "/", "."):
+            has = s.contains(mark)
+            if mark in layout:
+                fits = fits & has
+            elif mark in "/," or mark == "-":
+                fits = fits & ~has
+        tried.append(F.when(fits, F.try_to_date(s, layout)))
+    return F.date_format(F.coalesce(*tried), "yyyy-MM-dd")
 
 
 # Currency symbols mapped to ISO codes.
@@ -88,7 +100,8 @@ ISO_CODES = (
 def normalize_currency(c) -> Column:
     """First ISO code (any case), or the code of a known symbol."""
     s = _col(c).cast("string")
-    code = F.nullif(F.regexp_extract(F.upper(s), rf"\b({'|'.join(ISO_CODES)})\b", 1), F.lit(""))
+    triples = F.regexp_extract_all(F.upper(s), F.lit(r"\b([A-Z]{3})\b"), 1)
+    code = F.get(F.filter(triples, lambda t: t.isin(*ISO_CODES)), F.lit(0))
     sym = None
     for symbol, iso in CURRENCY_SYMBOLS.items():
         hit = F.when(F.instr(s, symbol) > 0, F.lit(iso))

@@ -23,12 +23,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often and wherever ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strict_json(text) -> Column:
     """VARIANT of the whole text when it is exactly one JSON value, else null."""
-    digest = F.md5(_col(text))
-    pair = F.try_parse_json(F.concat(F.lit("["), _col(text), F.lit(',"'), digest, F.lit('"]')))
-    alone = (F.try_variant_get(pair, "$[1]", "string") == digest) & F.try_variant_get(pair, "$[2]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
+    def whole(digest: Column) -> Column:
+        pair = F.try_parse_json(F.concat(F.lit("["), _col(text), F.lit(',"'), digest, F.lit('"]')))
+        return let(pair, lambda p: F.when((F.try_variant_get(p, "$[1]", "string") == digest)
+                                          & F.try_variant_get(p, "$[2]", "variant").isNull(), F.try_variant_get(p, "$[0]", "variant")))
+
+    return let(F.md5(_col(text)), whole)
 
 
 def greedy_span(text) -> Column:
@@ -36,14 +43,19 @@ def greedy_span(text) -> Column:
 
 
 def salvage(text) -> Column:
-    """STRUCT<value VARIANT, source STRING, error STRING>."""
-    direct = strict_json(text)
-    span = strict_json(greedy_span(text))
-    value = F.coalesce(direct, span)
-    source = F.when(direct.isNotNull(), F.lit("direct")).when(span.isNotNull(), F.lit("span"))
-    error = F.when(value.isNull(), F.concat(F.lit("no valid JSON in reply: "),
-                                            F.substring(_col(text), 1, ERROR_PREVIEW)))
-    return F.struct(value.alias("value"), source.alias("source"), error.alias("error"))
+    """STRUCT<value VARIANT, source STRING, error STRING>. The span is looked at only where the whole text fails."""
+    preview = F.concat(F.lit("no valid JSON in reply: "), F.substring(_col(text), 1, ERROR_PREVIEW))
+
+    def outcome(direct: Column) -> Column:
+        return F.when(direct.isNotNull(), _outcome(direct, F.lit("direct"), F.lit(None))).otherwise(
+            let(strict_json(greedy_span(text)), lambda span: _outcome(
+                span, F.when(span.isNotNull(), F.lit("span")), F.when(span.isNull(), preview))))
+
+    return let(strict_json(text), outcome)
+
+
+def _outcome(value: Column, source: Column, error: Column) -> Column:
+    return F.struct(value.alias("value"), source.cast("string").alias("source"), error.cast("string").alias("error"))
 
 
 def field(value: Column, name: str, type_: str = "string") -> Column:

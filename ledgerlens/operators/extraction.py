@@ -9,10 +9,15 @@ rule-based field extraction and normalisation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.amounts import normalize_currency, normalize_date, nullif_blank, parse_amount
+from ledgerlens.functions.jsonparse import let, salvage
 from ledgerlens.schema import EXTRACTION_FIELDS
 
 # A candidate shorter than this falls through to the next one.
@@ -113,7 +118,7 @@ def build_prompt(text_col: str = "text", fields: list[str] | None = None) -> Col
     return F.concat(F.lit(prompt_head(fields or EXTRACTION_FIELDS)), F.col(text_col), F.lit(PROMPT_TAIL))
 
 
-# Labels of the sample invoice layout, one field per line.
+# Labels of the sample invoice layout, one field per line, as patterns over a whole text.
 # ``[ \t]*`` after a label keeps an empty value from running into the next line.
 FIELD_PATTERNS = {
     "invoice_number": r"(?im)^[ \t]*invoice[ \t]*(?:no\.|no\b|number\b|#)[ \t]*:?[ \t]*(.*)$",
@@ -133,23 +138,24 @@ def amount_number(text) -> Column:
     Thousands separators go; a European spelling (``1.200,00``) has its dots
     dropped and its comma read as the decimal point.
     """
-    num = F.nullif(F.regexp_extract(_col(text), AMOUNT_NUMBER, 1), F.lit(""))
-    euro = F.regexp_replace(F.regexp_replace(num, r"\.", ""), ",", ".")
-    return F.when(num.rlike(EUROPEAN_NUMBER), euro).otherwise(F.regexp_replace(num, ",", ""))
+    def plain(num: Column) -> Column:
+        euro = F.translate(num, ",.", ".")
+        return F.when(num.rlike(EUROPEAN_NUMBER), euro).otherwise(F.translate(num, ",", ""))
+
+    return let(F.nullif(F.regexp_extract(_col(text), AMOUNT_NUMBER, 1), F.lit("")), plain)
 
 
 def extract_fields(text_col: str = "text") -> dict[str, Column]:
     """Rule-based extractor: the six fields as columns (null when absent)."""
     t = F.col(text_col)
     grab = {k: nullif_blank(F.regexp_extract(t, p, 1)) for k, p in FIELD_PATTERNS.items()}
-    line = grab["amount_line"]
     return {
         "invoice_number": grab["invoice_number"],
-        "invoice_date": normalize_date(grab["invoice_date"]),
+        "invoice_date": let(grab["invoice_date"], normalize_date),
         "seller_name": grab["seller_name"],
         "buyer_name": grab["buyer_name"],
-        "total_amount": parse_amount(amount_number(line)),
-        "currency": normalize_currency(line),
+        "total_amount": let(grab["amount_line"], lambda line: let(amount_number(line), parse_amount)),
+        "currency": let(grab["amount_line"], normalize_currency),
     }
 
 
@@ -181,10 +187,107 @@ def extract_with(df: DataFrame, extractor=None, text_col: str = "text", fields:
                 got = fn(pdf[text_col])
                 err = None
             except Exception as e:  # noqa: BLE001 - a bad batch must not stop the job
-                got, err = None, f"{type(e).__name__}: {e}"[:200]
+                got, err = None, f"{type(e).__name__}: {e}"
             for f in flds:
                 pdf[f] = got[f].values if got is not None and f in got else None
             pdf["extract_error"] = err
             yield pdf
 
     return df.mapInPandas(run, full_schema)
+
+
+# ---------------------------------------------------------------- model replies
+
+# A call to the model gets at most so many prompts and bytes of them; a longer prompt goes alone.
+CALL_ROWS = 64
+CALL_BYTES = 1 << 20
+NOT_AN_OBJECT = "reply is JSON but no object"
+EMPTY_REPLY = "no reply"
+
+
+def ask_model(df: DataFrame, ask=None, prompt_col: str = "prompt", make_ask=None, call_rows: int = CALL_ROWS,
+              call_bytes: int = CALL_BYTES) -> DataFrame:
+    """Adds ``reply`` and ``reply_error``: what a model says to every prompt that is not null.
+
+    ``ask(prompts: list[str]) -> list[str | None]``; give ``make_ask()`` instead where it holds a client or model, which is
+    called once per partition. Calls are bounded by rows and bytes. When one raises, its prompts are asked one by one, so
+    a prompt that fails costs its own row alone, whose message ``reply_error`` holds in full; the job goes on.
+    """
+    if (ask is None) == (make_ask is None):
+        raise ValueError("give exactly one of ask / make_ask")
+    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("reply_error", T.StringType())])
+
+    def called(fn, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            got = list(fn(prompts))
+            if len(got) != len(prompts):
+                raise ValueError(f"{len(got)} replies to {len(prompts)} prompts")
+            return [(None if r is None else str(r), None) for r in got]
+        except Exception as e:  # noqa: BLE001 - row errors are data
+            if len(prompts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [called(fn, [p])[0] for p in prompts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = ask if ask is not None else make_ask()
+        for b in batches:
+            prompts = b.column(b.schema.names.index(prompt_col)).to_pylist()
+            out: list[tuple[str | None, str | None]] = [(None, None)] * len(prompts)
+            todo: list[int] = []
+            size = 0
+            for i, p in enumerate([*prompts, None]):
+                n = 0 if p is None else len(p.encode())
+                if todo and (i == len(prompts) or len(todo) == call_rows or (p is not None and size + n > call_bytes)):
+                    for j, r in zip(todo, called(fn, [prompts[j] for j in todo])):
+                        out[j] = r
+                    todo, size = [], 0
+                if p is not None:
+                    todo.append(i)
+                    size += n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())],
+                                             names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
+
+
+def reply_fields(reply, fields: list[str] | None = None) -> dict[str, Column]:
+    """Record columns of a model's reply: the fields, ``extras``, ``reply_source`` and ``reply_problem``.
+
+    The reply is salvaged strictly (``jsonparse.salvage``) and must be an object. Fields are its values as text, the amount parsed; a
+    JSON null or an absent key is null. All other keys go to ``extras`` as text (nested values as JSON), null without any.
+    """
+    flds = fields or EXTRACTION_FIELDS
+    s = salvage(reply)
+    value = s["value"]
+    every = F.try_variant_get(value, "$", "map<string,string>")
+    got = {f: F.element_at(every, f) for f in flds}
+    if "total_amount" in got:
+        got["total_amount"] = parse_amount(got["total_amount"])
+    others = F.map_filter(every, lambda k, v: ~k.isin(*flds))
+    got["extras"] = F.when(F.size(others) > 0, others)
+    got["reply_source"] = F.when(every.isNotNull(), s["source"])
+    got["reply_problem"] = F.coalesce(s["error"], F.when(value.isNotNull() & every.isNull(), F.lit(NOT_AN_OBJECT)),
+                                      F.when(_col(reply).isNull(), F.lit(EMPTY_REPLY)))
+    return got
+
+
+def model_extractor(ask=None, make_ask=None, fields: list[str] | None = None, **bounds: int):
+    """An extractor for ``process_documents``: prompt, ask the model, turn its reply into a record.
+
+    Only documents that passed the gate are asked about. Adds the fields, ``extras`` and ``extract_error``.
+    """
+    def extract(df: DataFrame) -> DataFrame:
+        asked = ask_model(df.withColumn("prompt", F.when(F.col("passed"), build_prompt("text", fields))), ask, "prompt", make_ask, **bounds)
+        got = reply_fields("reply", fields)
+        problem = got.pop("reply_problem")
+        got.pop("reply_source")
+        got["extract_error"] = F.when(F.col("passed"), F.coalesce("reply_error", problem))
+        return asked.withColumns(got).drop("prompt", "reply", "reply_error")
+
+    return extract
+
+
+def rule_extractor(df: DataFrame) -> DataFrame:
+    """The default extractor of ``process_documents``: rules over labelled lines, nothing but the six fields."""
+    fields = {k: F.when(F.col("passed"), v) for k, v in extract_fields("text").items()}
+    return df.withColumns({**fields, "extras": F.lit(None).cast("map<string,string>"), "extract_error": F.lit(None).cast("string")})

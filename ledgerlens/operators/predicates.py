@@ -80,8 +80,9 @@ def search_filter(record_amount: Column, record_currency: Column, record_seller:
     amount bound. Exclusion keeps records with no currency. Seller and buyer
     match as case-folded substrings; a missing name never matches.
     """
-    amt = record_amount.cast("double") if amount_parsed else parse_amount(record_amount)
     preds = []
+    if min_amount is not None or max_amount is not None:
+        amt = record_amount.cast("double") if amount_parsed else parse_amount(record_amount)
     if min_amount is not None:
         preds.append(min_amount.isNull() | F.coalesce(amt >= min_amount, F.lit(False)))
     if max_amount is not None:

@@ -318,7 +318,7 @@ FILTER_COLUMNS = ["min_amount", "max_amount", "currency", "exclude_currency",
 
 def semantic_search(index: DataFrame, records: DataFrame | None, queries: DataFrame, top_k: int = DEFAULT_TOP_K,
                     prefilter: bool = False, id_col: str = "id", qid_col: str = "qid",
-                    amount_col: str = "total_amount") -> DataFrame:
+                    amount_col: str = "total_amount", max_broadcast: int | None = None) -> DataFrame:
     """Search many queries at once: candidates -> validity -> filters -> top_k.
 
     ``index``: ``(id, embedding)``; ``records``: the record payload by id, or
@@ -359,16 +359,18 @@ def semantic_search(index: DataFrame, records: DataFrame | None, queries: DataFr
         amt = F.col(amount_col).cast("double") if numeric_amount else parse_amount(F.col(amount_col))
         ok = src.filter(is_valid_record(src)).withColumn("_amt", amt)
         hits = knn_candidates(ok, queries, top_k, id_col="id" if records is not None else id_col,
-                              qid_col=qid_col, payload=payload, filter_cols=fcols)
+                              qid_col=qid_col, payload=payload, filter_cols=fcols, max_broadcast=max_broadcast)
     elif records is None:
         payload = [c for c in index.columns if c not in (id_col, "embedding")]
         cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col,
-                              qid_col=qid_col, payload=payload)
+                              qid_col=qid_col, payload=payload, max_broadcast=max_broadcast)
         hits = (cand.filter(is_valid_record(cand)).join(qf, "qid").filter(predicate()))
     else:
         rec = records.select(F.col(id_col).alias("id"), *[c for c in records.columns if c != id_col])
         rec = rec.filter(is_valid_record(rec))
-        cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col, qid_col=qid_col)
+        own = ["matched_text"] if "matched_text" in index.columns and "matched_text" not in rec.columns else []
+        cand = knn_candidates(index, queries, CANDIDATE_FACTOR * top_k, id_col=id_col, qid_col=qid_col, payload=own,
+                              max_broadcast=max_broadcast)
         # both sides grow with the request batch: the planner broadcasts them only below its threshold
         hits = (rec.join(cand, "id")
                    .join(qf, "qid")

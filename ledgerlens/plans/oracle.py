@@ -497,7 +497,131 @@ WHERE position <= {cat.TOP_K}""", *INV)
         "file_name AS file_name, page_count AS file_pages FROM invoices", *INV)
     q["file_name_from_path"] = ("SELECT page_id, string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] "
                                 "AS file_name FROM pages")
+    q.update(batch_statements())
+    q.update(document_statements())
+    q.update(change_statements())
     return q
 
 
+def vector_digest(texts: str) -> str:
+    """Views that end in ``digests(id, digest)`` of the texts of a view with id and matched_text."""
+    return f"""dtok AS (SELECT id, unnest({tokens_sql('matched_text')}) AS tok FROM {texts}),
+dcnt AS (SELECT id, {bucket_sql('tok')} AS b, count(*) AS c FROM dtok WHERE tok <> '' GROUP BY ALL),
+dw AS (SELECT id, b, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS w FROM dcnt),
+digests AS (SELECT t.id, round(coalesce(sum(w * (b + 1)), 0.0), 3) AS digest FROM {texts} t LEFT JOIN dw ON dw.id = t.id GROUP BY t.id)"""
+
+
+def batch_statements() -> dict[str, str]:
+    """Searches with many requests, and replaced vectors."""
+    all_pairs = """allpairs AS (
+  SELECT a.id AS qid, b.id AS id, sum((CAST(b.x AS DOUBLE) - a.x) * (CAST(b.x AS DOUBLE) - a.x)) AS distance
+  FROM vec a JOIN vec b ON a.i = b.i GROUP BY a.id, b.id)"""
+    short = document_text_sql().replace("invoice_date", "no_date").replace("raw_text", "no_text")
+    return {
+        "knn_batch": with_views("""SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM allpairs) WHERE rank <= 5""", VEC, all_pairs),
+        "semantic_search_batch": with_views(f"""SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance, invoice_number, currency FROM (
+  SELECT p.*, i.invoice_number, i.currency, row_number() OVER (PARTITION BY p.qid ORDER BY round(p.distance, 9), p.id) AS rank
+  FROM allpairs p JOIN invoices i ON p.id = i.id WHERE {valid_sql(True)}
+    AND (p.qid % 3 <> 0 OR coalesce(i.total_amount >= 100000.0, false))
+    AND (p.qid % 4 <> 1 OR coalesce(i.currency = 'EUR', false))
+    AND (p.qid % 5 <> 2 OR i.currency IS DISTINCT FROM 'USD')) WHERE rank <= 5""", *INV, VEC, all_pairs),
+        "empty_index": "SELECT vec_id AS qid, vec_id AS id, CAST(0 AS INTEGER) AS rank FROM embeddings WHERE false",
+        "replace_vectors": with_views("SELECT d.id, t.seq, d.digest FROM digests d JOIN texts t ON t.id = d.id", *INV, f"""texts AS (
+  SELECT id, CASE WHEN currency = 'EUR' THEN {document_text_sql()} ELSE {short} END AS matched_text, CASE WHEN currency = 'EUR' THEN 1 ELSE 0 END AS seq
+  FROM (SELECT *, NULL::VARCHAR AS no_date, NULL::VARCHAR AS no_text FROM invoices) WHERE {valid_sql(True)})""", vector_digest("texts")),
+    }
+
+
+# What the rules read out of the rendered invoice of each order, and which documents are cut short.
+INVOICE_FIELDS = """fields AS (
+  SELECT src_id, o_custkey, src_id % 40 <> 0 AS long_enough,
+    CASE WHEN src_id % 4 <> 0 THEN 'pymupdf' WHEN src_id % 8 <> 0 THEN 'pdfplumber' ELSE 'ocr' END AS extraction_method,
+    CASE WHEN src_id % 40 = 0 THEN 12 ELSE length(text) END AS text_length,
+    invoice_number, invoice_date, NULLIF(seller_name, '') AS seller_name, NULLIF(buyer_name, '') AS buyer_name,
+    CAST(amt AS DOUBLE) AS total_amount, CASE WHEN amt IS NOT NULL THEN coalesce(currency, 'USD') END AS rule_currency, currency
+  FROM invoices_raw JOIN invoice_text USING (src_id))"""
+
+
+def _result(success: str, error: str, currency: str, account: str) -> str:
+    six = ["invoice_number", "invoice_date", "seller_name", "buyer_name", "total_amount"]
+    cols = ", ".join(f"CASE WHEN {success} THEN {f} END AS {f}" for f in six)
+    present = " AND ".join(f"{f} IS NOT NULL" for f in [*six, currency])
+    return (f"SELECT src_id, {success} AS success, {error} AS error, text_length, extraction_method, {cols}, "
+            f"CASE WHEN {success} THEN {currency} END AS currency, {account} AS account, {success} AND {present} AS is_valid FROM fields")
+
+
+def document_statements() -> dict[str, str]:
+    """Replies, extractors, batch and file ingest."""
+    short = "'document text is shorter than the minimum'"
+    last = "(o_custkey % 10)"
+    asked = f"(long_enough AND {last} < 8)"
+    told = (f"CASE WHEN NOT long_enough THEN {short} WHEN {last} = 9 THEN 'RuntimeError: no answer for account ' || CAST(o_custkey AS VARCHAR) "
+            f"WHEN {last} = 8 THEN 'no valid JSON in reply: I can''t read this' ELSE '' END")
+    fields = ["invoice_number", "invoice_date", "seller_name", "buyer_name", "total_amount", "currency"]
+    missing = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in fields)
+    return {
+        "reply_to_record": f"""SELECT *, concat_ws(',', {missing}) = '' AS is_valid, concat_ws(',', {missing}) AS missing,
+  CASE WHEN total_amount IS NULL THEN 1 ELSE 0 END AS n_warnings FROM (
+  SELECT event_id, CASE WHEN m < 4 THEN 'E-' || CAST(event_id AS VARCHAR) END AS invoice_number, CASE WHEN m < 4 THEN '2024-01-15' END AS invoice_date,
+    CASE WHEN m < 4 THEN event_type END AS seller_name, CASE WHEN m IN (0, 1, 3) THEN 'user ' || CAST(user_id AS VARCHAR) END AS buyer_name,
+    CASE WHEN m < 3 THEN CAST(CAST(value AS DECIMAL(15,2)) AS DOUBLE) END AS total_amount, CASE WHEN m IN (0, 1, 3) THEN 'EUR' END AS currency,
+    CASE WHEN m < 4 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS extra_k, CASE WHEN m < 4 THEN 1 ELSE 0 END AS n_extras,
+    CASE WHEN m = 3 THEN 'span' WHEN m < 3 THEN 'direct' END AS source,
+    CASE WHEN m = 4 THEN 'reply is JSON but no object' WHEN m = 5 THEN 'no valid JSON in reply: sorry, ' || event_type END AS problem
+  FROM (SELECT *, event_id % 6 AS m FROM events))""",
+        "process_invoices": with_views(_result("long_enough", f"CASE WHEN long_enough THEN '' ELSE {short} END", "rule_currency", "NULL::VARCHAR"),
+                                       INVOICES_RAW, INVOICE_TEXT, INVOICE_FIELDS),
+        "process_with_model": with_views(_result(asked, told, "currency", f"CASE WHEN {asked} THEN CAST(o_custkey AS VARCHAR) END"),
+                                         INVOICES_RAW, INVOICE_TEXT, INVOICE_FIELDS),
+        "ingest_invoices": with_views("""SELECT first_id AS id, invoice_number, invoice_date, seller_name, buyer_name, total_amount, rule_currency AS currency,
+  file_name, extraction_method FROM (
+  SELECT *, row_number() OVER (PARTITION BY invoice_number, file_name, solo ORDER BY src_id DESC) AS rn,
+    min(src_id) OVER (PARTITION BY invoice_number, file_name, solo) AS first_id
+  FROM (SELECT *, 'doc_' || CAST(src_id % 12000 AS VARCHAR) || '.pdf' AS file_name, CASE WHEN invoice_number IS NULL THEN src_id END AS solo
+        FROM fields WHERE long_enough)) WHERE rn = 1""", INVOICES_RAW, INVOICE_TEXT, INVOICE_FIELDS),
+        "ingest_files": with_views(f"""SELECT invoice_number, invoice_date, seller_name, buyer_name, total_amount, currency, length(raw_text) AS text_length,
+  length({document_text_sql()}) AS vector_text_length, (SELECT count(*) FROM supplier) AS n_files FROM docs""", """docs AS (
+  SELECT *, concat_ws(chr(10), 'Invoice Number: ' || invoice_number, 'Date: 2024-03-05', 'Seller: ' || seller_name, 'Buyer: ' || buyer_name,
+                      'Total: ' || CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS VARCHAR) || ' EUR') || chr(10) AS raw_text
+  FROM (SELECT CASE WHEN s_suppkey % 7 <> 0 THEN 'S-' || CAST(s_suppkey AS VARCHAR) END AS invoice_number, '2024-03-05' AS invoice_date,
+          s_name AS seller_name, 'House ' || CAST(s_suppkey % 5 AS VARCHAR) AS buyer_name, s_acctbal,
+          CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS DOUBLE) AS total_amount, 'EUR' AS currency FROM supplier WHERE s_suppkey % 10 <> 0))"""),
+        "scan_directory": ("SELECT page_id, CAST(strlen(coalesce(html, '')) + 1 AS BIGINT) AS length, md5(coalesce(html, '') || chr(10)) AS content_md5 "
+                           "FROM pages"),
+        "load_json": with_views("SELECT id, invoice_number, total_amount, currency FROM invoices", *INV),
+        "missing_store": with_views("SELECT id, invoice_number, total_amount FROM invoices", *INV),
+        "stamp_ingestion": with_views("SELECT CAST(count_if(id % 2 = 0) AS BIGINT) AS n_kept, CAST(count_if(id % 2 = 1) AS BIGINT) AS n_stamped, "
+                                      "CAST(1 AS BIGINT) AS n_stamps FROM invoices", *INV),
+        "export_csv": with_views(
+            "SELECT NULLIF(invoice_number, '') AS invoice_number, invoice_date, NULLIF(seller_name, '') AS seller_name, NULLIF(buyer_name, '') AS buyer_name, "
+            "total_amount, currency, extracted_at, 1 AS n_files FROM invoices", *INV),
+    }
+
+
+def _merged(rows: str) -> str:
+    """Upsert of a view: of every number and file the first id and the last row's other columns."""
+    return f"""merged AS (SELECT * EXCLUDE (id, rn, first_id, solo), first_id AS id FROM (
+  SELECT *, row_number() OVER (PARTITION BY invoice_number, file_name, solo ORDER BY id DESC) AS rn,
+    min(id) OVER (PARTITION BY invoice_number, file_name, solo) AS first_id
+  FROM (SELECT *, CASE WHEN invoice_number IS NULL OR file_name IS NULL THEN id END AS solo FROM {rows})) WHERE rn = 1)"""
+
+
+def change_statements() -> dict[str, str]:
+    """Written changes: what the tables hold after them."""
+    short = document_text_sql().replace("invoice_date", "no_date").replace("raw_text", "no_text")
+    texts = f"""texts AS (SELECT id, {short} AS matched_text FROM (SELECT *, NULL::VARCHAR AS no_date, NULL::VARCHAR AS no_text FROM merged)
+  WHERE {valid_sql(True)})"""
+    return {
+        "change_table": with_views("SELECT id, invoice_number, file_name, total_amount, buyer_name FROM merged", *INV, _merged("invoices")),
+        "delete_records": with_views("""SELECT m.id, m.invoice_number, m.currency, d.digest FROM merged m LEFT JOIN digests d ON d.id = m.id
+WHERE m.currency IS DISTINCT FROM 'JPY'""", *INV, _merged("invoices"), texts, vector_digest("texts")),
+        "delete_all": with_views("""SELECT id, invoice_number, total_amount, (SELECT count(*) FROM everything) AS n_deleted, CAST(0 AS BIGINT) AS n_vectors
+FROM merged""", *INV, _merged("invoices").replace("merged AS", "everything AS", 1), "eur AS (SELECT * FROM invoices WHERE currency = 'EUR')", _merged("eur")),
+        "save_fan_out": with_views("""SELECT 'json' AS sink, count(*) AS n_saved, count(*) AS n_read FROM invoices
+UNION ALL SELECT 'csv', count(*), count(*) FROM invoices
+UNION ALL SELECT 'db', (SELECT count(*) FROM invoices), count(*) FROM merged""", *INV, _merged("invoices")),
+    }
+
+
 ORACLE = build()

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on. AQE re-plans joins and coalesces
 # partitions from runtime statistics, and splits skewed shuffle partitions.
@@ -89,5 +89,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerlens-scratch/{uuid.uuid4().hex}/{name}"
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a scratch table and read it back: evaluated once, and kept when executors are lost."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.operators.records import flatten
 from ledgerlens.schema import INVOICE_SCHEMA
+from ledgerlens.sources.changes import ChangeTable, _Files
 
 FORMATS = ("json", "csv", "db")
 _VERSION = re.compile(r"^v(\d{8})$")
@@ -69,6 +70,27 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = INVOICE_SCH
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
+def read_json_files(spark: SparkSession, path: str, schema: T.StructType = INVOICE_SCHEMA, recursive: bool = False) -> DataFrame:
+    """Records of JSON files of any of three forms, found out per file: one object per line, an array of objects, or a single
+    object over several lines (a list of one). Missing -> empty; a file without text has no records.
+
+    The form shows in the first line that is not blank: ``{...}`` whole in a line is a file of lines, anything else one
+    document. Finding it out costs a scan of the files as text; the records are then read by Spark's JSON reader in either mode.
+    """
+    if not path_exists(spark, path):
+        return _empty(spark, schema)
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                                         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    first = lines.filter("line <> ''").groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    forms = first.select("file", (F.col("line").startswith("{") & F.col("line").endswith("}")).alias("by_line")).collect()   # a row per file
+    out = [_empty(spark, schema)]
+    for by_line in (True, False):
+        files = [r.file for r in forms if r.by_line == by_line]
+        if files:
+            out.append(spark.read.schema(schema).option("multiLine", not by_line).json(files))
+    return out[-1] if len(out) < 3 else out[1].unionAll(out[2])
+
+
 def csv_safe(df: DataFrame) -> DataFrame:
     """Flatten structs; maps and arrays become JSON text (CSV holds scalars)."""
     flat = flatten(df)
@@ -128,12 +150,15 @@ def write_table_version(df: DataFrame, root: str) -> int:
     """Write ``df`` as the next version of the table; returns its number.
 
     The write goes to a fresh folder, so the plan may read the previous
-    version while it writes this one.
+    version while it writes this one. The number is claimed by a file that must not exist, so two writers
+    never write to one folder; the number of a job that died is not used again.
     """
-    spark = df.sparkSession
-    v = (latest_version(spark, root) or 0) + 1
-    # overwrite: a folder of this number can only be an uncommitted leftover
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v{v:08d}")
+    files = _Files(df.sparkSession, root)
+    root = root.rstrip("/")
+    v = (latest_version(df.sparkSession, root) or 0) + 1
+    while files.exists(f"{root}/v{v:08d}/_SUCCESS") or not files.create(f"{root}/claims/v{v:08d}", ""):
+        v += 1
+    df.write.mode("overwrite").parquet(f"{root}/v{v:08d}")
     return v
 
 
@@ -152,13 +177,13 @@ def load_newest_first(df: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, root: str, formats: list[str] = list(FORMATS), upsert_fn=None,
-         bucketed_key: list[str] | None = None, n_buckets: int = 256) -> dict:
+         bucketed_key: list[str] | None = None, n_buckets: int | None = None) -> dict:
     """Write one batch to the chosen sinks in order json, csv, db.
 
     The batch is persisted once and reused by every sink. Returns, per sink,
     its path and row count (and the table version for ``db``). With
-    ``bucketed_key`` the ``db`` table uses the key-bucketed layout: only the
-    buckets the batch touches are rewritten (see ``upsert_bucketed``).
+    ``bucketed_key`` the ``db`` table is a change table: a batch adds its own rows only (see ``changes``), and keyed
+    rows are merged when it is read; without, every batch writes the whole table as its next version.
     """
     for f in formats:
         check_format(f)
@@ -171,78 +196,27 @@ def save(df: DataFrame, root: str, formats: list[str] = list(FORMATS), upsert_fn
         if "csv" in formats:
             out["csv"] = {"path": write_csv(batch, f"{root}/invoices_csv"), "rows": n}
         if "db" in formats and bucketed_key:
-            table = f"{root}/invoices_buckets"
-            touched = upsert_bucketed(batch, table, upsert_fn or (lambda old, new: old.unionByName(new)),
-                                      bucketed_key, n_buckets=n_buckets)
-            out["db"] = {"path": table, "buckets": touched, "rows": n}
+            path = f"{root}/invoices_buckets"
+            table = ChangeTable.create(df.sparkSession, path, batch.schema, bucketed_key, buckets=n_buckets)
+            out["db"] = {"path": path, "change": table.put(batch), "rows": n}
         elif "db" in formats:
             spark = df.sparkSession
-            table = f"{root}/invoices_table"
-            current = read_table_version(spark, table, batch.schema)
+            path = f"{root}/invoices_table"
+            current = read_table_version(spark, path, batch.schema)
             new = upsert_fn(current, batch) if upsert_fn else current.unionByName(batch)
-            v = write_table_version(new, table)
-            out["db"] = {"path": table, "version": v, "rows": n}
+            v = write_table_version(new, path)
+            out["db"] = {"path": path, "version": v, "rows": n}
     finally:
         batch.unpersist()
     return out
 
 
-# ---------------------------------------------------------------- key-bucketed table
-
-BUCKET_COL = "_bucket"
-DEFAULT_BUCKETS = 256
-
-
-def bucket_of(key: list[str], id_col: str = "id", n_buckets: int = DEFAULT_BUCKETS):
-    """Stable bucket of a record: hash of its key, or of its id when a key
-    part is null (such a record only ever matches itself)."""
-    any_null = F.lit(False)
-    for k in key:
-        any_null = any_null | F.col(k).isNull()
-    return F.when(any_null, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_buckets))) \
-            .otherwise(F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(n_buckets))).cast("int")
-
-
-def upsert_bucketed(batch: DataFrame, root: str, upsert_fn, key: list[str],
-                    id_col: str = "id", n_buckets: int = DEFAULT_BUCKETS) -> list[int]:
-    """Upsert a batch into a table partitioned by key bucket, rewriting only
-    the buckets the batch touches (dynamic partition overwrite).
-
-    Old rows of those buckets are read with partition pruning, merged with
-    the batch by ``upsert_fn`` and written back; files are swapped in at
-    commit, so the job may read the buckets it replaces. A ``rebalance``
-    hint lets AQE split a hot bucket across writers and merge small ones.
-    Re-running a batch whose keys are all set gives the same table (keyed, last write by
-    ``seq``), which is what makes a replayed micro-batch safe.
-    Returns the touched bucket numbers (at most ``n_buckets``).
-    """
-    spark = batch.sparkSession
-    staged = batch.withColumn(BUCKET_COL, bucket_of(key, id_col, n_buckets)).persist()
-    try:
-        touched = sorted(r[0] for r in staged.select(BUCKET_COL).distinct().collect())
-        if not touched:
-            return []
-        new = staged.drop(BUCKET_COL)
-        if path_exists(spark, root):
-            old = spark.read.parquet(root).filter(F.col(BUCKET_COL).isin(touched)).drop(BUCKET_COL)
-            merged = upsert_fn(old, new)
-        else:
-            merged = upsert_fn(spark.createDataFrame([], new.schema), new)
-        out = merged.withColumn(BUCKET_COL, bucket_of(key, id_col, n_buckets)).hint("rebalance", BUCKET_COL)
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            out.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(root)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-        return touched
-    finally:
-        staged.unpersist()
-
+# ---------------------------------------------------------------- change table
 
 def read_bucketed(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    if not path_exists(spark, root):
+    """The records of a change table (see ``changes``); missing -> empty where a schema is given."""
+    if not ChangeTable.exists(spark, root):
         if schema is None:
             raise FileNotFoundError(root)
         return _empty(spark, schema)
-    return spark.read.parquet(root).drop(BUCKET_COL)
+    return ChangeTable.open(spark, root).read()

@@ -1,46 +1,54 @@
 """Incremental ingestion with Structured Streaming.
 
-New record files land in a folder; a stream with ``availableNow`` picks up
-whatever is new and, per micro-batch, upserts it into the key-bucketed
-record table, rewriting only the buckets the batch touches. A replayed
-micro-batch re-applies the same keyed rows and gives the same table, so the
-sink is idempotent; the checkpoint makes each file count once.
+New record or document files land in a folder; a stream with ``availableNow`` picks up whatever is new, and every micro-batch
+adds its rows to change tables (see ``sources.changes``). A batch is named after its stream and epoch, so a
+replayed one is skipped where it was committed and done over where it was not, and gives the same tables either way,
+for records with and without a number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.operators.dml import UPSERT_KEY, upsert_into
-from ledgerlens.session import scratch_path
-from ledgerlens.sources.store import BUCKET_COL, DEFAULT_BUCKETS, read_bucketed, upsert_bucketed
+from ledgerlens.operators.dml import UPSERT_KEY, assign_ids
+from ledgerlens.operators.vectors import DEFAULT_DIM, build_vectors
+from ledgerlens.plans.documents import process_documents
+from ledgerlens.session import scratch_path, written
+from ledgerlens.sources.changes import ChangeTable
+from ledgerlens.sources.files import file_name_from_path
+from ledgerlens.sources.store import read_bucketed, stamp_ingestion
 
+LEDGER_SCHEMA = "id long, path string, content_hash string, success boolean, errors array<string>, seq long"
+RECORD_SCHEMA = ("id long, invoice_number string, invoice_date string, seller_name string, buyer_name string, total_amount double, "
+                 "currency string, file_name string, raw_text string, extraction_method string, page_count int, extracted_at string, "
+                 "extras map<string,string>, seq long")
+STORED_VECTOR_SCHEMA = "id long, matched_text string, embedding array<float>, seq long"
 
-def upsert_batch_writer(table_root: str, schema: T.StructType, key: list[str] = UPSERT_KEY,
-                        n_buckets: int = DEFAULT_BUCKETS):
-    """``foreachBatch`` function: upsert the micro-batch into touched buckets."""
-    root = table_root.rstrip("/")
-    cols = schema.fieldNames()
 
+def upsert_batch_writer(table_root: str, schema: T.StructType, key: list[str] = UPSERT_KEY,
+                        n_buckets: int | None = None, stream: str = "records"):
+    """``foreachBatch`` function: add the micro-batch to the table."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        upsert_bucketed(batch.select(*cols), root,
-                        lambda old, new: upsert_into(old, new, key).select(*cols), key,
-                        n_buckets=n_buckets)
+        table = ChangeTable.create(batch.sparkSession, table_root, schema, key, buckets=n_buckets)
+        table.put(batch.select(*schema.fieldNames()), f"{stream}-{epoch_id}")
 
     return write
 
 
 def start_incremental_upsert(spark: SparkSession, landing: str, table_root: str, checkpoint: str,
                              schema: T.StructType, files_per_batch: int | None = None,
-                             fmt: str = "parquet", n_buckets: int = DEFAULT_BUCKETS):
-    """Start the stream (``availableNow``): all new files, then stop."""
+                             fmt: str = "parquet", n_buckets: int | None = None, stream: str = "records"):
+    """Start the stream (``availableNow``): all new files, then stop. ``stream`` names its batches; streams
+    with checkpoints of their own into one table need names of their own."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (reader.load(landing).writeStream
-            .foreachBatch(upsert_batch_writer(table_root, schema, n_buckets=n_buckets))
+            .foreachBatch(upsert_batch_writer(table_root, schema, n_buckets=n_buckets, stream=stream))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
@@ -63,8 +71,8 @@ def incremental_upsert_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_texts(files: DataFrame, extractors: list, path_col: str = "path",
-               content_col: str = "content", min_chars: int | None = None) -> DataFrame:
-    """``(path, file_name, text_1..text_n)`` from file bytes with user codecs.
+               content_col: str = "content", min_chars: int | None = None, keep: list[str] | tuple = ()) -> DataFrame:
+    """``(path, *keep, text_1..text_n, file_name)`` from file bytes with user codecs.
 
     Each extractor maps ``bytes -> str``. Extractor ``i+1`` runs only for the
     files whose current text is still shorter than ``min_chars`` (the
@@ -73,17 +81,15 @@ def file_texts(files: DataFrame, extractors: list, path_col: str = "path",
     failed candidate counts as short): a bad file never stops the batch.
     """
     from ledgerlens.operators.extraction import MIN_TEXT_CHARS
-    from ledgerlens.sources.files import file_name_from_path
 
     limit = MIN_TEXT_CHARS if min_chars is None else min_chars
     n = len(extractors)
-    out_schema = "path string, " + ", ".join(f"text_{i + 1} string" for i in range(n))
+    kept = files.select(path_col, *keep)
+    out_schema = T.StructType([*kept.schema.fields, *(T.StructField(f"text_{i + 1}", T.StringType()) for i in range(n))])
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
-            res = {"path": pdf[path_col]}
+            res = pdf[[path_col, *keep]].copy()
             current = [None] * len(pdf)
             for i, fn in enumerate(extractors):
                 vals = []
@@ -98,62 +104,66 @@ def file_texts(files: DataFrame, extractors: list, path_col: str = "path",
                     vals.append(v)
                     current[j] = v
                 res[f"text_{i + 1}"] = vals
-            yield pd.DataFrame(res)
+            yield res
 
-    texts = files.select(path_col, content_col).mapInPandas(run, out_schema)
-    return texts.withColumn("file_name", file_name_from_path("path"))
+    texts = files.select(path_col, *keep, content_col).mapInPandas(run, out_schema)
+    return texts.withColumn("file_name", file_name_from_path(path_col))
 
 
 def ingest_files_batch(batch: DataFrame, epoch_id: int, extractors: list, table_root: str,
-                       vectors_root: str, n_buckets: int = DEFAULT_BUCKETS) -> None:
-    """One micro-batch of new files -> records (upsert) and vectors (replace by id)."""
-    from ledgerlens.operators.dml import assign_ids, next_id, upsert_into
-    from ledgerlens.operators.vectors import build_vectors
-    from ledgerlens.plans.documents import process_documents
-    from ledgerlens.sources.store import path_exists, stamp_ingestion
-
+                       vectors_root: str, n_buckets: int | None = None, stream: str = "files",
+                       extractor: Callable | None = None, embedder=None, dim: int = DEFAULT_DIM,
+                       use_ocr: bool = True) -> None:
+    """One micro-batch of new files -> records, vectors and the ledger of applied files.
+
+    A file is known by its path and the digest of its content; those in the ledger (``<table_root>_files``) are left out. The
+    batch is worked out once, into a scratch table, so every codec and the extractor run once per file. Records get the next
+    dense ids; equal keys take the last modified file's values. Vectors of the touched records are made anew from
+    what is stored; a record that is no longer valid loses its vector. The three tables take the batch under one name: after a crash
+    between them a replay adds what is missing and nothing twice.
+    """
     spark = batch.sparkSession
-    texts = file_texts(batch, extractors)
+    name = f"{stream}-{epoch_id}"
+    schema = T._parse_datatype_string
+    ledger = ChangeTable.create(spark, f"{table_root.rstrip('/')}_files", schema(LEDGER_SCHEMA), ["path", "content_hash"], buckets=n_buckets)
+    if ledger.applied(name):
+        return
+    records = ChangeTable.create(spark, table_root, schema(RECORD_SCHEMA), UPSERT_KEY, buckets=n_buckets)
+    vectors = ChangeTable.create(spark, vectors_root, schema(STORED_VECTOR_SCHEMA), ["id"], buckets=n_buckets)
+
+    files = batch.withColumns({"content_hash": F.sha2("content", 256), "mtime": F.unix_micros("modificationTime")})
+    fresh = files.join(ledger.keys(), ["path", "content_hash"], "left_anti")
+    texts = file_texts(fresh, extractors, keep=["content_hash", "mtime"])
     cols = [f"text_{i + 1}" for i in range(len(extractors))]
-    res = process_documents(texts, "path", cols).join(texts.select("path", "file_name"), "path")
-    good = res.filter(F.col("success"))
-    # last write inside the batch: latest modification, then path
-    seq = F.struct(F.lit(epoch_id).cast("long").alias("epoch"), F.col("mtime"), F.col("path"))
-    rec = (good.join(batch.select("path", F.col("modificationTime").alias("mtime")), "path")
-               .select("invoice_number", "invoice_date", "seller_name", "buyer_name", "total_amount",
-                       "currency", "file_name", F.col("text").alias("raw_text"), "extraction_method",
-                       "page_count", seq.alias("seq")))
-    rec = stamp_ingestion(rec).persist()
-    try:
-        start = next_id(read_bucketed(spark, table_root)) if path_exists(spark, table_root) else 1
-        rec = assign_ids(rec, start)
-        buckets = upsert_bucketed(rec, table_root, lambda old, new: upsert_into(old, new), UPSERT_KEY,
-                                  n_buckets=n_buckets)
-        # re-embed only the stored rows of this batch's keys, read from touched buckets
-        stored = spark.read.parquet(table_root).filter(F.col(BUCKET_COL).isin(buckets)).drop(BUCKET_COL)
-        touched = stored.join(rec.select("id").distinct(), "id", "left_semi").unionByName(
-            stored.join(rec.select("file_name", "invoice_number").distinct(),
-                        ["file_name", "invoice_number"], "left_semi")).dropDuplicates(["id"])
-        vec = build_vectors(touched).withColumn("seq", F.lit(epoch_id).cast("long"))
-        upsert_bucketed(vec, vectors_root, lambda old, new: upsert_into(old, new, key=["id"]), ["id"],
-                        n_buckets=n_buckets)
-    finally:
-        rec.unpersist()
+    staged = written(spark, process_documents(texts, "path", cols, use_ocr=use_ocr, keep=["content_hash", "mtime", "file_name"],
+                                              extractor=extractor), "ingested")
+
+    rec = staged.filter("success").withColumns({"raw_text": F.col("text"), "seq": F.col("mtime")})
+    rec = stamp_ingestion(rec.select(*[c for c in rec.columns if c in records.schema.fieldNames()]))
+    records.put(assign_ids(rec, records.next_id()), name)
+    touched = records.touched(name)
+    vec = written(spark, build_vectors(touched, embedder=embedder, dim=dim), "vectors")
+    vectors.put(vec, name)
+    stale = touched.select("id").join(vec, "id", "left_anti")
+    if not stale.isEmpty():
+        vectors.delete(stale, f"{name}.stale")
+    ledger.put(assign_ids(staged.select("path", "content_hash", "success", "errors"), ledger.next_id()), name)
 
 
 def start_file_ingest(spark: SparkSession, landing: str, table_root: str, vectors_root: str,
                       checkpoint: str, extractors: list, pattern: str = "*.pdf",
-                      files_per_batch: int | None = None, n_buckets: int = DEFAULT_BUCKETS):
+                      files_per_batch: int | None = None, n_buckets: int | None = None, recursive: bool = False, **options):
     """Stream new files (``binaryFile``, ``availableNow``) through extraction into
-    the record table and the vector table. The checkpoint makes each file count
-    once; a replayed batch re-applies the same keyed rows."""
+    the record table, the vector table and the ledger (see ``ingest_files_batch``, which takes ``options``). The checkpoint
+    makes each file count once, the ledger does so when a checkpoint is lost, and a replayed batch adds nothing twice."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (reader.load(landing).writeStream
-            .foreachBatch(lambda b, e: ingest_files_batch(b, e, extractors, table_root, vectors_root,
-                                                          n_buckets))
+            .foreachBatch(lambda b, e: ingest_files_batch(b, e, extractors, table_root, vectors_root, n_buckets, **options))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
