@@ -112,3 +112,60 @@ def test_amount_spellings(spark):
     df = spark.createDataFrame([(f"Total Amount: {x}",) for x in lines], "text string")
     got = [r.total_amount for r in ex.extract_with_rules(df).collect()]
     assert got == [52500.0, 1200.0, 1234.5, 7.0, 12.5, 1234567.89, None]
+
+
+def test_reply_becomes_a_record_with_extras(spark):
+    rows = [(1, '{"invoice_number": "A", "total_amount": "$1,200.50", "currency": "EUR", "note": "x", "items": [1, {"a": null}], "n": 1.5, "gone": null}'),
+            (2, 'Sure: {"seller_name": "S", "total_amount": 7} Bye'), (3, "[1]"), (4, "no"), (5, None), (6, "{}"), (7, '"text"')]
+    df = spark.createDataFrame(rows, "id int, reply string")
+    got = {r.id: r for r in df.withColumns(ex.reply_fields("reply")).collect()}
+    assert (got[1].invoice_number, got[1].total_amount, got[1].currency, got[1].seller_name) == ("A", 1200.5, "EUR", None)
+    assert got[1].extras == {"note": "x", "items": '[1,{"a":null}]', "n": "1.5", "gone": None} and got[1].reply_source == "direct"
+    assert (got[2].seller_name, got[2].total_amount, got[2].extras, got[2].reply_source) == ("S", 7.0, None, "span")
+    assert got[3].reply_problem == ex.NOT_AN_OBJECT and got[7].reply_problem == ex.NOT_AN_OBJECT
+    assert got[4].reply_problem == "no valid JSON in reply: no" and got[5].reply_problem == ex.EMPTY_REPLY
+    assert got[6].reply_problem is None and got[6].invoice_number is None and got[6].extras is None
+
+
+def test_model_calls_are_bounded_and_fail_by_row(spark, tmpdir_path):
+    def make_ask():
+        import os
+        import uuid
+
+        def ask(prompts):
+            with open(f"{tmpdir_path}/{os.getpid()}-{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{len(prompts)} {sum(len(p) for p in prompts)}")
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("refused " + "x" * 300)
+            return [None if "none" in p else p.upper() for p in prompts]
+
+        return ask
+
+    texts = ["one", "two", None, "bad", "none", "y" * 50, "six"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, prompt string").coalesce(1)
+    got = {r.i: (r.reply, r.reply_error) for r in ex.ask_model(df, make_ask=make_ask, call_rows=3, call_bytes=20).collect()}
+    assert got == {0: ("ONE", None), 1: ("TWO", None), 2: (None, None), 3: (None, "RuntimeError: refused " + "x" * 300), 4: (None, None),
+                   5: ("Y" * 50, None), 6: ("SIX", None)}
+    import os
+
+    calls = [tuple(map(int, open(os.path.join(tmpdir_path, n)).read().split())) for n in os.listdir(tmpdir_path)]
+    assert all(n <= 3 and (size <= 20 or n == 1) for n, size in calls)
+
+
+def test_process_documents_with_a_model(spark):
+    from ledgerlens.plans.documents import process_documents
+
+    def ask(prompts):
+        if any("crash" in p for p in prompts):
+            raise ValueError("down")
+        return ['{"invoice_number": "Q", "vat": "19"}' if "good" in p else "what?" for p in prompts]
+
+    rows = [(1, "good document of some length " * 2), (2, "good"), (3, "crash of a document that is long " * 2), (4, "other document, long enough " * 2)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r.id: r for r in process_documents(df, "id", ["t"], extractor=ex.model_extractor(ask)).collect()}
+    assert got[1].success and got[1].invoice_number == "Q" and got[1].extras == {"vat": "19"} and got[1].errors == []
+    assert got[2].errors == [ex.SHORT_TEXT_ERROR] and not got[2].success
+    assert got[3].errors == ["ValueError: down"] and got[3].invoice_number is None and got[3].validation.missing_fields == ex.EXTRACTION_FIELDS
+    assert got[4].errors == ["no valid JSON in reply: what?"] and got[4].extras is None
+    plain = process_documents(df, "id", ["t"]).filter("id = 1").first()
+    assert plain.success and plain.extras is None

@@ -93,6 +93,98 @@ def test_file_ingest_stream(spark, tmpdir_path):
     assert read_bucketed(spark, vecs).count() == 3
 
 
+def _file_rows(spark, rows):
+    import datetime
+
+    t = datetime.datetime(2024, 1, 1)
+    return spark.createDataFrame([(f"file:/in/{n}", t, len(c), c.encode()) for n, c in rows],
+                                 "path string, modificationTime timestamp, length long, content binary")
+
+
+def _ingest_state(spark, table, vecs):
+    from ledgerlens.sources.changes import ChangeTable
+
+    rec = sorted((r.id, r.invoice_number, r.seller_name, r.total_amount) for r in ChangeTable.open(spark, table).read().collect())
+    vec = sorted(r.id for r in ChangeTable.open(spark, vecs).read().collect())
+    led = sorted((r.path, r.success) for r in ChangeTable.open(spark, table + "_files").read().collect())
+    return rec, vec, led
+
+
+def test_replays_and_crashes_between_tables_add_nothing_twice(spark, tmpdir_path, monkeypatch):
+    from ledgerlens.sources.changes import ChangeTable
+    from ledgerlens.streaming.ingest import ingest_files_batch
+
+    table, vecs, calls = (os.path.join(tmpdir_path, x) for x in ("t", "v", "calls"))
+    os.makedirs(calls)
+
+    def decode(b):
+        import uuid
+        with open(os.path.join(calls, uuid.uuid4().hex), "w") as f:
+            f.write("x")
+        return b.decode("utf-8")
+
+    no_number = INVOICE.replace("Invoice No: {num}\n", "")
+    batch = _file_rows(spark, [("a.txt", no_number.format(amt="1.00")), ("b.txt", no_number.format(amt="2.00")), ("c.txt", INVOICE.format(num="N-1", amt="3.00")),
+                               ("bad.txt", "tiny")])
+    run = lambda epoch, b=batch, **kw: ingest_files_batch(b, epoch, [decode], table, vecs, 4, **kw)
+    # the job dies before the vectors, then before the ledger, is replayed, and replayed once more after all was written
+    real = ChangeTable.put
+
+    def dying(at):
+        seen = []
+
+        def put(self, rows, name=None):
+            seen.append(1)
+            if len(seen) == at:
+                raise RuntimeError("executor and driver lost")
+            return real(self, rows, name)
+        return put
+
+    for at in (2, 3):
+        monkeypatch.setattr(ChangeTable, "put", dying(at))
+        try:
+            run(0)
+            raise AssertionError("did not die")
+        except RuntimeError:
+            pass
+    monkeypatch.setattr(ChangeTable, "put", real)
+    run(0)
+    first = _ingest_state(spark, table, vecs)
+    assert [(n, a) for _, n, _, a in first[0]] in ([(None, 1.0), (None, 2.0), ("N-1", 3.0)], *[
+        [(None, 1.0), ("N-1", 3.0), (None, 2.0)], [(None, 2.0), (None, 1.0), ("N-1", 3.0)], [(None, 2.0), ("N-1", 3.0), (None, 1.0)],
+        [("N-1", 3.0), (None, 1.0), (None, 2.0)], [("N-1", 3.0), (None, 2.0), (None, 1.0)]])
+    assert first[1] == [r[0] for r in first[0]] and [s for _, s in first[2]] == [True, True, False, True]
+    n_calls = len(os.listdir(calls))
+    run(0)                                            # the epoch again
+    run(7)                                            # the files under another epoch, as after a lost checkpoint
+    assert _ingest_state(spark, table, vecs) == first and len(os.listdir(calls)) == n_calls
+    # a changed file is a new file; its record keeps the id, and one codec call is made per new file
+    changed = _file_rows(spark, [("c.txt", INVOICE.format(num="N-1", amt="9.00")), ("d.txt", INVOICE.format(num="N-2", amt="4.00"))])
+    run(8, changed.withColumn("modificationTime", F.expr("modificationTime + interval 1 day")))
+    got = _ingest_state(spark, table, vecs)
+    assert len(os.listdir(calls)) == n_calls + 2 and len(got[0]) == 4 and len(got[1]) == 4
+    ids = {r[1]: (r[0], r[3]) for r in first[0]}, {r[1]: (r[0], r[3]) for r in got[0]}
+    assert ids[1]["N-1"] == (ids[0]["N-1"][0], 9.0)
+
+
+def test_stream_with_a_model_in_place_of_the_rules(spark, tmpdir_path):
+    from ledgerlens.operators.extraction import model_extractor
+    from ledgerlens.sources.changes import ChangeTable
+    from ledgerlens.streaming.ingest import ingest_files_batch
+
+    def ask(prompts):
+        import json
+        return ["nothing" if "skip me" in p else json.dumps({"invoice_number": "M-1", "seller_name": "S", "total_amount": "$5", "po": {"n": 7}}) for p in prompts]
+
+    table, vecs = (os.path.join(tmpdir_path, x) for x in ("t", "v"))
+    batch = _file_rows(spark, [("a.txt", "a long enough document"), ("b.txt", "skip me, a long enough document")])
+    ingest_files_batch(batch, 0, [lambda b: b.decode()], table, vecs, 4, extractor=model_extractor(ask))
+    r = ChangeTable.open(spark, table).read().collect()
+    assert [(x.invoice_number, x.total_amount, x.extras) for x in r] == [("M-1", 5.0, {"po": '{"n":7}'})]
+    led = {x.path: (x.success, x.errors) for x in ChangeTable.open(spark, table + "_files").read().collect()}
+    assert led["file:/in/b.txt"] == (False, ["no valid JSON in reply: nothing"])
+
+
 def test_file_texts_runs_later_codecs_only_when_needed(spark):
     from ledgerlens.streaming.ingest import file_texts
 
