@@ -5,10 +5,43 @@ after the tables) and compares values with the Spark results.
 
 from __future__ import annotations
 
-from ledgerlens.functions.amounts import FLOAT_PATTERN
-from ledgerlens.operators import extraction as ex
-from ledgerlens.plans import catalog as cat
-from ledgerlens.schema import CURRENCIES
+# What the queries are expected to do, written out here: nothing is taken from the code under test.
+CURRENCIES = ["USD", "EUR", "GBP", "JPY", "CNY", "AUD", "CAD", "CHF", "INR"]
+FIELDS = ["invoice_number", "invoice_date", "seller_name", "buyer_name", "total_amount", "currency"]
+METHODS = ["pymupdf", "pdfplumber", "ocr"]
+FLOAT_PATTERN = '^[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|(?i:inf|infinity|nan))$'
+MIN_TEXT_CHARS = 50
+MIN_DOCUMENT_CHARS = 20
+SHORT_TEXT_ERROR = 'document text is shorter than the minimum'
+PROMPT_HEAD = (
+    'Reply with a JSON object of this shape, filled from the document.\n'
+    '{\n'
+    '  invoice_number: text | null\n'
+    '  invoice_date: date, YYYY-MM-DD | null\n'
+    '  seller_name: text | null\n'
+    '  buyer_name: text | null\n'
+    '  total_amount: number | null\n'
+    '  currency: ISO 4217 code | null\n'
+    '}\n'
+    '<document>\n'
+)
+PROMPT_TAIL = '\n</document>\nReply:'
+LABELS = {
+    'invoice_number': '(?im)^[ \\t]*invoice[ \\t]*(?:no\\.|no\\b|number\\b|#)[ \\t]*:?[ \\t]*(.*)$',
+    'invoice_date': '(?im)^[ \\t]*(?:invoice[ \\t]+)?date[ \\t]*:[ \\t]*(.*)$',
+    'seller_name': '(?im)^[ \\t]*(?:from|seller)[ \\t]*:[ \\t]*(.*)$',
+    'buyer_name': '(?im)^[ \\t]*(?:to|buyer|bill to)[ \\t]*:[ \\t]*(.*)$',
+    'amount_line': '(?im)^[ \\t]*total(?:[ \\t]+amount)?[ \\t]*:[ \\t]*(.*)$',
+}
+AMOUNT_NUMBER = '(-?[0-9](?:[0-9.,]*[0-9])?)'
+EUROPEAN_NUMBER = '^-?[0-9]{1,3}(\\.[0-9]{3})*,[0-9]{1,2}$|^-?[0-9]+,[0-9]{1,2}$'
+SEARCH_SELLER, SEARCH_MIN, SEARCH_CURRENCY = 'supplier#00000001', 50000.0, 'USD'
+LIKE_NUMBER, LIKE_SELLER, LIKE_BUYER = 'INV-0000_1', 'plier#00000005', 'customer#0000001'
+AMOUNT_LOW, AMOUNT_HIGH = 100000.0, 200000.0
+ONLY_CURRENCY, EXCLUDED = 'EUR', 'USD'
+SELLER_PART = 'SUPPLIER#00000002'
+KNN_K = 25
+TOP_K = 5
 
 CUR_LIST = "[" + ", ".join(f"'{c}'" for c in CURRENCIES) + "]"
 
@@ -83,10 +116,10 @@ DOC_CANDIDATES = """doc_candidates AS (
 
 CASCADE = f"""cascaded AS (
   SELECT doc_id,
-    CASE WHEN coalesce(length(text_1), 0) >= {ex.MIN_TEXT_CHARS} THEN text_1
-         WHEN coalesce(length(text_2), 0) >= {ex.MIN_TEXT_CHARS} THEN text_2 ELSE text_3 END AS text,
-    CASE WHEN coalesce(length(text_1), 0) >= {ex.MIN_TEXT_CHARS} THEN 'pymupdf'
-         WHEN coalesce(length(text_2), 0) >= {ex.MIN_TEXT_CHARS} THEN 'pdfplumber' ELSE 'ocr' END
+    CASE WHEN coalesce(length(text_1), 0) >= {MIN_TEXT_CHARS} THEN text_1
+         WHEN coalesce(length(text_2), 0) >= {MIN_TEXT_CHARS} THEN text_2 ELSE text_3 END AS text,
+    CASE WHEN coalesce(length(text_1), 0) >= {MIN_TEXT_CHARS} THEN 'pymupdf'
+         WHEN coalesce(length(text_2), 0) >= {MIN_TEXT_CHARS} THEN 'pdfplumber' ELSE 'ocr' END
       AS extraction_method
   FROM doc_candidates
 )"""
@@ -226,7 +259,7 @@ def join_pages_sql(method: str) -> str:
 
 FIELD_SQL = {
     k: f"NULLIF({strip(f'regexp_extract(text, {sql_str(p)}, 1)')}, '')"
-    for k, p in ex.FIELD_PATTERNS.items()
+    for k, p in LABELS.items()
 }
 
 
@@ -236,15 +269,15 @@ def _validation_cols(prefix: str = "") -> str:
 
 
 def amount_number_sql(line: str) -> str:
-    num = f"NULLIF(regexp_extract({line}, {sql_str(ex.AMOUNT_NUMBER)}, 1), '')"
+    num = f"NULLIF(regexp_extract({line}, {sql_str(AMOUNT_NUMBER)}, 1), '')"
     euro = f"replace(replace({num}, '.', ''), ',', '.')"
-    return (f"(CASE WHEN regexp_matches({num}, {sql_str(ex.EUROPEAN_NUMBER)}) THEN {euro} "
+    return (f"(CASE WHEN regexp_matches({num}, {sql_str(EUROPEAN_NUMBER)}) THEN {euro} "
             f"ELSE replace({num}, ',', '') END)")
 
 
 PROCESSED = f"""processed AS (
   SELECT doc_id, text, extraction_method,
-    coalesce(length(text), 0) >= {ex.MIN_DOCUMENT_CHARS} AS success,
+    coalesce(length(text), 0) >= {MIN_DOCUMENT_CHARS} AS success,
     {FIELD_SQL['invoice_number']} AS invoice_number,
     strftime(coalesce(try_strptime({FIELD_SQL['invoice_date']}, '%Y-%m-%d'),
                       try_strptime({FIELD_SQL['invoice_date']}, '%B %-d, %Y')), '%Y-%m-%d') AS invoice_date,
@@ -264,21 +297,20 @@ def build() -> dict[str, str]:
     q["valid_records"] = with_views(
         f"SELECT src_id, invoice_number, seller_name, buyer_name, total_amount FROM invoices_raw "
         f"WHERE {valid_sql(False)}", INVOICES_RAW)
-    s = cat.SEARCH
     q["attribute_search"] = _search(
-        f"{_like('seller_name', s['seller_name'])} AND total_amount >= {float(s['min_amount'])} "
-        f"AND currency = '{s['currency']}'")
-    q["like_invoice_number"] = _search(_like("invoice_number", cat.LIKE_NUMBER["invoice_number"]))
-    q["like_seller"] = _search(_like("seller_name", cat.LIKE_SELLER["seller_name"]))
-    q["like_buyer"] = _search(_like("buyer_name", cat.LIKE_BUYER["buyer_name"]))
-    q["amount_range"] = _search(f"total_amount >= {float(cat.AMOUNT_RANGE['min_amount'])} AND "
-                                f"total_amount <= {float(cat.AMOUNT_RANGE['max_amount'])}")
-    q["currency_eq"] = _search(f"currency = '{cat.CURRENCY_EQ['currency']}'")
+        f"{_like('seller_name', SEARCH_SELLER)} AND total_amount >= {SEARCH_MIN} "
+        f"AND currency = '{SEARCH_CURRENCY}'")
+    q["like_invoice_number"] = _search(_like("invoice_number", LIKE_NUMBER))
+    q["like_seller"] = _search(_like("seller_name", LIKE_SELLER))
+    q["like_buyer"] = _search(_like("buyer_name", LIKE_BUYER))
+    q["amount_range"] = _search(f"total_amount >= {AMOUNT_LOW} AND "
+                                f"total_amount <= {AMOUNT_HIGH}")
+    q["currency_eq"] = _search(f"currency = '{ONLY_CURRENCY}'")
     q["exclude_currency"] = with_views(
-        f"SELECT id, currency FROM invoices WHERE currency IS DISTINCT FROM '{cat.EXCLUDED}'", *INV)
+        f"SELECT id, currency FROM invoices WHERE currency IS DISTINCT FROM '{EXCLUDED}'", *INV)
     q["seller_contains"] = with_views(
         f"SELECT id, seller_name FROM invoices WHERE "
-        f"coalesce(instr(lower(seller_name), lower({sql_str(cat.SELLER_PART)})) > 0, false)", *INV)
+        f"coalesce(instr(lower(seller_name), lower({sql_str(SELLER_PART)})) > 0, false)", *INV)
     q["load_table_newest_first"] = with_views(
         "SELECT id, extracted_at, invoice_number FROM invoices ORDER BY extracted_at DESC, id DESC", *INV)
     q["upsert_invoices"] = with_views("""SELECT first_id AS id, invoice_number, file_name, total_amount,
@@ -359,15 +391,14 @@ FROM (SELECT *,
     q["text_by_page"] = ("SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS page_no, "
                          "unnest(string_split(text, chr(10))) AS page_text FROM documents")
     cols = ", ".join(f"md5({join_pages_sql(m)}) AS md5_{i}, length({join_pages_sql(m)}) AS len_{i}"
-                     for i, m in enumerate(ex.METHODS, start=1))
+                     for i, m in enumerate(METHODS, start=1))
     q["pages_to_text"] = f"SELECT doc_id, {cols} FROM documents"
     q["page_counts"] = ("SELECT doc_id, len(string_split(text, chr(10))) AS page_count, length(text) AS n_chars, "
                         "lang AS meta_lang FROM documents")
-    q["short_text_gate"] = (f"SELECT doc_id, coalesce(length(text), 0) >= {ex.MIN_DOCUMENT_CHARS} AS passed, "
-                            f"CASE WHEN coalesce(length(text), 0) >= {ex.MIN_DOCUMENT_CHARS} THEN '' "
-                            f"ELSE {sql_str(ex.SHORT_TEXT_ERROR)} END AS error FROM documents")
-    head = ex.prompt_head(ex.EXTRACTION_FIELDS)
-    prompt = f"({sql_str(head)} || text || {sql_str(ex.PROMPT_TAIL)})"
+    q["short_text_gate"] = (f"SELECT doc_id, coalesce(length(text), 0) >= {MIN_DOCUMENT_CHARS} AS passed, "
+                            f"CASE WHEN coalesce(length(text), 0) >= {MIN_DOCUMENT_CHARS} THEN '' "
+                            f"ELSE {sql_str(SHORT_TEXT_ERROR)} END AS error FROM documents")
+    prompt = f"({sql_str(PROMPT_HEAD)} || text || {sql_str(PROMPT_TAIL)})"
     q["build_prompts"] = f"SELECT doc_id, length({prompt}) AS prompt_length, md5({prompt}) AS prompt_md5 FROM documents"
     q["extract_fields_rules"] = with_views(
         "SELECT src_id, invoice_number, invoice_date, NULLIF(seller_name, '') AS seller_name, "
@@ -385,7 +416,7 @@ FROM (SELECT *,
 FROM (SELECT *, NULLIF(regexp_extract(reply, '\\{.*\\}', 0, 's'), '') AS span FROM model_replies)""", MODEL_REPLIES)
     no_commas = "replace(coalesce(total_amount, 'None'), ',', '')"
     warn = f"{py_float(strip(no_commas))} IS NULL"
-    miss = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in ex.EXTRACTION_FIELDS)
+    miss = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in FIELDS)
     q["validate_records"] = with_views(
         f"SELECT src_id, ({_validation_cols()}) = 0 AS is_valid, ({_validation_cols()}) AS n_missing, "
         f"concat_ws(',', {miss}) AS missing, CASE WHEN {warn} THEN 1 ELSE 0 END AS n_warnings FROM invoices_raw",
@@ -396,7 +427,7 @@ FROM (SELECT *, NULLIF(regexp_extract(reply, '\\{.*\\}', 0, 's'), '') AS span FR
         "1 AS page_count, length(text) AS text_length FROM invoice_text JOIN invoices_raw USING (src_id)",
         INVOICES_RAW, INVOICE_TEXT)
     q["process_documents"] = with_views(f"""SELECT doc_id, success,
-  CASE WHEN success THEN '' ELSE {sql_str(ex.SHORT_TEXT_ERROR)} END AS error,
+  CASE WHEN success THEN '' ELSE {sql_str(SHORT_TEXT_ERROR)} END AS error,
   length(text) AS text_length, extraction_method,
   len(string_split(coalesce(text, ''), chr(10))) AS page_count,
   success AND ({_validation_cols()}) = 0 AS is_valid,
@@ -417,24 +448,24 @@ FROM b"""
 FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) v
 JOIN centroid_dims c ON v.label = c.label AND v.i = c.i GROUP BY v.vec_id, v.label""", CENTROIDS)
     q["knn_candidates"] = with_views(
-        f"SELECT qid, id, rank, round(distance, 6) AS distance FROM ranked WHERE rank <= {cat.KNN_K}",
+        f"SELECT qid, id, rank, round(distance, 6) AS distance FROM ranked WHERE rank <= {KNN_K}",
         VEC, CENTROIDS, QVEC, DISTANCE_PAIRS, RANKED)
     q["semantic_search"] = with_views(f"""SELECT qid, rank, position, id, round(distance, 6) AS distance,
   round(1.0 / (1.0 + distance), 6) AS score, invoice_number, total_amount, currency FROM (
   SELECT r.*, i.invoice_number, i.total_amount, i.currency,
     row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS position
   FROM ranked r JOIN invoices i ON r.id = i.id
-  WHERE r.rank <= {5 * cat.TOP_K} AND {valid_sql(True)}
+  WHERE r.rank <= {5 * TOP_K} AND {valid_sql(True)}
     AND (r.qid % 3 <> 0 OR coalesce(i.total_amount >= 100000.0, false))
     AND (r.qid % 4 <> 1 OR coalesce(i.currency = 'EUR', false))
     AND (r.qid % 5 <> 2 OR i.currency IS DISTINCT FROM 'USD'))
-WHERE position <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS, RANKED)
+WHERE position <= {TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS, RANKED)
     q["semantic_search_prefilter"] = with_views(f"""SELECT qid, rank, rank AS position, id,
   round(distance, 6) AS distance FROM (
   SELECT p.qid, p.id, p.distance,
     row_number() OVER (PARTITION BY p.qid ORDER BY round(p.distance, 9), p.id) AS rank
   FROM pairs p JOIN invoices i ON p.id = i.id WHERE i.currency = 'EUR' AND {valid_sql(True)})
-WHERE rank <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
+WHERE rank <= {TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
     q["semantic_search_prefilter_per_query"] = with_views(f"""SELECT qid, rank, rank AS position, id,
   round(distance, 6) AS distance, invoice_number, total_amount, currency FROM (
   SELECT p.qid, p.id, p.distance, i.invoice_number, i.total_amount, i.currency,
@@ -444,7 +475,7 @@ WHERE rank <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
     AND (p.qid % 3 <> 0 OR coalesce(i.total_amount >= 100000.0, false))
     AND (p.qid % 4 <> 1 OR coalesce(i.currency = 'EUR', false))
     AND (p.qid % 5 <> 2 OR i.currency IS DISTINCT FROM 'USD'))
-WHERE rank <= {cat.TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
+WHERE rank <= {TOP_K}""", *INV, VEC, CENTROIDS, QVEC, DISTANCE_PAIRS)
     doc_text = document_text_sql()
     toks = f"list_filter({tokens_sql('matched_text')}, lambda t: t <> '')"
     q["rebuild_vectors"] = with_views(f"""SELECT id, matched_text,
@@ -478,13 +509,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance
 SELECT qid, rank, position, id, round(distance, 6) AS distance, round(1.0 / (1.0 + distance), 6) AS score FROM (
   SELECT r.*, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS position
   FROM ranked r JOIN invoices i ON r.id = i.id JOIN req ON req.qid = r.qid
-  WHERE r.rank <= {5 * cat.TOP_K}
+  WHERE r.rank <= {5 * TOP_K}
     AND (f_min IS NULL OR coalesce(i.total_amount >= f_min, false))
     AND (f_max IS NULL OR coalesce(i.total_amount <= f_max, false))
     AND (f_cur IS NULL OR coalesce(i.currency = f_cur, false))
     AND (f_excl IS NULL OR i.currency IS DISTINCT FROM f_excl)
     AND (f_seller IS NULL OR coalesce(instr(lower(i.seller_name), lower(f_seller)) > 0, false)))
-WHERE position <= {cat.TOP_K}""", *INV)
+WHERE position <= {TOP_K}""", *INV)
     q["vector_stats"] = ("SELECT count(*) AS n_vectors, coalesce(max(len(embedding)), 0) AS dimension, "
                          "'hashed-bow-md5' AS model_name FROM embeddings")
     q["vector_table_roundtrip"] = ("SELECT vec_id AS id, label, len(embedding) AS dims, "
