@@ -20,7 +20,8 @@ _WORD_BYTES = bytes(
     else 0x20
     for b in range(256))
 
-MEMO_WORDS = 500_000
+# Words a task remembers: some 10 MB, as six Python workers share an executor's memory with its JVM.
+MEMO_WORDS = 50_000
 
 
 def words(text: bytes | None) -> list[bytes]:

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ EPOCHS = 30
 THRESHOLD = 0.7
 PIECE_BYTES = 1 << 20
 GROUP_BYTES = 2 << 20
+SCORED_ROWS = 1000
 STATS = 12
 FEATURES = WORD_BUCKETS + SHAPE_BUCKETS + STATS
 _SHAPE = bytes(ord("A") if 0x41 <= b <= 0x5A else ord("a") if 0x61 <= b <= 0x7A or b >= 0x80 else ord("0") if 0x30 <= b <= 0x39 else b
@@ -54,22 +56,22 @@ _SHAPE = bytes(ord("A") if 0x41 <= b <= 0x5A else ord("a") if 0x61 <= b <= 0x7A
 
 
 class Tokens(dict):
-    """Token -> row of a table of its properties, remembered per task (bounded)."""
+    """Token -> row of a table of its properties, remembered per task (bounded, see ``trim``)."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple] = []
         self.table = np.zeros((1024, 9), np.float32)
+        self.waiting: list[tuple] = []
         self.done = 0
 
     def props(self) -> np.ndarray:
-        """The table; only tokens met since the last call are added to it."""
-        n = len(self.rows)
+        """The table; tokens met since the last call are added to it and held there alone."""
+        n = self.done + len(self.waiting)
         if n > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((2 * n - len(self.table), 9), np.float32)])
-        if n > self.done:
-            self.table[self.done:n] = self.rows[self.done:]
-            self.done = n
+        if self.waiting:
+            self.table[self.done:n] = self.waiting
+            self.waiting, self.done = [], n
         return self.table[:n]
 
     def __missing__(self, token: bytes) -> int:
@@ -77,17 +79,17 @@ class Tokens(dict):
         n = len(token)
         upper, lower, digit = shape.count(b"A"), shape.count(b"a"), shape.count(b"0")
         brief = shape if n < 5 else shape[:2] + shape[-2:]
-        self.rows.append((xxhash.xxh3_64_intdigest(token.lower()) % WORD_BUCKETS,
-                          WORD_BUCKETS + xxhash.xxh3_64_intdigest(brief) % SHAPE_BUCKETS,
-                          min(n, 40), upper, lower, digit, n - upper - lower - digit,
-                          float(upper > 1 and not lower), float(not (upper or lower or digit))))
-        self[token] = k = len(self.rows) - 1
+        self.waiting.append((xxhash.xxh3_64_intdigest(token.lower()) % WORD_BUCKETS,
+                             WORD_BUCKETS + xxhash.xxh3_64_intdigest(brief) % SHAPE_BUCKETS,
+                             min(n, 40), upper, lower, digit, n - upper - lower - digit,
+                             float(upper > 1 and not lower), float(not (upper or lower or digit))))
+        self[token] = k = self.done + len(self.waiting) - 1
         return k
 
     def trim(self) -> None:
-        if len(self.rows) > MEMO_WORDS:
+        if len(self) > MEMO_WORDS:
             self.clear()
-            self.rows, self.done = [], 0
+            self.table, self.waiting, self.done = np.zeros((1024, 9), np.float32), [], 0
 
 
 def passages(texts: list[bytes | None], tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -336,11 +338,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, tokens = Model(*sent.value), Tokens()
         for b in batches:
-            texts = text_bytes(b, "score_text")
-            out = [mine.scores(texts[at:at + 2000], tokens) for at in range(0, len(texts), 2000)]
-            yield pa.RecordBatch.from_arrays([column(b, "row"), pa.array(np.concatenate(out) if out else [], pa.float64())], ["row", "score"])
+            for at in range(0, b.num_rows, SCORED_ROWS):
+                rows = column(b, "row").slice(at, SCORED_ROWS)
+                text = pa.RecordBatch.from_arrays([pc.struct_field(rows, "text").cast(pa.string())], ["text"])
+                yield pa.RecordBatch.from_arrays([rows, pa.array(mine.scores(text_bytes(text), tokens), pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("score_text"))
+    rows = docs.select(F.struct("*").alias("row"))
     return rows.mapInArrow(score, rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
