@@ -3,20 +3,23 @@
 Texts are lower-cased (A-Z) and cut into pieces at ``. , ; : ! ?`` and line ends, pieces into words at blanks and tabs. Of
 every word position the next ``MAX_WORDS`` words, or those up to the end of its piece, are one path; a phrase occurs as often as paths
 start with it. So one automaton of all paths, with the language as the first arc, holds the counts
-of all phrases of 1 to ``MAX_WORDS`` words as sums of weights below a state, and those of a language as the sum below its first arc.
+of all phrases of 1 to ``MAX_WORDS`` words as sums of weights below a state.
 
-1. Shards. A task builds the automaton of ``SHARD_WORDS`` words at a time from their sorted paths: a new path adds the states in
+1. Words. One pass counts the words of each language. A phrase that holds a word below the minimum count can be no candidate and no part of
+   one, so such words end paths from here on. The others are marked in a bitmap of 16 bits a word, 2 MB at most, that goes to all tasks; a word marked by
+   chance stays in and changes no count.
+2. Shards. A task builds the automaton of ``SHARD_WORDS`` words at a time from their sorted paths: a new path adds the states in
    which it differs from the last one (``Transducer``: per depth arrays of arc labels, parents and final weights). It is cut
    into prefix ranges, which are shuffled as compressed bytes; a phrase that is frequent in a shard crosses once.
-2. Union. One task per range merges its shards' automata, adds the weights of equal paths and sums them per state. States with the minimum
+3. Union. One task per range merges its shards' automata, adds the weights of equal paths and sums them per state. States with the minimum
    count leave as rows, and so do those on the first and last path of the range, whose other part lies in a neighbour: these are few, and
    added up afterwards.
-3. Composition. The rows are the states of the union automaton. Each candidate is cut in two in all ways, and both
+4. Composition. The rows are the states of the union automaton. Each candidate is cut in two in all ways, and both
    parts are composed with the automaton: a look-up of the states they lead to, as joins on language and phrase.
 
 Ranges hold about ``RANGE_WORDS`` positions each, whatever first words are common: their bounds are paths of a sample, one position in
-``SAMPLE_EVERY``, cut into equal parts by Spark's range partitioning. The bounds only spread the work. They alone are sent to all
-tasks: one path per range, at most ``MAX_RANGES``. Counts cover all texts; nothing is pruned before it is counted.
+``SAMPLE_EVERY``, cut into equal parts by Spark's range partitioning. The bounds only spread the work. They go to all
+tasks too: one path per range, at most ``MAX_RANGES``. Counts cover all texts.
 
 Scores are exact: decimals of 38 digits hold 1000 * a * n and l * r up to counts of 10^17.
 
@@ -28,6 +31,7 @@ score and count rank by their UTF-8 bytes.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, kept, text_bytes
+from ledgerlens.llm.common import Bitmap, bitmap, column, kept, text_bytes
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -45,6 +49,7 @@ SHARD_WORDS = 1 << 20
 RANGE_WORDS = 1 << 20
 SAMPLE_EVERY = 1 << 12
 PORTION_BYTES = 1 << 22
+HELD_WORDS = 200_000
 MAX_RANGES = 1 << 17
 # Fixed value: characters that end a piece; as words they would be empty, so one of them marks the cut.
 _CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -154,12 +159,12 @@ class Transducer:
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """All paths with their weights, as rows filled up with -1, in no order."""
-        rows, counts, above = [], [], np.zeros((1, 0), np.int64)
+        rows, counts, above = [], [], np.zeros((1, 0), np.int32)
         depth = len(self.labels)
         for d in range(depth):
-            here = np.hstack([above[self.parents[d]], self.labels[d][:, None]])
+            here = np.hstack([above[self.parents[d]], self.labels[d][:, None].astype(np.int32)])
             ends = np.flatnonzero(self.final[d])
-            rows.append(np.hstack([here[ends], np.full((len(ends), depth - d - 1), -1)]))
+            rows.append(np.hstack([here[ends], np.full((len(ends), depth - d - 1), -1, np.int32)]))
             counts.append(self.final[d][ends])
             above = here
         return np.concatenate(rows), np.concatenate(counts)
@@ -180,16 +185,17 @@ class Transducer:
         rank = {w: i for i, w in enumerate(words)}
         rows, counts = [], []
         for p in parts:
-            own = np.array([*map(rank.__getitem__, p.words), -1], np.int64)
+            own = np.array([*map(rank.__getitem__, p.words), -1], np.int32)
             r, c = p.paths()
             rows.append(own[r])
             counts.append(c)
         return cls.of_sorted(words, *_sorted_paths(np.concatenate(rows), np.concatenate(counts), len(words)))
 
     def to_bytes(self) -> bytes:
-        parts = [b"".join(self.words), np.array([len(w) for w in self.words], "<u4").tobytes()]
+        """Numbers go as planes of their low, second ... bytes, which compress far better than the numbers in a row."""
+        parts = [b"".join(self.words), _planes(np.array([len(w) for w in self.words]), "<u4")]
         for x, p, w in zip(self.labels, self.parents, self.final, strict=True):
-            parts += [x.astype("<u4").tobytes(), np.diff(p, prepend=0).astype("<u4").tobytes(), w.astype("<i8").tobytes()]
+            parts += [_planes(x, "<u4"), _planes(np.diff(p, prepend=0), "<u4"), _planes(w, "<i8")]
         return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
 
     @classmethod
@@ -200,20 +206,30 @@ class Transducer:
         for size in sizes:
             parts.append(data[at:at + size])
             at += size
-        ends = np.cumsum(np.frombuffer(parts[1], "<u4").astype(np.int64)).tolist()
+        ends = np.cumsum(_numbers(parts[1], "<u4")).tolist()
         words = [parts[0][a:z] for a, z in zip([0, *ends], ends, strict=False)]
         rest = parts[2:]
-        return cls(words, [np.frombuffer(x, "<u4").astype(np.int64) for x in rest[::3]],
-                   [np.cumsum(np.frombuffer(x, "<u4").astype(np.int64)) for x in rest[1::3]],
-                   [np.frombuffer(x, "<i8").astype(np.int64) for x in rest[2::3]])
+        return cls(words, [_numbers(x, "<u4") for x in rest[::3]], [np.cumsum(_numbers(x, "<u4")) for x in rest[1::3]],
+                   [_numbers(x, "<i8") for x in rest[2::3]])
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    a = x.astype(kind)
+    return a.view("u1").reshape(-1, a.dtype.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, "u1").reshape(size, -1).T.copy().view(kind).ravel().astype(np.int64)
 
 
 class Shard:
-    """Words of texts as numbers, until there are enough for an automaton."""
+    """Words of texts as numbers, until there are enough for an automaton; words that ``frequent`` knows are rare count as cuts."""
 
-    def __init__(self, max_words: int):
-        self.max_words = max_words
+    def __init__(self, max_words: int, frequent: Bitmap | None = None):
+        self.max_words, self.frequent = max_words, frequent
         self.numbers: dict[bytes, int] = {}
+        self.known: dict[bytes, dict[bytes, int]] = {}
         self.ids: list[np.ndarray] = []
         self.langs: list[tuple[int, int]] = []
         self.starts: list[np.ndarray] = []
@@ -224,13 +240,11 @@ class Shard:
 
     def add(self, lang: bytes, ws: list[bytes], ahead: list[bytes]) -> None:
         """Words whose paths count, and those after them that paths may end with."""
-        known, both = self.numbers, ws + ahead
+        known, both = self.known.setdefault(lang, {_CUT: -1}), ws + ahead
         for w in set(both).difference(known):
-            known[w] = len(known)
-        ids = np.fromiter(map(known.__getitem__, both), np.int64, len(both))
-        if _CUT in known:
-            ids[ids == known[_CUT]] = -1
-        self.ids += [ids, np.array([-1])]
+            known[w] = self._number(w) if self.frequent is None or _key(lang, w) in self.frequent else -1
+        ids = np.fromiter(map(known.__getitem__, both), np.int32, len(both))
+        self.ids += [ids, np.array([-1], np.int32)]
         self.starts += [ids[:len(ws)] >= 0, np.zeros(len(ahead) + 1, bool)]
         self.langs.append((self._number(lang), len(ids) + 1))
         self.size += len(ws)
@@ -238,13 +252,13 @@ class Shard:
     def paths(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words in byte order, different paths in order, and how often each occurs."""
         words = sorted(self.numbers)
-        rank = np.full(len(words) + 1, -1, np.int64)
+        rank = np.full(len(words) + 1, -1, np.int32)
         for i, w in enumerate(words):
             rank[self.numbers[w]] = i
-        flat = rank[np.concatenate([*self.ids, np.full(self.max_words, -1)])]
+        flat = rank[np.concatenate([*self.ids, np.full(self.max_words, -1, np.int32)])]
         lang = rank[np.repeat([x for x, _ in self.langs], [k for _, k in self.langs])]
         here = np.flatnonzero(np.concatenate(self.starts))
-        rows = np.empty((len(here), self.max_words + 1), np.int64)
+        rows = np.empty((len(here), self.max_words + 1), np.int32)
         rows[:, 0], rows[:, 1] = lang[here], flat[here]
         for j in range(1, self.max_words):
             rows[:, j + 1] = np.where(rows[:, j] >= 0, flat[here + j], -1)
@@ -266,30 +280,48 @@ def cut(words: list[bytes], rows: np.ndarray, bounds: list[Path]) -> list[int]:
     return out
 
 
-def sample_paths(docs: DataFrame, max_words: int = MAX_WORDS, every: int = SAMPLE_EVERY) -> DataFrame:
-    """``(lang, words)``: the path of one position in ``every``."""
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for b in batches:
-            langs, out = [], []
-            for lang, text in zip(text_bytes(b, "lang"), text_bytes(b), strict=True):
-                ws = tokens(text)
-                while at < len(ws):
-                    own = ws[at:at + max_words]
-                    own = own[:own.index(_CUT)] if _CUT in own else own
-                    if own:
-                        langs.append(lang)
-                        out.append(own)
-                    at += every
-                at -= len(ws)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()), pa.array(out, pa.list_(pa.binary()))], ["lang", "words"])
+def _key(lang: bytes, word: bytes) -> bytes:
+    return lang + b"\t" + word
+
+
+def word_counts(docs: DataFrame, max_words: int = MAX_WORDS, every: int = SAMPLE_EVERY) -> DataFrame:
+    """``(lang, words, n)``: counts of single words per task, and with n = 0 the path of one position in ``every``."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = 0, {}
 
-    return docs.mapInArrow(pick, "lang binary, words array<binary>")
+        def rows(langs: list[bytes], words: list[list[bytes]], n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(n, pa.int64())],
+                                              ["lang", "words", "n"])
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, c in held.items():
+                c.pop(_CUT, None)
+                yield rows([lang] * len(c), [[w] for w in c], list(c.values()))
+            held.clear()
 
-def range_bounds(docs: DataFrame, max_words: int, range_words: int = RANGE_WORDS, every: int = SAMPLE_EVERY) -> list[Path]:
+        for b in batches:
+            langs, out = [], []
+            for lang, text in zip(text_bytes(b, "lang"), text_bytes(b), strict=True):
+                for ws, _ in portions(text, 0):
+                    held.setdefault(lang, Counter()).update(ws)
+                    while at < len(ws):
+                        own = ws[at:at + max_words]
+                        own = own[:own.index(_CUT)] if _CUT in own else own
+                        if own:
+                            langs.append(lang)
+                            out.append(own)
+                        at += every
+                    at -= len(ws)
+                if sum(map(len, held.values())) > HELD_WORDS:
+                    yield from counted()
+            yield rows(langs, out, [0] * len(out))
+        yield from counted()
+
+    return docs.mapInArrow(count, "lang binary, words array<binary>, n long")
+
+
+def range_bounds(sample: DataFrame, range_words: int = RANGE_WORDS, every: int = SAMPLE_EVERY) -> list[Path]:
     """First paths of the ranges but the first, in order; at most ``MAX_RANGES``."""
-    sample = kept(docs.sparkSession, sample_paths(docs, max_words, every), "sample")
     ranges = min(max(1, -(-sample.count() * every // range_words)), MAX_RANGES)
     if ranges == 1:
         return []
@@ -306,12 +338,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 def states(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS,
            range_words: int = RANGE_WORDS, every: int = SAMPLE_EVERY) -> DataFrame:
     """``(lang, phrase, size, f)`` of every phrase of up to ``max_words`` words with the minimum count; size 0 is the language."""
-    texts = _texts(docs)
-    bounds = range_bounds(texts, max_words, range_words, every)
-    sent = docs.sparkSession.sparkContext.broadcast(bounds)
+    spark, texts = docs.sparkSession, _texts(docs)
+    first = kept(spark, word_counts(texts, max_words, every), "words")
+    counts = first.filter("n > 0").groupBy("lang", F.col("words")[0].alias("word")).agg(F.sum("n").alias("n"))
+    counts = kept(spark, counts, "counts")
+    langs = counts.groupBy("lang").agg(F.sum("n").alias("f"))
+    marks = bitmap(spark, counts.filter(F.col("n") >= min_count).select(F.concat("lang", F.lit(b"\t"), "word").cast("string")))
+    bounds = range_bounds(first.filter("n = 0").select("lang", "words"), range_words, every)
+    sent = spark.sparkContext.broadcast(bounds)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press, frequent = zstandard.ZstdCompressor(level=3), Bitmap(marks.value)
 
         def parts() -> Iterator[pa.RecordBatch]:
             words, rows, counts = shard.paths()
@@ -321,14 +358,14 @@ def states(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COU
                     part = press.compress(Transducer.of_sorted(words, rows[a:z], counts[a:z]).to_bytes())
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.binary())], ["range", "part"])
 
-        shard = Shard(max_words)
+        shard = Shard(max_words, frequent)
         for b in batches:
             for lang, text in zip(text_bytes(b, "lang"), text_bytes(b), strict=True):
                 for ws, ahead in portions(text, max_words - 1):
                     shard.add(lang, ws, ahead)
                     if shard.size >= shard_words:
                         yield from parts()
-                        shard = Shard(max_words)
+                        shard = Shard(max_words, frequent)
         if shard.size:
             yield from parts()
 
@@ -339,7 +376,7 @@ def states(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COU
             whole = Transducer.union(held)
             totals = whole.totals()
             out = []
-            for d, total in enumerate(totals):
+            for d, total in enumerate(totals[1:], 1):
                 leave = total >= min_count
                 leave[:1] = leave[-1:] = True       # holds the states of the first and last path
                 out += [(whole.path(d, i), int(total[i])) for i in np.flatnonzero(leave).tolist()]
@@ -365,8 +402,9 @@ def states(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COU
 
     pieces = (texts.mapInArrow(shards, "range int, part binary").repartition(len(bounds) + 1, "range").sortWithinPartitions("range"))
     rows = pieces.mapInArrow(unite, "lang binary, phrase binary, size int, f long")
-    return (rows.groupBy(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "size")
-            .agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count))
+    found = rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
+    return (found.unionByName(langs.select("lang", F.lit(b"").alias("phrase"), F.lit(0).alias("size"), "f"))
+            .select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "size", "f"))
 
 
 def scored(found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,43 @@ def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MAX_BITMAP_BITS = 1 << 24
+
+
+class Bitmap:
+    """Bits of hashed keys: no key that was put in is missed."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.size = bits, 8 * len(bits)
+
+    @staticmethod
+    def slot(key: bytes, size: int) -> int:
+        return xxhash.xxh3_64_intdigest(key, seed=9) % size
+
+    def __contains__(self, key: bytes) -> bool:
+        s = self.slot(key, self.size)
+        return bool(self.bits[s >> 3] >> (s & 7) & 1)
+
+
+def bitmap(spark: SparkSession, keys: DataFrame):
+    """Broadcast bitmap of the single string column's values: 16 bits a key, ``MAX_BITMAP_BITS`` at most."""
+    size = 1 << 10
+    while size < min(16 * keys.count(), MAX_BITMAP_BITS):
+        size *= 2
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([Bitmap.slot(t, size) for t in text_bytes(b, "key")], pa.int64())], ["slot"])
+
+    rows = (keys.toDF("key").mapInArrow(slots, "slot long")
+            .groupBy(F.shiftright("slot", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(slot & 63 as int))")).alias("bits")).collect())
+    out = np.zeros(size // 64, "<i8")
+    for r in rows:
+        out[r.word] = r.bits
+    return spark.sparkContext.broadcast(out.tobytes())
+
+
 SALTS = 8
 
 
