@@ -25,7 +25,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.url_verdicts(pages, url_filter.rules_frame(spark), url_filter.advertising(pages))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +131,15 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",
-    "op4_url_filter": f"""
+    "op4_url_filter": rf"""
         WITH p AS (
-            SELECT page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host,
-                   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+            SELECT page_id, url, {_LOWER.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host,
+                   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^?#]*\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS query
+            FROM pages),
+        u AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '')
+                        || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical FROM p),
+        listed AS (SELECT DISTINCT canonical FROM u WHERE contains(host, 'casino') OR contains(host, 'bets') OR contains(host, 'pills')),
         rules(rule_host, rule_path, verdict) AS (VALUES
             ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
             ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
@@ -141,8 +147,8 @@ ORACLE: dict[str, str] = {
             SELECT p.page_id, rule_host || rule_path AS rule, r.verdict,
                    row_number() OVER (PARTITION BY p.page_id ORDER BY length(rule_host || rule_path) DESC) AS nth
             FROM p JOIN rules r ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path))
-        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
-        FROM p LEFT JOIN fits f ON p.page_id = f.page_id AND f.nth = 1""",
+        SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN l.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM u LEFT JOIN fits f ON u.page_id = f.page_id AND f.nth = 1 LEFT JOIN listed l ON contains(u.url, '://') AND l.canonical = u.canonical""",
     "op5_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
@@ -183,6 +189,15 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(it.items, '')) AS items_sha256,
                coalesce(n.n_hit, 0) > 0 AND 20 * coalesce(n.n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT page_id, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS m,
+                     list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha1(h), 5 * i + 1, 5) AS BIGINT)) AS x FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(x, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+        FROM g""",
     "op10_chat": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
                    UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r))

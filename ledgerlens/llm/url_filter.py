@@ -31,7 +31,8 @@ BITS_PER_KEY = 12
 MAX_FILTER_BYTES = 32 << 20
 SALTS = 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# The rules of the registered query.
+# The rules of the registered query, and words in the hosts of the URLs that it lists.
+LISTED_HOSTS = ("casino", "bets", "pills")
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
          ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -57,6 +58,15 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
 
 
+def advertising(pages: DataFrame, words=LISTED_HOSTS) -> DataFrame:
+    """A list made from the pages: the ``url`` of every one whose host holds one of the words."""
+    host = host_of(F.col("url").cast("string"))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | host.contains(w)
+    return pages.filter(hit).select("url")
+
+
 def listed_keys(rules: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """``(key, rule, verdict, size)`` of rules and of listed canonical urls (a ``url`` column)."""
     host = F.translate(F.coalesce("host", F.lit("")), _UPPER, _UPPER.lower())
@@ -138,5 +148,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page."""
+    """page_id, host, path, rule, verdict of every page; the rule's verdict, or else block for a listed URL, allow for others."""
     return filter_urls(pages.select("page_id", "url"), rules, listed).select("page_id", "host", "path", "rule", "verdict")

@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and its reader.
 
-Pages are range-sorted by page_id into shards: contiguous id ranges of about
-``SHARD_BYTES`` of payload, cut by exact running sums over buckets of 1024 ids, so they depend
-on the data alone and not on the cluster. One task streams a shard in order, a gzip
+Pages are range-sorted by page_id, and those of one page_id by a digest of their payload, into shards: contiguous ranges of about
+``SHARD_BYTES`` of payload, cut by exact running sums, so they depend
+on the data alone and not on the cluster or on how dense the ids are. The sums are made per part of a range partitioning and put
+together from the parts' totals, a row per part. One task streams a shard in order, a gzip
 member per record, and starts a new file once the compressed size reaches ``FILE_BYTES``.
 Headers, lengths and digests are made anew; the date is a parameter, so equal input gives equal bytes.
 
@@ -17,7 +18,8 @@ a Parquet table with a row per file, is committed last by Spark, and the reader
 only files that it lists, checking their size and every digest.
 
 Defined results: null html is an empty payload; empty payloads equal each other. A null page_id sorts first.
-A page_id given several times with one payload: one record is the response, the others revisit it. A null url is written as
+A page_id given several times with one payload: one record is the response, the others revisit it. Records of a page_id that comes more than
+once, null too, are dealt to shards by payload and have the payload's digest and a number in their record id. A null url is written as
 ``urn:null`` and read as null; control characters in a url become %XX. An empty table gives an empty manifest. Extra columns are not written.
 """
 
@@ -28,9 +30,9 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
@@ -43,8 +45,7 @@ from ledgerlens.session import scratch_path
 SHARD_BYTES = 64 << 20
 FILE_BYTES = 32 << 20
 MIN_BYTES = 0
-BUCKET_IDS = 1024
-COARSE = 1024              # buckets of a coarse bucket, for two-level running sums
+RECORD_BYTES = 512         # what a record weighs besides its payload
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -76,8 +77,8 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int | None, nth: int, url: str | None, payload: bytes, digest: str, original: tuple | None, date: str) -> bytes:
-    """``original``: None for a response, else a 1-tuple of the page_id that is revisited."""
+def page_record(page_id: int | None, nth: str, url: str | None, payload: bytes, digest: str, original: tuple | None, date: str) -> bytes:
+    """``nth``: what tells the records of one page_id apart. ``original``: None for a response, else a 1-tuple of the page_id that is revisited."""
     name = record_id(page_id)
     if nth:
         name = f"{name[:-1]}:{nth}>"
@@ -153,16 +154,21 @@ def digests(pages: DataFrame) -> DataFrame:
     return _rows(pages).select("page_id", "html").mapInArrow(digest, "page_id long, digest string, check long, n long")
 
 
-def shard_starts(sums: DataFrame, shard_bytes: int) -> list[int]:
-    """First bucket of every shard; a few bytes per ``shard_bytes`` of payload."""
-    fine = (sums.filter("page_id is not null").groupBy(F.floor(F.col("page_id") / BUCKET_IDS).alias("bucket")).agg(F.sum("n").alias("n"))
-            .withColumn("coarse", F.floor(F.col("bucket") / COARSE)))
-    ahead = Window.partitionBy(F.lit(1)).orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    inside = Window.partitionBy("coarse").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    fine = fine.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(coarse, "coarse")
+def shard_starts(found: DataFrame, shard_bytes: int) -> list[tuple[int | None, int]]:
+    """First page_id and payload digest of every shard but the first, in order; a few bytes per ``shard_bytes`` of payload."""
+    sums = found.groupBy("page_id", "check").agg(F.sum(F.col("n") + RECORD_BYTES).alias("n"))
+    parts = kept(found.sparkSession, sums.repartitionByRange("page_id", "check").withColumn("part", F.spark_partition_id()), "parts")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)            # a row per part
+    totals = parts.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("page_id", "check").rowsBetween(Window.unboundedPreceding, -1)
+    at = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(totals, "part")
     shard = F.floor((F.col("start") + F.col("inside")) / shard_bytes)
-    return sorted(r.first for r in fine.groupBy(shard.alias("shard")).agg(F.min("bucket").alias("first")).collect())
+    firsts = at.groupBy(shard.alias("shard")).agg(F.min(F.struct("page_id", "check")).alias("first")).collect()
+    return sorted(((r.first.page_id, r.first.check) for r in firsts), key=_order)[1:]
+
+
+def _order(key: tuple[int | None, int]) -> tuple[bool, int, int]:
+    return key[0] is not None, key[0] or 0, key[1]
 
 
 def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES,
@@ -174,33 +180,39 @@ def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, f
     first = kept(spark, found.filter(F.col("n") >= min_bytes).groupBy(*key)
                  .agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).filter("copies > 1"), "originals")
     known = found.join(first, key).select("page_id", "check", "n", "original").distinct()
-    starts = spark.sparkContext.broadcast(np.array(shard_starts(found, shard_bytes), np.int64))
+    several = found.groupBy("page_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("page_id").alias("several"))
+    told = found.join(several, F.col("page_id").eqNullSafe(F.col("several")), "left_semi").select("page_id", "check").distinct()
+    starts = spark.sparkContext.broadcast(shard_starts(found, shard_bytes))
 
     def with_shard(df: DataFrame) -> DataFrame:
+        """``check`` of payloads that come without it, and the shard of every row."""
         kind = df.select(F.lit(0).cast("long").alias("shard"), *df.columns).schema
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bounds = [_order(x) for x in starts.value]
             for b in batches:
-                ids = column(b, "page_id")
-                bucket = np.floor_divide(ids.fill_null(0).to_numpy(zero_copy_only=False), BUCKET_IDS)
-                shard = np.maximum(np.searchsorted(starts.value, bucket, side="right") - 1, 0)
-                shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, shard)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *b.columns], ["shard", *b.schema.names])
+                check = [c if k == 0 else _check(h or b"") for c, k, h in
+                         zip(column(b, "check").to_pylist(), column(b, "kind").to_pylist(), text_bytes(b, "html"), strict=True)]
+                shard = [bisect_right(bounds, _order(x)) for x in zip(column(b, "page_id").to_pylist(), check, strict=True)]
+                named = {**dict(zip(b.schema.names, b.columns, strict=True)), "check": pa.array(check, pa.int64())}
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *named.values()], ["shard", *named])
 
         return df.mapInArrow(add, kind)
 
     none = F.lit(None)
-    info = known.select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"),
-                        "check", "n", "original")
+    # kind 0 tells the rows of its page_id and payload behind it: which record they revisit, or that the page_id has several rows
+    info = (known.select("page_id", "check", "n", "original", F.lit(False).alias("many"))
+            .unionByName(told.select("page_id", "check", none.cast("long").alias("n"), none.cast("long").alias("original"), F.lit(True).alias("many")))
+            .select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "check", "n", "original", "many"))
     rows = _rows(pages).select("page_id", F.lit(1).alias("kind"), "url", "html", none.cast("long").alias("check"),
-                               none.cast("long").alias("n"), none.cast("long").alias("original"))
-    n_shards = max(1, len(starts.value))
+                               none.cast("long").alias("n"), none.cast("long").alias("original"), F.lit(False).alias("many"))
+    n_shards = len(starts.value) + 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: Shard | None = None
         page: tuple = ()
-        originals: dict[tuple, int | None] = {}
-        nth, seen = 0, set()
+        originals: dict[int, int | None] = {}
+        nth, many, seen = 0, False, set()
 
         def manifest(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(
@@ -208,28 +220,31 @@ def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, f
 
         for b in batches:
             done = []
-            cols = [column(b, c).to_pylist() for c in ("shard", "page_id", "kind", "url", "check", "n", "original")]
-            for k, page_id, kind, url, check, n, original, html in zip(*cols, text_bytes(b, "html"), strict=True):
+            cols = [column(b, c).to_pylist() for c in ("shard", "page_id", "check", "kind", "url", "n", "original", "many")]
+            for k, page_id, check, kind, url, n, original, flag, html in zip(*cols, text_bytes(b, "html"), strict=True):
                 if shard is None or k != shard.shard:
                     done += shard.close() if shard else []
                     shard, page = Shard(root, k, file_bytes, date), ()
-                if page != (page_id,):
-                    page, originals, nth, seen = (page_id,), {}, 0, set()
+                if page != (page_id, check):
+                    page, originals, nth, many, seen = (page_id, check), {}, 0, False, set()
                 if not kind:
-                    originals[check, n] = original
+                    many = many or flag
+                    if not flag:
+                        originals[n] = original
                     continue
                 payload = html or b""
-                same = (_check(payload), len(payload))
+                same = len(payload)
                 again = same in originals and (originals[same] != page_id or same in seen)
                 seen.add(same)
-                done += shard.add(page_record(page_id, nth, url, payload, sha1_32(payload), (originals[same],) if again else None, date))
+                name = f"{check & 0xFFFFFFFFFFFFFFFF:016x}-{nth}" if many else ""
+                done += shard.add(page_record(page_id, name, url, payload, sha1_32(payload), (originals[same],) if again else None, date))
                 nth += 1
             yield manifest(done)
         if shard:
             yield manifest(shard.close())
 
     rows = (with_shard(info.unionByName(rows)).repartitionById(n_shards, F.col("shard").cast("int"))
-            .sortWithinPartitions("shard", "page_id", "kind", "check", "url", "html"))
+            .sortWithinPartitions("shard", "page_id", "check", "kind", "url", "html"))
     rows.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
