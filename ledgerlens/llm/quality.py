@@ -9,10 +9,10 @@ function of the weighted sum of passage vectors.
 
 Training uses a bounded sample, ``TRAIN_DOCS`` labelled rows in a hashed
 order, half of each label, and of the labelled rows only those outside the held-out
-fold: crc32(doc_id as text) mod 4 is not 2. The features of all their passages come to the
-driver, a piece of a text per row, and are kept in a file there; a few hundred gradient steps
-read the bags of a batch from it, ``STEP_PASSAGES`` at a time. The weights, some 100 kB, are
-broadcast. Scoring reads whole texts of all documents in one narrow pass.
+fold: crc32(doc_id as text) mod 4 is not 2. The features of all their passages are made and kept in a table,
+in slots of about ``SLOT_BYTES`` that each hold whole documents. Every epoch is a job over the slots: a task takes gradient steps
+over the batches of its slot, ``STEP_PASSAGES`` at a time, from the weights that all start with, and the results are averaged by the
+slots' documents. The driver holds nothing but weights, some 100 kB a slot. Scoring reads whole texts of all documents in one narrow pass.
 
 Defined results: null and empty texts are one passage without words and get
 the score of that. Labels other than 0 and 1, and null ones, are not learned from. Without labels of both
@@ -23,7 +23,7 @@ Label, language, source and doc_id are no inputs of a score.
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import MEMO_WORDS, column, text_bytes
+from ledgerlens.llm.common import MEMO_WORDS, column, kept, text_bytes
 
 PASSAGE_WORDS = 64
 WORD_BUCKETS = 192
@@ -48,6 +48,8 @@ THRESHOLD = 0.7
 PIECE_BYTES = 1 << 20
 GROUP_BYTES = 2 << 20
 SCORED_ROWS = 1000
+SLOT_BYTES = 32 << 20
+MIN_SLOTS = 4
 STATS = 12
 FEATURES = WORD_BUCKETS + SHAPE_BUCKETS + STATS
 _SHAPE = bytes(ord("A") if 0x41 <= b <= 0x5A else ord("a") if 0x61 <= b <= 0x7A or b >= 0x80 else ord("0") if 0x30 <= b <= 0x39 else b
@@ -133,19 +135,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Bags:
-    """Passage features of the training documents, as half floats in a file that goes when it is closed."""
+    """Passage features of training documents, as half floats."""
 
-    def __init__(self):
-        self.file = tempfile.TemporaryFile()
-        self.starts = [0]
+    def __init__(self, data: bytes = b"", sizes: list[int] | None = None):
+        self.data = bytearray(data)
+        self.starts = [0, *np.cumsum(sizes or [], dtype=np.int64).tolist()]
 
     def add(self, x: bytes, new: bool) -> None:
         """The next passages, of a new document or of the last one."""
-        self.file.write(x)
+        self.data += x
         if new:
             self.starts.append(self.starts[-1])
         self.starts[-1] += len(x) // (2 * FEATURES)
 
+    def sizes(self) -> list[int]:
+        return np.diff(self.starts).tolist()
+
     def steps(self, docs: np.ndarray, size: int = STEP_PASSAGES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Passages of the documents in their order and the place of each one's document, at most ``size`` at a time."""
         xs, own, held = [], [], 0
@@ -153,8 +158,7 @@ class Bags:
             at, end = self.starts[d], self.starts[d + 1]
             while at < end:
                 n = min(end - at, size - held)
-                self.file.seek(at * 2 * FEATURES)
-                xs.append(np.frombuffer(self.file.read(n * 2 * FEATURES), "<f2").reshape(n, FEATURES))
+                xs.append(np.frombuffer(self.data, "<f2", n * FEATURES, at * 2 * FEATURES).reshape(n, FEATURES))
                 own.append(np.full(n, place))
                 at, held = at + n, held + n
                 if held == size:
@@ -164,6 +168,19 @@ class Bags:
             yield np.concatenate(xs).astype(np.float32), np.concatenate(own)
 
 
+@dataclass
+class State:
+    """Adam's running means."""
+
+    mean: dict[str, np.ndarray]
+    var: dict[str, np.ndarray]
+    step: int = 0
+
+    @classmethod
+    def start(cls, weights: dict[str, np.ndarray]) -> State:
+        return cls({k: np.zeros_like(v) for k, v in weights.items()}, {k: np.zeros_like(v) for k, v in weights.items()})
+
+
 @dataclass
 class Model:
     """Weights of the passage layer (e, f), gated attention (v, u, w) and the score (c, b)."""
@@ -217,23 +234,18 @@ class Model:
                 out[k] += v
         return out
 
-    def fit(self, bags: Bags, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128,
-            rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> None:
-        """Adam over batches of documents."""
-        r = np.random.default_rng(seed)
-        mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        var = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step = 0
-        for _ in range(epochs):
-            order = r.permutation(len(y))
-            for at in range(0, len(y), batch):
-                docs = order[at:at + batch]
-                step += 1
-                for k, g in self.gradients(bags, docs, y[docs]).items():
-                    g = (g + decay * self.weights[k]).astype(np.float32)
-                    mean[k] = 0.9 * mean[k] + 0.1 * g
-                    var[k] = 0.999 * var[k] + 0.001 * g * g
-                    self.weights[k] -= rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(var[k] / (1 - 0.999 ** step)) + 1e-8)
+    def epoch(self, state: State, bags: Bags, y: np.ndarray, order: np.ndarray, batch: int = 128, rate: float = 0.01,
+              decay: float = 1e-4) -> None:
+        """Adam over batches of documents in the given order; ``state`` goes on from epoch to epoch."""
+        for at in range(0, len(order), batch):
+            docs = order[at:at + batch]
+            state.step += 1
+            for k, g in self.gradients(bags, docs, y[docs]).items():
+                g = (g + decay * self.weights[k]).astype(np.float32)
+                state.mean[k] = 0.9 * state.mean[k] + 0.1 * g
+                state.var[k] = 0.999 * state.var[k] + 0.001 * g * g
+                self.weights[k] = self.weights[k] - rate * (state.mean[k] / (1 - 0.9 ** state.step)) / (
+                    np.sqrt(state.var[k] / (1 - 0.999 ** state.step)) + 1e-8)
 
     def scores(self, texts: list[bytes | None], tokens: Tokens) -> np.ndarray:
         """Attention is summed over pieces of the texts, so memory holds a few MB of them at a time."""
@@ -298,8 +310,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
     return texts.join(F.broadcast(part[0].unionAll(part[1])), "doc_id").select("doc_id", "nth", "text", "quality")
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fits the model to the sample's passage features."""
+def training_slots(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, slot_bytes: int = SLOT_BYTES) -> DataFrame:
+    """``(slot, x, sizes, y)``: features of whole documents, a row per slot."""
+    spark = docs.sparkSession
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for b in batches:
@@ -312,22 +326,70 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
                                                      ["nth", "doc_id", "same", "quality", "row", "part", "x"])
 
     # rows of one doc_id go by text; ``row`` keeps the pieces of equal rows apart
-    rows = (training_sample(docs, labels, train_docs)
-            .select("nth", "doc_id", F.xxhash64("text").alias("same"), "quality", F.monotonically_increasing_id().alias("row"), "text")
-            .mapInArrow(encode, "nth long, doc_id long, same long, quality int, row long, part long, x binary")
-            .orderBy("nth", "doc_id", "same", "row", "part"))
-    bags, labelled = Bags(), []
-    for r in rows.toLocalIterator():
-        if r.part == 0:
-            if len(labelled) == train_docs:
-                break
-            labelled.append(r.quality)
-        bags.add(r.x, r.part == 0)
-    y = np.array(labelled, float)
+    rows = kept(spark, training_sample(docs, labels, train_docs)
+                .select("nth", "doc_id", F.xxhash64("text").alias("same"), "quality", F.monotonically_increasing_id().alias("row"), "text")
+                .mapInArrow(encode, "nth long, doc_id long, same long, quality int, row long, part long, x binary"), "passages")
+    each = ["nth", "doc_id", "same", "row"]
+    if rows.filter("part = 0").count() > train_docs:         # doc_ids on several rows: the bound holds for rows
+        rows = rows.join(rows.filter("part = 0").orderBy(*each).limit(train_docs).select(*each), each, "left_semi")
+    total = rows.agg(F.sum(F.length("x"))).first()[0] or 0
+    slots = max(MIN_SLOTS, -(-total // slot_bytes))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, y, slot = Bags(), [], None
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([bytes(bags.data)], pa.binary()),
+                                               pa.array([np.array(bags.sizes(), "<i8").tobytes()], pa.binary()),
+                                               pa.array([np.array(y, "i1").tobytes()], pa.binary())], ["slot", "x", "sizes", "y"])
+
+        for b in batches:
+            for k, q, part, x in zip(*[column(b, c).to_pylist() for c in ("slot", "quality", "part", "x")], strict=True):
+                if k != slot:
+                    if y:
+                        yield packed()
+                    bags, y, slot = Bags(), [], k
+                bags.add(x, part == 0)
+                if part == 0:
+                    y.append(q)
+        if y:
+            yield packed()
+
+    dealt = (rows.withColumn("slot", F.pmod(F.xxhash64("nth", F.lit(3)), F.lit(slots)).cast("int")).repartitionById(slots, "slot")
+             .sortWithinPartitions("slot", "nth", "doc_id", "same", "row", "part"))
+    return kept(spark, dealt.mapInArrow(pack, "slot int, x binary, sizes binary, y binary"), "slots")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS, seed: int = 5) -> Model:
+    """Fits the model to the sample's passage features."""
+    spark = docs.sparkSession
+    slots = training_slots(docs, labels, train_docs)
+    ys = [np.frombuffer(r.y, "i1") for r in slots.select("y").collect()]          # a byte a document
+    y = np.concatenate(ys) if ys else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return Model({}, float(y.mean()) if len(y) else 0.5)
     model = Model.start()
-    model.fit(bags, y)
+    state = State.start(model.weights)
+    for epoch in range(epochs):
+        sent = spark.sparkContext.broadcast((model.weights, state))
+
+        def learn(batches: Iterator[pa.RecordBatch], epoch=epoch, sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for slot, x, sizes, y in zip(*[column(b, c).to_pylist() for c in ("slot", "x", "sizes", "y")], strict=True):
+                    weights, start = sent.value
+                    mine = Model({k: v.copy() for k, v in weights.items()})
+                    own = State({k: v.copy() for k, v in start.mean.items()}, {k: v.copy() for k, v in start.var.items()}, start.step)
+                    bags, y = Bags(x, np.frombuffer(sizes, "<i8").tolist()), np.frombuffer(y, "i1").astype(float)
+                    mine.epoch(own, bags, y, np.random.default_rng([seed, epoch, slot]).permutation(len(y)))
+                    out = pickle.dumps((mine.weights, own.mean, own.var, own.step, len(y)))
+                    yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([out], pa.binary())], ["slot", "state"])
+
+        got = [pickle.loads(r.state) for r in slots.mapInArrow(learn, "slot int, state binary").orderBy("slot").collect()]
+        sent.unpersist()
+        share = np.array([g[4] for g in got], np.float64) / sum(g[4] for g in got)
+        model.weights, state.mean, state.var = ({k: sum(w * g[i][k] for w, g in zip(share, got, strict=True)).astype(np.float32) for k in model.weights}
+                                                for i in range(3))
+        state.step = max(g[3] for g in got)
     return model
 
 
