@@ -115,9 +115,9 @@ def duck(key, **tables):
     return con.execute(queries.ORACLE[key])
 
 
-@pytest.mark.parametrize("key", ["op11_periodic_runs", "op12_collocations"])
+@pytest.mark.parametrize("key", ["op4_url_filter", "op9_warc", "op11_periodic_runs", "op12_collocations"])
 def test_sql_agrees(spark, key):
-    cur = duck(key, documents=f"{SF}/documents.parquet")
+    cur = duck(key, documents=f"{SF}/documents.parquet", pages=f"{SF}/pages.parquet")
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
     got = queries.QUERIES[key](spark, SF).select(*names).collect()
