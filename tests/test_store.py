@@ -152,3 +152,12 @@ def test_csv_keeps_line_breaks_blanks_and_quotes(spark, tmpdir_path):
     df = spark.createDataFrame(rows, "id long, raw_text string")
     path = store.write_csv(df, tmpdir_path + "/csv")
     assert sorted(map(tuple, store.read_csv(spark, path, df.schema).collect())) == rows
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from ledgerlens.session import clear_scratch, scratch_path, written
+
+    kept = written(spark, spark.range(5), "five")
+    assert kept.count() == 5
+    folder = os.path.dirname(scratch_path(spark, "x").rsplit("/", 1)[0])
+    assert os.listdir(folder) and clear_scratch(spark) and not os.path.exists(folder)
