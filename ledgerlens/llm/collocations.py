@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Bitmap, bitmap, column, kept, text_bytes
+from ledgerlens.llm.common import Bitmap, bitmap, column, kept, small_batches, text_bytes
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -339,6 +339,7 @@ def states(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COU
            range_words: int = RANGE_WORDS, every: int = SAMPLE_EVERY) -> DataFrame:
     """``(lang, phrase, size, f)`` of every phrase of up to ``max_words`` words with the minimum count; size 0 is the language."""
     spark, texts = docs.sparkSession, _texts(docs)
+    small_batches(spark)
     first = kept(spark, word_counts(texts, max_words, every), "words")
     counts = first.filter("n > 0").groupBy("lang", F.col("words")[0].alias("word")).agg(F.sum("n").alias("n"))
     counts = kept(spark, counts, "counts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,6 +80,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most 4 MB, besides the bound on rows: by rows alone a batch of long texts takes
+    hundreds of MB in the JVM and in every worker. A smaller bound of the session stays."""
+    given = re.fullmatch(r"(\d+)([kmg]?)b?", (spark.conf.get(_ARROW, None) or "").lower())
+    if not given or int(given[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[given[2]] > ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+
+
 def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it again.
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import MEMO_WORDS, Bitmap, bitmap, column, kept, text_bytes, words
+from ledgerlens.llm.common import MEMO_WORDS, Bitmap, bitmap, column, kept, small_batches, text_bytes, words
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE = 0.8
@@ -205,6 +205,7 @@ def lower_bound(hits: float, n: float) -> float:
 def document_terms(docs: DataFrame, generalise: float = GENERALISE, confidence: float = CONFIDENCE) -> DataFrame:
     """``(doc_id, terms)``: the terms to sanitise in each document, with their disclosure."""
     spark = docs.sparkSession
+    small_batches(spark)
     least = least_support(confidence)
     copies = kept(spark, _texts(docs).groupBy(*PRINT).agg(F.count("*").alias("copied")).filter("copied > 1"), "copies")
     n = docs.count() - (copies.agg(F.sum(F.col("copied") - 1)).first()[0] or 0)
