@@ -247,3 +247,19 @@ def test_token_counts_rows(spark):
     assert token_counts.token_counts(docs_frame(spark, [])).count() == 0
     few = token_counts.counted(docs_frame(spark, rows), ["doc_id", "n_tokens"]).filter("row.doc_id = 2").first()
     assert (few.row.n_tokens, few.n_tokens, few.n_bytes) == ("k", 1, 1)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    from ledgerlens.llm import common
+
+    held = spark.conf.get(common._ARROW)
+    try:
+        for given, left in (("1m", "1m"), ("16mb", str(common.ARROW_BYTES)), ("2097152", "2097152"), ("1g", str(common.ARROW_BYTES))):
+            spark.conf.set(common._ARROW, given)
+            common.small_batches(spark)
+            assert spark.conf.get(common._ARROW) == left
+        spark.conf.unset(common._ARROW)
+        common.small_batches(spark)
+        assert spark.conf.get(common._ARROW) == str(common.ARROW_BYTES)
+    finally:
+        spark.conf.set(common._ARROW, held)
