@@ -281,3 +281,11 @@ def test_search_over_bound_uses_a_written_batch(spark, monkeypatch):
     got = sorted(map(tuple, V.semantic_search(_index(spark), _records(spark), q, top_k=2)
                      .select("qid", "id", "rank", "position").collect()))
     assert got == want and len({g[0] for g in got}) == 9
+
+
+def test_hits_carry_the_matched_text_of_the_index(spark):
+    idx = _index(spark).withColumn("matched_text", F.concat(F.lit("text "), F.col("id").cast("string")))
+    q = spark.createDataFrame([(1, [3.0, 0.0])], "qid long, embedding array<double>")
+    for most in (None, 0):
+        hits = V.semantic_search(idx, _records(spark), q, top_k=2, max_broadcast=most).collect()
+        assert [(h.id, h.matched_text) for h in sorted(hits, key=lambda h: h.position)] == [(3, "text 3"), (2, "text 2")]
