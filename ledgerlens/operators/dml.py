@@ -15,23 +15,27 @@ from pyspark.sql import types as T
 UPSERT_KEY = ["invoice_number", "file_name"]
 
 
-def _fingerprint(df: DataFrame, columns: list[str]) -> Column:
+def fingerprint(df: DataFrame, columns: list[str]) -> Column:
     """62 bits of a hash over the columns (maps by their sorted entries)."""
     parts = [F.array_sort(F.map_entries(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in columns]
     return F.shiftrightunsigned(F.xxhash64(F.lit(0), *parts), 2)
 
 
-def latest(rows: DataFrame, by: list[str], seq_col: str, first: str | None = None) -> DataFrame:
+def latest(rows: DataFrame, by: list[str], seq_col: str, first: str | None = None, print_col: str | None = None) -> DataFrame:
     """The row with the highest ``seq_col`` of each group, in two phases; ``first`` columns take their minimum.
 
     First narrow: a hash aggregate over (group, order) alone, combined partially on each partition, so a hot
     group reaches the shuffle as one row per partition. Then one join brings the winners' other columns. Rows of the same
     order differ in a fingerprint of their columns, so one of them wins however often it is computed; equal rows
     are one. Null groups are groups, a null order is the lowest.
+
+    Both phases read ``rows``. Where these are dear, write them first with their ``fingerprint`` as a column and name it as ``print_col``: the first phase
+    then reads group, order and fingerprint alone.
     """
-    others = [c for c in rows.columns if c not in (*by, first)]
+    others = [c for c in rows.columns if c not in (*by, first, print_col)]
+    mark = F.col(print_col) if print_col else fingerprint(rows, others)
     order = (F.coalesce(F.col(seq_col).cast("decimal(19,0)"), F.lit(-(2 ** 63)).cast("decimal(19,0)")) * F.lit(2 ** 62).cast("decimal(19,0)")
-             + _fingerprint(rows, others).cast("decimal(19,0)")).cast("decimal(38,0)")
+             + mark.cast("decimal(19,0)")).cast("decimal(38,0)")
     tagged = rows.withColumn("_order", order)
     best = tagged.groupBy(*by).agg(F.max("_order").alias("_order"), *([F.min(first).alias(first)] if first else []))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*by, "_order")]
@@ -41,7 +45,7 @@ def latest(rows: DataFrame, by: list[str], seq_col: str, first: str | None = Non
 
 
 def upsert(rows: DataFrame, key: list[str] = UPSERT_KEY, id_col: str = "id",
-           seq_col: str = "seq") -> DataFrame:
+           seq_col: str = "seq", print_col: str | None = None) -> DataFrame:
     """Collapse writes that share a key into one record.
 
     The first write's id is kept; every other column takes the last write
@@ -49,13 +53,13 @@ def upsert(rows: DataFrame, key: list[str] = UPSERT_KEY, id_col: str = "id",
     stays on its own, keyed by its id. See ``latest`` for the plan.
     """
     if id_col in key:        # keyed by id itself (e.g. the vector table)
-        return latest(rows, key, seq_col)
+        return latest(rows, key, seq_col, print_col=print_col)
     any_null = F.lit(False)
     for k in key:
         any_null = any_null | F.col(k).isNull()
-    others = [c for c in rows.columns if c not in (*key, id_col)]
+    others = [c for c in rows.columns if c not in (*key, id_col, print_col)]
     solo = rows.withColumn("_solo", F.when(any_null, F.col(id_col)))
-    return latest(solo, [*key, "_solo"], seq_col, first=id_col).select(id_col, *key, *others)
+    return latest(solo, [*key, "_solo"], seq_col, first=id_col, print_col=print_col).select(id_col, *key, *others)
 
 
 def upsert_into(existing: DataFrame, batch: DataFrame, key: list[str] = UPSERT_KEY,

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators import knn
-from ledgerlens.operators.dml import latest
-from ledgerlens.session import scratch_path
+from ledgerlens.operators.dml import fingerprint, latest
+from ledgerlens.session import scratch_path, written
 from ledgerlens.functions.amounts import parse_amount
 from ledgerlens.functions.text import TOKEN_SPLIT, document_text, tokens
 from ledgerlens.operators.predicates import search_filter
@@ -407,10 +407,14 @@ def skipped_counts(records: DataFrame) -> DataFrame:
 
 
 def add_documents(existing: DataFrame, new_vectors: DataFrame, seq_col: str = "seq") -> DataFrame:
-    """Append vectors; a re-added id replaces its older vector (latest seq wins)."""
+    """Append vectors; a re-added id replaces its older vector (latest seq wins).
+
+    Both sides are written first, so a vector that is still to be computed is computed once.
+    """
     both = existing.unionByName(new_vectors, allowMissingColumns=True)
     cols = [c for c in both.columns if c not in ("id", seq_col)]
-    return latest(both, ["id"], seq_col).select("id", *cols, seq_col)
+    both = written(both.sparkSession, both.withColumn("_print", fingerprint(both, [*cols, seq_col])), "vectors")
+    return latest(both, ["id"], seq_col, print_col="_print").select("id", *cols, seq_col)
 
 
 def read_vectors(spark, path: str) -> DataFrame:

@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.operators.dml import next_id, upsert
+from ledgerlens.operators.dml import fingerprint, next_id, upsert
 
 BUCKET_COL = "_bucket"
 NUMBER_COL = "_n"
 SOLO_COL = "_solo"
+PRINT_COL = "_print"
 SEQ_COL = "seq"
 DEFAULT_BUCKETS = 256
 CLEAR_PHRASE = "DELETE ALL"
@@ -115,7 +116,7 @@ class ChangeTable:
                buckets: int | None = None) -> ChangeTable:
         """The table at ``root``, made where there is none. Another key, id column or bucket count than the stored ones raises."""
         if not cls.exists(spark, root):
-            fields = [f for f in schema.fields if f.name not in (BUCKET_COL, NUMBER_COL, SOLO_COL)]
+            fields = [f for f in schema.fields if f.name not in (BUCKET_COL, NUMBER_COL, SOLO_COL, PRINT_COL)]
             if SEQ_COL not in schema.fieldNames():
                 fields.append(T.StructField(SEQ_COL, T.LongType()))
             about = {"key": list(key), "id": id_col, "buckets": buckets or DEFAULT_BUCKETS,
@@ -183,7 +184,7 @@ class ChangeTable:
         for f in self.schema.fields:
             absent = F.lit(n if f.name == SEQ_COL else None)
             cols.append((F.col(f"`{f.name}`") if f.name in rows.columns else absent).cast(f.dataType).alias(f.name))
-        out = rows.select(*cols).withColumns({BUCKET_COL: bucket_of(self.key, self.id_col, self.buckets), NUMBER_COL: F.lit(n).cast("long")})
+        out = self._marked(rows.select(*cols), n)
         # in bucket order, so that a read of few buckets skips row groups
         self._commit(out.hint("rebalance").sortWithinPartitions(BUCKET_COL), n, "put", batch)
         return n
@@ -230,7 +231,7 @@ class ChangeTable:
                     break
                 n = claim
         if n > base:
-            out = self.read(upto=n).withColumns({BUCKET_COL: bucket_of(self.key, self.id_col, self.buckets), NUMBER_COL: F.lit(n).cast("long")})
+            out = self._marked(self.read(upto=n), n)
             out.hint("rebalance", BUCKET_COL).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{self.root}/base/v{n:08d}")
         return n
 
@@ -246,7 +247,14 @@ class ChangeTable:
     # ------------------------------------------------------------ reading
 
     def _stored(self) -> T.StructType:
-        return T.StructType([*self.schema.fields, T.StructField(BUCKET_COL, T.IntegerType()), T.StructField(NUMBER_COL, T.LongType())])
+        return T.StructType([*self.schema.fields, T.StructField(BUCKET_COL, T.IntegerType()), T.StructField(NUMBER_COL, T.LongType()),
+                             T.StructField(PRINT_COL, T.LongType())])
+
+    def _marked(self, rows: DataFrame, n: int) -> DataFrame:
+        """Rows as they are stored: with bucket, number, and the fingerprint by which a read finds winners without their other columns."""
+        others = [c for c in self.schema.fieldNames() if c not in (*self.key, self.id_col)]
+        return rows.withColumns({BUCKET_COL: bucket_of(self.key, self.id_col, self.buckets), NUMBER_COL: F.lit(n).cast("long"),
+                                 PRINT_COL: fingerprint(rows, others)})
 
     def _deletes(self) -> T.StructType:
         by = list(dict.fromkeys([*self.key, self.id_col]))
@@ -290,8 +298,8 @@ class ChangeTable:
 
     def read(self, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The records: of every key the first id and the last write's other columns."""
-        rows = self._alive(upto, buckets).select(*self.schema.fieldNames())
-        return upsert(rows, self.key, self.id_col, SEQ_COL).select(*self.schema.fieldNames())
+        rows = self._alive(upto, buckets).select(*self.schema.fieldNames(), PRINT_COL)
+        return upsert(rows, self.key, self.id_col, SEQ_COL, PRINT_COL).select(*self.schema.fieldNames())
 
     def keys(self) -> DataFrame:
         """Key of every record, once or more, read without its other columns."""

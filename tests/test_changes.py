@@ -161,5 +161,7 @@ def test_plans_read_few_columns_and_add_no_sort_aggregate(spark, tmpdir_path):
     table.delete(spark.createDataFrame([(2,)], "id long"))
     plan = table.read()._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    scans = [x for x in table.read()._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1:]]
+    assert sorted("amount" in x.split("\n")[0] for x in scans if "_print" in x.split("\n")[0]) == [False, True]    # winners first, narrowly
     narrow = table._identities()._jdf.queryExecution().executedPlan().toString()
     assert "amount" not in narrow
