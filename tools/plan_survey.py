@@ -15,7 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # queries that write or stream while being built are left out
 SIDE_EFFECTS = {"incremental_ingest", "ingest_batch", "write_json_roundtrip", "write_csv_roundtrip",
-                "vector_table_roundtrip"}
+                "vector_table_roundtrip", "ingest_files", "ingest_invoices", "change_table", "delete_records", "delete_all", "save_fan_out",
+                "scan_directory", "load_json", "export_csv"}
 
 
 def main() -> None:
@@ -23,7 +24,7 @@ def main() -> None:
     from ledgerlens.plans.catalog import QUERIES
     from ledgerlens.session import get_session
 
-    spark = get_session("local[8]", 16, extra={"spark.ui.showConsoleProgress": "false"})
+    spark = get_session("local[8]", 16, extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     print(f"# Physical plans at {os.path.basename(sf_dir.rstrip('/'))} (before AQE re-planning)\n")
     print("| query | scans | shuffle exchanges | broadcasts | python | smj | sort-agg | nested-loop/cartesian |")
@@ -38,10 +39,8 @@ def main() -> None:
         print(f"| {name} | {plan.count('FileScan parquet')} | {shuffles} | "
               f"{plan.count('BroadcastExchange')} | {py} | {plan.count('SortMergeJoin')} | "
               f"{plan.count('SortAggregate')} | {bad} |")
-    print("\nScans of the invoice view: orders, customer, lineitem, supplier (4). Single-table"
-          " queries show one exchange: the hash spread of an under-partitioned small scan."
-          " Counts are static; at run time AQE reuses identical exchanges (e.g. delete_selected"
-          " and append_records evaluate the shared invoice view once per distinct subtree).")
+    print("\nThe whole invoice view scans four tables (orders, customer, lineitem, supplier); queries join those whose columns they need."
+          " Counts are static; at run time AQE reuses identical exchanges.")
 
 
 if __name__ == "__main__":
