@@ -23,7 +23,7 @@ from ledgerlens.schema import EXTRACTION_FIELDS, REPORT_COLUMNS, STORE_COLUMNS
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import store
 from ledgerlens.sources.changes import CLEAR_PHRASE, ChangeTable, delete_everything, delete_records
-from ledgerlens.sources.files import file_name_from_path, scan_directory
+from ledgerlens.sources.files import file_name_from_path, scan_directory, write_text_files
 from ledgerlens.sources.tables import read_table
 
 # Parameters of the registered queries.
@@ -729,7 +729,7 @@ def q_ingest_files(spark, d):
 
     landing, table, vecs = (scratch_path(spark, n) for n in ("inbox", "records", "vectors"))
     docs = fx.supplier_documents(spark, d)
-    docs.select(F.col("s_suppkey").alias("doc"), F.col("text").alias("value")).write.partitionBy("doc").text(landing)
+    write_text_files(docs.select(F.col("s_suppkey").alias("doc"), F.col("text").alias("value")), "doc", landing)
     for run in ("first", "again"):
         start_file_ingest(spark, landing, table, vecs, scratch_path(spark, "ckpt"), [_utf8], pattern="*.txt", recursive=True,
                           files_per_batch=max(1, docs.count() // 2 + 1), n_buckets=8, stream=run).awaitTermination()

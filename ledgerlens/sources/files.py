@@ -13,11 +13,37 @@ def scan_directory(spark: SparkSession, directory: str, pattern: str = "*.pdf",
     Non-recursive and case-sensitive by default. Each file is one row; the
     scan splits the listing across tasks.
     """
+    wide_listing(spark)
     r = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
          .option("recursiveFileLookup", recursive).load(directory))
     return r.withColumn("file_name", file_name_from_path("path"))
 
 
+LISTING_TASKS_PER_CORE = 8
+FILES_PER_TASK = 500
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def wide_listing(spark: SparkSession) -> None:
+    """Folders are listed by a few tasks per core, many to a task. Spark makes a task of every folder, up to 10,000, each of which costs the
+    driver more than listing it does. A smaller number of the session stays."""
+    most = LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(_LISTING)) > most:
+        spark.conf.set(_LISTING, str(most))
+
+
+def write_text_files(df: DataFrame, key: str, path: str) -> str:
+    """A folder ``<key>=<value>`` per key with one text file of its rows, from the other, string column.
+
+    A file costs far more than its bytes, so files are dealt to tasks by number (AQE would put small ones in one task), and tasks move their own
+    files into place: the default committer moves them all on the driver.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // FILES_PER_TASK))
+    (df.repartition(tasks, key).write.partitionBy(key)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
+    return path
+
+
 def file_name_from_path(path) -> Column:
     """Last path segment (query and fragment removed)."""
     p = F.col(path) if isinstance(path, str) else path

@@ -19,7 +19,7 @@ from ledgerlens.operators.vectors import DEFAULT_DIM, build_vectors
 from ledgerlens.plans.documents import process_documents
 from ledgerlens.session import scratch_path, written
 from ledgerlens.sources.changes import ChangeTable
-from ledgerlens.sources.files import file_name_from_path
+from ledgerlens.sources.files import file_name_from_path, wide_listing
 from ledgerlens.sources.store import read_bucketed, stamp_ingestion
 
 LEDGER_SCHEMA = "id long, path string, content_hash string, success boolean, errors array<string>, seq long"
@@ -157,6 +157,7 @@ def start_file_ingest(spark: SparkSession, landing: str, table_root: str, vector
     the record table, the vector table and the ledger (see ``ingest_files_batch``, which takes ``options``). The checkpoint
     makes each file count once, the ledger does so when a checkpoint is lost, and a replayed batch adds nothing twice."""
     schema = "path string, modificationTime timestamp, length long, content binary"
+    wide_listing(spark)
     reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)

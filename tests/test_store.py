@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import dml
 from ledgerlens.schema import INVOICE_SCHEMA
 from ledgerlens.sources import store
-from ledgerlens.sources.files import file_name_from_path, scan_directory
+from ledgerlens.sources.files import file_name_from_path, scan_directory, write_text_files
 
 
 def records(spark, n=3, start=1):
@@ -107,6 +107,17 @@ def test_scan_directory_glob(spark, tmpdir_path):
     assert got == ["a.pdf", "d.pdf"]
 
 
+def test_text_files_are_dealt_to_tasks_and_listed_by_few(spark, tmpdir_path):
+    df = spark.range(40).selectExpr("id % 30 AS k", "concat('t', id) AS value").coalesce(1)
+    path = write_text_files(df, "k", os.path.join(tmpdir_path, "out"))
+    rows = scan_directory(spark, path, "*.txt", recursive=True).collect()
+    got = {int(r.path.split("/k=")[1].split("/")[0]): sorted(bytes(r.content).decode().split()) for r in rows}
+    assert len(rows) == 30 and got == {k: sorted(f"t{i}" for i in range(40) if i % 30 == k) for k in range(30)}
+    assert len({r.file_name.split("-")[1] for r in rows}) > 1          # written by several tasks, though one held all rows
+    most = 8 * spark.sparkContext.defaultParallelism
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= most
+
+
 def test_file_name_from_path(spark):
     df = spark.createDataFrame([("https://x.org/a/b/page.html?q=1",), ("/tmp/f.pdf",)], "p string")
     assert [r[0] for r in df.select(file_name_from_path("p")).collect()] == ["page.html", "f.pdf"]
