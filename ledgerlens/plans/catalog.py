@@ -690,8 +690,8 @@ def q_delete_all(spark, d):
 def q_scan_directory(spark, d):
     """Files written from the pages, scanned as bytes."""
     path = scratch_path(spark, "pages")
-    (read_table(spark, d, "pages", "page_id", "html").select(F.col("page_id").alias("page"), F.coalesce("html", F.lit("")).alias("value"))
-     .write.partitionBy("page").text(path))
+    pages = read_table(spark, d, "pages", "page_id", "html")
+    write_text_files(pages.select(F.col("page_id").alias("page"), F.coalesce("html", F.lit("")).alias("value")), "page", path)
     f = scan_directory(spark, path, pattern="*.txt", recursive=True)
     return f.select(F.regexp_extract("path", r"/page=(\d+)/", 1).cast("long").alias("page_id"), "length", F.md5("content").alias("content_md5"))
 
