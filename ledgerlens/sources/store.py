@@ -10,7 +10,10 @@ same change (upserts and deletes are idempotent by key).
 
 from __future__ import annotations
 
+import itertools
 import re
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,19 +111,91 @@ CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
 
 
 def write_csv(df: DataFrame, path: str, append: bool = True, single_file: bool = False) -> str:
-    """CSV with a header; nested values flattened. ``single_file`` coalesces
-    to one task and is meant for small exports only."""
+    """CSV with a header; nested values flattened. ``single_file`` writes one file: every task writes its part of it, and on a ``file:``
+    or ``hdfs:`` path no task takes another one's bytes. On other file systems one task writes them all."""
     out = csv_safe(df)
+    scheme = _hadoop_fs(df.sparkSession, path)[0].getUri().getScheme()
+    if single_file and scheme in ("file", "hdfs"):
+        return _write_one_csv(out, path, append, scheme)
     if single_file:
         out = out.coalesce(1)
     out.write.mode("append" if append else "overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
 
+def _write_one_csv(out: DataFrame, path: str, append: bool, scheme: str) -> str:
+    """Parts without a header, written by all tasks, become one file: on HDFS its blocks are put together, on a local or mounted
+    folder every part is copied to its own place in the file, by as many tasks. Files before it go once the new one is there whole."""
+    spark = out.sparkSession
+    files = _Files(spark, path)
+    work = f"{path.rstrip('/')}/_one-{uuid.uuid4().hex}"
+    try:
+        _empty(spark, out.schema).coalesce(1).write.options(**CSV_OPTIONS).csv(f"{work}/a")
+        out.write.options(**{**CSV_OPTIONS, "header": False}).csv(f"{work}/b")
+        parts = [(s.getPath(), s.getLen()) for d in "ab" for s in sorted(files.fs.listStatus(files.path(f"{work}/{d}")), key=lambda s: s.getPath().getName())
+                 if s.getPath().getName().endswith(".csv") and s.getLen()]
+        whole = files.path(f"{work}/whole.csv")
+        if scheme == "hdfs":
+            files.fs.create(whole, True).close()
+            files.fs.concat(whole, _paths(spark, [p for p, _ in parts]))
+        else:
+            _join_local(spark, files.fs.makeQualified(whole).toUri().getPath(), [(p.toUri().getPath(), n) for p, n in parts])
+        if files.fs.getFileStatus(whole).getLen() != sum(n for _, n in parts):
+            raise OSError(f"{path} is not whole: its parts must lie in a folder shared by all executors")
+        before = [] if append else [n for n in files.names(path) if f"/{n}" != work[-len(n) - 1:]]
+        files.fs.rename(whole, files.path(f"{path}/part-00000-{uuid.uuid4()}-c000.csv"))
+        for n in before:
+            files.remove(f"{path}/{n}")
+    finally:
+        files.remove(work)
+    files.create(f"{path}/_SUCCESS", "")
+    return path
+
+
+def _join_local(spark: SparkSession, target: str, parts: list[tuple[str, int]]) -> None:
+    """The parts one after another in one file of a local or mounted folder, a task a part."""
+    ends = itertools.accumulate(n for _, n in parts)
+    open(target, "wb").close()
+
+    def place(rows) -> None:
+        for source, at in rows:
+            with open(source, "rb") as r, open(target, "r+b") as w:
+                w.seek(at)
+                shutil.copyfileobj(r, w, 1 << 20)
+
+    places = [(p, end - n) for (p, n), end in zip(parts, ends, strict=True)]
+    spark.sparkContext.parallelize(places, len(places)).foreachPartition(place)
+
+
+def _paths(spark: SparkSession, paths: list):
+    out = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(paths))
+    for i, p in enumerate(paths):
+        out[i] = p
+    return out
+
+
+# A line of whole fields, each without quotes or quoted with inner quotes doubled. Lines with more quotes or commas are not tried (Java's
+# matcher goes down a level for each); their file is read as one with line breaks inside fields.
+WHOLE_LINE = r'^(?:"(?:[^"]*+"")*+[^"]*+"|[^",]*+)(?:,(?:"(?:[^"]*+"")*+[^"]*+"|[^",]*+))*+$'
+MOST_MARKS = 500
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of CSV files. Spark reads a file with line breaks inside fields in one task; one whose lines are each a whole
+    record, as a scan of the files as text tells, is read in splits."""
     if not path_exists(spark, path):
         return _empty(spark, schema)
-    return spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True).csv(path)
+    options = dict(CSV_OPTIONS)
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    marks = F.length("value") - F.length(F.translate("value", '",', ""))
+    whole = (F.when(~F.col("value").contains('"'), True).when(marks <= MOST_MARKS, F.col("value").rlike(WHOLE_LINE)).otherwise(False)
+             & ~F.col("value").contains("\r") & ~F.col("value").rlike(r"^[\x00-\x20]+$"))
+    forms = lines.groupBy("file").agg(F.min(whole).alias("whole")).collect()             # a row per file
+    out = [spark.read.schema(schema).options(**options).option("multiLine", not form).csv([r.file for r in forms if r.whole == form])
+           for form in (True, False) if any(r.whole == form for r in forms)]
+    if not out:
+        return _empty(spark, schema)
+    return out[0] if len(out) == 1 else out[0].unionAll(out[1])
 
 
 # ---------------------------------------------------------------- versioned table

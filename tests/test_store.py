@@ -172,3 +172,32 @@ def test_scratch_tables_can_be_cleared(spark):
     assert kept.count() == 5
     folder = os.path.dirname(scratch_path(spark, "x").rsplit("/", 1)[0])
     assert os.listdir(folder) and clear_scratch(spark) and not os.path.exists(folder)
+
+
+def test_one_csv_file_is_written_by_all_tasks_and_read_in_splits(spark, tmpdir_path):
+    df = spark.range(3000).repartitionByRange(4, "id").selectExpr("id", "concat('a, \"b\" ', id) AS t", "if(id % 3 = 0, null, 'x') AS u")
+    path = tmpdir_path + "/csv"
+    for append in (True, True, False):
+        store.write_csv(df, path, append=append, single_file=True)
+        files = [f for f in os.listdir(path) if f.endswith(".csv")]
+        if append:
+            continue
+        assert len(files) == 1 and os.path.exists(path + "/_SUCCESS") and not any(f.startswith("_one") for f in os.listdir(path))
+        with open(f"{path}/{files[0]}") as f:
+            lines = f.read().splitlines()
+        assert lines[0] == "id,t,u" and [int(x.split(",")[0]) for x in lines[1:]] == list(range(3000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        back = store.read_csv(spark, path, df.schema)
+        assert back.rdd.getNumPartitions() > 1
+        assert sorted(back.collect(), key=lambda r: r.id) == df.collect()
+        store.write_csv(spark.createDataFrame([(-1, "line\nbreak", "q\"\n\"")], df.schema), path, single_file=True)
+        assert sorted(store.read_csv(spark, path, df.schema).collect(), key=lambda r: r.id)[0] == (-1, "line\nbreak", "q\"\n\"")
+        assert store.read_csv(spark, path, df.schema).count() == 3001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_empty_csv_file_has_a_header(spark, tmpdir_path):
+    path = store.write_csv(spark.range(0), tmpdir_path + "/csv", single_file=True)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1 and store.read_csv(spark, path, spark.range(0).schema).count() == 0
