@@ -250,6 +250,30 @@ def ask_model(df: DataFrame, ask=None, prompt_col: str = "prompt", make_ask=None
     return df.mapInArrow(run, schema)
 
 
+def _parsed_reply(reply, flds: list[str]) -> Column:
+    """STRUCT<fields ..., extras, reply_source, reply_problem>, all values as text: a reply is salvaged and read once, whatever is asked of it."""
+    def read(s: Column) -> Column:
+        value = s["value"]
+
+        def parts(every: Column) -> Column:
+            others = let(F.map_filter(every, lambda k, v: ~k.isin(*flds)), lambda o: F.when(F.size(o) > 0, o))
+            problem = F.coalesce(s["error"], F.when(value.isNotNull() & every.isNull(), F.lit(NOT_AN_OBJECT)),
+                                 F.when(_col(reply).isNull(), F.lit(EMPTY_REPLY)))
+            return F.struct(*[F.element_at(every, f).alias(f) for f in flds], others.alias("extras"),
+                            F.when(every.isNotNull(), s["source"]).alias("reply_source"), problem.alias("reply_problem"))
+
+        return let(F.try_variant_get(value, "$", "map<string,string>"), parts)
+
+    return let(salvage(reply), read)
+
+
+def _reply_columns(parsed: Column, flds: list[str]) -> dict[str, Column]:
+    got = {f: parsed[f] for f in (*flds, "extras", "reply_source", "reply_problem")}
+    if "total_amount" in got:
+        got["total_amount"] = parse_amount(got["total_amount"])
+    return got
+
+
 def reply_fields(reply, fields: list[str] | None = None) -> dict[str, Column]:
     """Record columns of a model's reply: the fields, ``extras``, ``reply_source`` and ``reply_problem``.
 
@@ -257,18 +281,13 @@ def reply_fields(reply, fields: list[str] | None = None) -> dict[str, Column]:
     JSON null or an absent key is null. All other keys go to ``extras`` as text (nested values as JSON), null without any.
     """
     flds = fields or EXTRACTION_FIELDS
-    s = salvage(reply)
-    value = s["value"]
-    every = F.try_variant_get(value, "$", "map<string,string>")
-    got = {f: F.element_at(every, f) for f in flds}
-    if "total_amount" in got:
-        got["total_amount"] = parse_amount(got["total_amount"])
-    others = F.map_filter(every, lambda k, v: ~k.isin(*flds))
-    got["extras"] = F.when(F.size(others) > 0, others)
-    got["reply_source"] = F.when(every.isNotNull(), s["source"])
-    got["reply_problem"] = F.coalesce(s["error"], F.when(value.isNotNull() & every.isNull(), F.lit(NOT_AN_OBJECT)),
-                                      F.when(_col(reply).isNull(), F.lit(EMPTY_REPLY)))
-    return got
+    return _reply_columns(_parsed_reply(reply, flds), flds)
+
+
+def with_reply_fields(df: DataFrame, reply: str, fields: list[str] | None = None) -> DataFrame:
+    """Adds ``reply_fields`` in two steps, so that no later column has a reply read again."""
+    flds = fields or EXTRACTION_FIELDS
+    return df.withColumn("_parsed", _parsed_reply(reply, flds)).withColumns(_reply_columns(F.col("_parsed"), flds)).drop("_parsed")
 
 
 def model_extractor(ask=None, make_ask=None, fields: list[str] | None = None, **bounds: int):
@@ -278,11 +297,9 @@ def model_extractor(ask=None, make_ask=None, fields: list[str] | None = None, **
     """
     def extract(df: DataFrame) -> DataFrame:
         asked = ask_model(df.withColumn("prompt", F.when(F.col("passed"), build_prompt("text", fields))), ask, "prompt", make_ask, **bounds)
-        got = reply_fields("reply", fields)
-        problem = got.pop("reply_problem")
-        got.pop("reply_source")
-        got["extract_error"] = F.when(F.col("passed"), F.coalesce("reply_error", problem))
-        return asked.withColumns(got).drop("prompt", "reply", "reply_error")
+        read = with_reply_fields(asked, "reply", fields)
+        read = read.withColumn("extract_error", F.when(F.col("passed"), F.coalesce("reply_error", "reply_problem")))
+        return read.drop("prompt", "reply", "reply_error", "reply_source", "reply_problem")
 
     return extract
 

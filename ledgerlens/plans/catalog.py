@@ -576,8 +576,7 @@ def q_replace_vectors(spark, d):
 
 def q_reply_to_record(spark, d):
     """A model's reply as a typed record with its extras, its validation and its problem."""
-    got = extraction.reply_fields("reply")
-    r = fx.record_replies(spark, d).withColumns(got)
+    r = extraction.with_reply_fields(fx.record_replies(spark, d), "reply")
     v = records.validate_records(r)
     return v.select("event_id", *EXTRACTION_FIELDS, F.col("extras")["k"].alias("extra_k"),
                     F.coalesce(F.size("extras"), F.lit(0)).alias("n_extras"), F.col("reply_source").alias("source"),

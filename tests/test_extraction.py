@@ -169,3 +169,14 @@ def test_process_documents_with_a_model(spark):
     assert got[4].errors == ["no valid JSON in reply: what?"] and got[4].extras is None
     plain = process_documents(df, "id", ["t"]).filter("id = 1").first()
     assert plain.success and plain.extras is None
+
+
+def test_a_reply_is_salvaged_once_in_whole_document_results(spark):
+    from ledgerlens.plans.documents import process_documents
+
+    df = spark.createDataFrame([(1, "x" * 60)], "id int, t string")
+    got = process_documents(df, "id", ["t", "t", "t"], extractor=ex.model_extractor(lambda prompts: ['see {"currency": "EUR", "k": 1}' for _ in prompts]))
+    row = got.first()
+    assert (row.currency, row.extras, row.success) == ("EUR", {"k": "1"}, True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("parseJson") <= 2          # the whole reply and its span
