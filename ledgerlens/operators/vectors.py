@@ -210,14 +210,14 @@ def _query_mask(batch: pa.RecordBatch, flt: dict, lo: int, hi: int) -> np.ndarra
                     b = flt[key][lo:hi]
                     mask &= np.isnan(b)[None, :] | op(amt[:, None], b[None, :])
     if "currency" in flt or "exclude_currency" in flt:
-        cur = np.array(col("currency").to_pylist(), dtype=object)
-        unset = [None] * (hi - lo)
-        for j, (want, drop) in enumerate(zip(flt["currency"][lo:hi] if "currency" in flt else unset,
-                                             flt["exclude_currency"][lo:hi] if "exclude_currency" in flt else unset)):
-            if want is not None:
-                mask[:, j] &= cur == want
-            if drop is not None:
-                mask[:, j] &= cur != drop            # a null currency is kept
+        cur = pc.dictionary_encode(col("currency"))
+        codes = pc.fill_null(cur.indices, -1).to_numpy(zero_copy_only=False)[:, None]      # a null equals nothing
+        code = {v: i for i, v in enumerate(cur.dictionary.to_pylist())}
+        if "currency" in flt:
+            want = np.array([-3 if v is None else code.get(v, -2) for v in flt["currency"][lo:hi]])
+            mask &= (want == -3)[None, :] | (codes == want[None, :])
+        if "exclude_currency" in flt:
+            mask &= codes != np.array([code.get(v, -2) for v in flt["exclude_currency"][lo:hi]])[None, :]
     for key, name in (("seller_name", "seller_name"), ("buyer_name", "buyer_name")):
         if key in flt:
             vals = col(name).to_pylist()
@@ -291,6 +291,9 @@ def knn_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
         found = knn.broadcast_search(scan(*extra), sent, k, dim, payload, masks,
                                      f"qid long, id long, order_key double, distance double{paid}")
         return knn.ranked(found, k)
+    if payload or needed:               # counted, searched and joined with the hits: a view is worked out once
+        keep = dict.fromkeys([*payload, *needed])
+        vectors = written(spark, vectors.select(id_col, vec_col, *keep), "searched")
     best = knn.ranked(knn.block_search(scan(*needed), queries, k, dim, masks, _query_filters if filter_cols else None), k)
     if not payload:
         return best

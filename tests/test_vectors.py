@@ -289,3 +289,24 @@ def test_hits_carry_the_matched_text_of_the_index(spark):
     for most in (None, 0):
         hits = V.semantic_search(idx, _records(spark), q, top_k=2, max_broadcast=most).collect()
         assert [(h.id, h.matched_text) for h in sorted(hits, key=lambda h: h.position)] == [(3, "text 3"), (2, "text 2")]
+
+
+def test_block_search_works_the_view_out_once_and_masks_currencies(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def currency(i):
+        seen.add(1)
+        return [None, "EUR", "USD"][i % 3]
+
+    rows = spark.range(30).select("id", F.array(F.col("id").cast("float")).alias("embedding"), F.lit(1.0).alias("_amt"),
+                                  currency.asNondeterministic()("id").alias("currency"))
+    asks = spark.createDataFrame([(1, [4.2], "EUR", None), (2, [4.2], None, "EUR"), (3, [4.2], "GBP", None), (4, [4.2], None, None),
+                                  (5, [4.2], None, "GBP")], "qid long, embedding array<double>, currency string, exclude_currency string")
+    got = V.knn_candidates(rows, asks, 3, payload=["currency"], filter_cols=["currency", "exclude_currency"], max_broadcast=0)
+    found = {}
+    for r in got.orderBy("qid", "rank").collect():
+        found.setdefault(r.qid, []).append((r.id, r.currency))
+    assert found == {1: [(4, "EUR"), (7, "EUR"), (1, "EUR")], 2: [(5, "USD"), (3, None), (6, None)],
+                     4: [(4, "EUR"), (5, "USD"), (3, None)], 5: [(4, "EUR"), (5, "USD"), (3, None)]}
+    assert seen.value == 30
