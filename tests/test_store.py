@@ -118,6 +118,45 @@ def test_text_files_are_dealt_to_tasks_and_listed_by_few(spark, tmpdir_path):
     assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= most
 
 
+def test_tasks_list_and_read_what_sparks_source_reads(spark, tmpdir_path, monkeypatch):
+    from ledgerlens.sources import files
+
+    names = ["a.pdf", "b.PDF", "c.txt", "_h.pdf", "_k=1.pdf", ".x.pdf", "e{1}.pdf", "sp ace%20#\u00e9.pdf", "empty.pdf", "q.pdf._COPYING_"]
+    for sub in ["", "sub", "sub/deep er", "_hid", "_hid=2", ".dot", "k=1"]:
+        os.makedirs(os.path.join(tmpdir_path, sub), exist_ok=True)
+        for name in names:
+            with open(os.path.join(tmpdir_path, sub, name), "wb") as f:
+                f.write(b"" if name == "empty.pdf" else (sub + name).encode() * 3)
+    os.symlink("/nowhere", os.path.join(tmpdir_path, "dead.pdf"))
+    os.symlink(os.path.join(tmpdir_path, "sub"), os.path.join(tmpdir_path, "link"))
+    monkeypatch.setattr(files, "CONTENT_BYTES", 40)                  # several batches of contents to one of paths
+    cols = ["path", "modificationTime", "length", "content"]
+    for pattern in ["*.pdf", "{a,b}.*", "[a-c].???", "e\\{1\\}.pdf", "*"]:
+        want = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(tmpdir_path)
+        got = scan_directory(spark, tmpdir_path, pattern, recursive=True)
+        assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect())) != []
+    flat = os.path.join(tmpdir_path, "sub", "deep er")
+    assert sorted(r.path for r in scan_directory(spark, flat).collect()) == sorted(
+        r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(flat).collect())
+    # the driver's plan holds no document, neither of the folder tree nor of the flat folder
+    assert not [p for df in (got, scan_directory(spark, flat)) for p in df.inputFiles() if "ledgerlens-scratch" not in p]
+
+
+def test_text_files_are_those_of_sparks_writer(spark, tmpdir_path):
+    df = spark.createDataFrame([("a b", "1"), ("a b", "2"), ("p/q:%=\u00e9", "x\ny"), (None, "n"), ("z", None)], "k string, v string")
+    ours, theirs = (os.path.join(tmpdir_path, x) for x in ("ours", "theirs"))
+    write_text_files(df, "k", f"file://{ours}")
+    df.repartition(4, "k").write.partitionBy("k").text(theirs)
+
+    def tree(top):
+        return {os.path.relpath(p, top): [sorted(open(os.path.join(p, f), "rb").read().split(b"\n")) for f in names if f.endswith(".txt")]
+                for p, _, names in os.walk(top) if p != top}
+
+    assert tree(ours) == tree(theirs) and len(tree(ours)) == 4
+    # no checksum beside a file: Hadoop's local file system, which writes these, starts processes for every file and folder
+    assert not [f for _, _, names in os.walk(ours) for f in names if f.endswith(".crc")]
+
+
 def test_file_name_from_path(spark):
     df = spark.createDataFrame([("https://x.org/a/b/page.html?q=1",), ("/tmp/f.pdf",)], "p string")
     assert [r[0] for r in df.select(file_name_from_path("p")).collect()] == ["page.html", "f.pdf"]
