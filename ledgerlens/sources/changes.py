@@ -91,6 +91,10 @@ class _Files:
         self.fs.delete(self.path(path), True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return _Files(spark, path).exists(path)
+
+
 class ChangeTable:
     """One table; make it with ``create`` or ``open``."""
 

@@ -8,9 +8,10 @@ for records with and without a number.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +19,8 @@ from ledgerlens.operators.dml import UPSERT_KEY, assign_ids
 from ledgerlens.operators.vectors import DEFAULT_DIM, build_vectors
 from ledgerlens.plans.documents import process_documents
 from ledgerlens.session import scratch_path, written
-from ledgerlens.sources.changes import ChangeTable
-from ledgerlens.sources.files import file_name_from_path, wide_listing
+from ledgerlens.sources.changes import ChangeTable, path_exists
+from ledgerlens.sources.files import LISTED, file_name_from_path, list_files, task_folder, wide_listing, with_content
 from ledgerlens.sources.store import read_bucketed, stamp_ingestion
 
 LEDGER_SCHEMA = "id long, path string, content_hash string, success boolean, errors array<string>, seq long"
@@ -150,21 +151,64 @@ def ingest_files_batch(batch: DataFrame, epoch_id: int, extractors: list, table_
     ledger.put(assign_ids(staged.select("path", "content_hash", "success", "errors"), ledger.next_id()), name)
 
 
+def list_new_files(spark: SparkSession, folder: str, pattern: str, recursive: bool, listed: str, files_per_batch: int | None) -> None:
+    """Add the files of a local folder that no listing under ``listed`` has, by path; with ``files_per_batch`` as one Parquet file
+    for so many of them, the first modified first. A call writes a folder of its own; what one that died has left in place counts as listed."""
+    to = f"{listed}/{uuid.uuid4().hex}"
+    new = list_files(spark, folder, pattern, recursive)
+    if path_exists(spark, listed):
+        new = new.join(_listing(spark.read, listed).select("path"), "path", "left_anti").select(*new.columns)
+    if not files_per_batch:
+        new.write.parquet(to)
+        return
+    # numbered in order: by the place in the sorted partition, and the sizes of those before it
+    new = new.orderBy("modificationTime", "path").withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    new = written(spark, new, "new-files")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = new.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    number = F.col("first") + F.col("place") - F.shiftleft(F.col("part").cast("long"), 33)
+    new = new.join(F.broadcast(sizes), "part").withColumn("batch", F.floor(number / files_per_batch)).drop("part", "place", "first")
+    new.repartition("batch").write.option("maxRecordsPerFile", 0).partitionBy("batch").parquet(to)
+
+
+def _listing(reader, listed: str) -> DataFrame:
+    return reader.schema(LISTED).option("recursiveFileLookup", True).parquet(listed)
+
+
 def start_file_ingest(spark: SparkSession, landing: str, table_root: str, vectors_root: str,
                       checkpoint: str, extractors: list, pattern: str = "*.pdf",
                       files_per_batch: int | None = None, n_buckets: int | None = None, recursive: bool = False, **options):
-    """Stream new files (``binaryFile``, ``availableNow``) through extraction into
+    """Stream new files (``availableNow``) through extraction into
     the record table, the vector table and the ledger (see ``ingest_files_batch``, which takes ``options``). The checkpoint
-    makes each file count once, the ledger does so when a checkpoint is lost, and a replayed batch adds nothing twice."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
+    makes each file count once, the ledger does so when a checkpoint is lost, and a replayed batch adds nothing twice.
+
+    New files of a local folder are listed by tasks before the stream starts, into ``<checkpoint>/listed``, and the stream is one of these
+    listings, whose files the tasks open. A stream of the files themselves (``binaryFile``: other folders, and checkpoints
+    begun so) keeps every file it ever saw on the driver.
+    """
     wide_listing(spark)
-    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return (reader.load(landing).writeStream
-            .foreachBatch(lambda b, e: ingest_files_batch(b, e, extractors, table_root, vectors_root, n_buckets, **options))
+    listed = f"{checkpoint.rstrip('/')}/listed"
+    begun = path_exists(spark, listed)
+    folder = task_folder(spark, landing, recursive or begun) if begun or not path_exists(spark, f"{checkpoint.rstrip('/')}/metadata") else None
+    if folder:
+        list_new_files(spark, folder, pattern, recursive, listed, files_per_batch)
+        reader = spark.readStream.option("maxFilesPerTrigger", 1) if files_per_batch else spark.readStream
+        files = _listing(reader, listed)
+    else:
+        reader = spark.readStream.format("binaryFile").schema(f"{LISTED}, content binary").option("pathGlobFilter", pattern)
+        if recursive:
+            reader = reader.option("recursiveFileLookup", True)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        files = reader.load(landing)
+
+    def ingest(batch: DataFrame, epoch_id: int) -> None:
+        if folder:      # as Spark's source does, without files that are gone by now
+            batch = with_content(batch, gone_ok=True).filter(F.col("content").isNotNull())
+        ingest_files_batch(batch, epoch_id, extractors, table_root, vectors_root, n_buckets, **options)
+
+    return (files.writeStream
+            .foreachBatch(ingest)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())

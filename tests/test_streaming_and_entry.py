@@ -167,6 +167,62 @@ def test_replays_and_crashes_between_tables_add_nothing_twice(spark, tmpdir_path
     assert ids[1]["N-1"] == (ids[0]["N-1"][0], 9.0)
 
 
+def _landed(folder, *numbers):
+    for i in numbers:
+        at = os.path.join(folder, f"d{i}")
+        os.makedirs(at, exist_ok=True)
+        with open(os.path.join(at, f"{i}.txt"), "w") as f:
+            f.write(INVOICE.format(num=f"N-{i}", amt=f"{i}.00"))
+        os.utime(os.path.join(at, f"{i}.txt"), (1_700_000_000 - i, 1_700_000_000 - i))         # the last number first
+
+
+def _stream_files(spark, top, **options):
+    from ledgerlens.streaming.ingest import start_file_ingest
+
+    table = os.path.join(top, "t")
+    start_file_ingest(spark, os.path.join(top, "in"), table, os.path.join(top, "v"), os.path.join(top, "c"), [lambda b: b.decode()],
+                      pattern="*.txt", n_buckets=4, recursive=True, **options).awaitTermination()
+    return _ingest_state(spark, table, os.path.join(top, "v"))
+
+
+def test_a_stream_of_files_keeps_none_on_the_driver(spark, tmpdir_path):
+    from ledgerlens.streaming.ingest import list_new_files
+
+    landing, listed = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "c", "listed")
+    _landed(landing, *range(1, 13))
+    rec, vec, led = _stream_files(spark, tmpdir_path, files_per_batch=5)
+    assert [n for _, n, _, _ in sorted(rec, key=lambda r: r[1])] == sorted(f"N-{i}" for i in range(1, 13)) and vec == [r[0] for r in rec] and len(led) == 12
+    # three batches of at most five, the oldest files first
+    batches = [n for n in os.listdir(os.path.join(tmpdir_path, "t_files", "batches")) if not n.startswith(".")]
+    assert sorted(batches) == ["files-0", "files-1", "files-2"]
+    assert [{n for i, n, _, _ in rec if lo < i <= lo + 5} for lo in (0, 5, 10)] == [{f"N-{i}" for i in r} for r in (range(8, 13), range(3, 8), (1, 2))]
+    # Spark's log of the stream, which the driver holds whole, names listings and no document
+    log = "".join(open(os.path.join(p, f), errors="replace").read() for p, _, names in os.walk(os.path.join(tmpdir_path, "c", "sources")) for f in names
+                  if not f.startswith("."))
+    assert ".parquet" in log and ".txt" not in log
+    # nothing new; then a file that only a call that died has listed, one listed and gone, and one that no one has
+    assert _stream_files(spark, tmpdir_path, files_per_batch=5) == (rec, vec, led)
+    _landed(landing, 13, 14)
+    list_new_files(spark, landing, "*.txt", True, listed, 5)
+    os.remove(os.path.join(landing, "d14", "14.txt"))
+    _landed(landing, 15)
+    got = _stream_files(spark, tmpdir_path, files_per_batch=5)
+    assert {r[1] for r in got[0]} - {r[1] for r in rec} == {"N-13", "N-15"} and set(rec) < set(got[0]) and len(got[1]) == len(got[2]) == 14
+
+
+def test_a_checkpoint_of_sparks_own_file_stream_goes_on(spark, tmpdir_path, monkeypatch):
+    from ledgerlens.streaming import ingest
+
+    _landed(os.path.join(tmpdir_path, "in"), 1, 2)
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "task_folder", lambda *_: None)
+        first = _stream_files(spark, tmpdir_path)
+    _landed(os.path.join(tmpdir_path, "in"), 3)
+    got = _stream_files(spark, tmpdir_path)
+    assert len(first[0]) == 2 and {r[1] for r in got[0]} == {"N-1", "N-2", "N-3"} and set(first[0]) < set(got[0]) and len(got[2]) == 3
+    assert not os.path.exists(os.path.join(tmpdir_path, "c", "listed"))
+
+
 def test_stream_with_a_model_in_place_of_the_rules(spark, tmpdir_path):
     from ledgerlens.operators.extraction import model_extractor
     from ledgerlens.sources.changes import ChangeTable
